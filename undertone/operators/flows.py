@@ -90,6 +90,7 @@ def flow_slices(packets: DataFrame, timeout_us: int) -> DataFrame:
         F.min("packet_seq").alias("slice_seq"),
     )
     in_order = Window.partitionBy(*CONVERSATION).orderBy("slice")
+    up_to_here = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole_flow = Window.partitionBy(*FLOW)
     before = F.lag("last_us").over(in_order)
     return (
@@ -100,7 +101,7 @@ def flow_slices(packets: DataFrame, timeout_us: int) -> DataFrame:
             | (F.col("first_us") - F.col("before_us") > F.lit(timeout_us)),
         )
         .withColumn("before_us", F.when(~F.col("is_head"), F.col("before_us")))
-        .withColumn("flow_start_us", F.max(F.when(F.col("is_head"), F.col("first_us"))).over(in_order))
+        .withColumn("flow_start_us", F.max(F.when(F.col("is_head"), F.col("first_us"))).over(up_to_here))
         .withColumn("flow_end_us", F.max("last_us").over(whole_flow))
         .withColumn("flow_seq", F.max(F.when(F.col("is_head"), F.col("slice_seq"))).over(whole_flow))
         .withColumn("is_tail", F.col("last_us") == F.col("flow_end_us"))

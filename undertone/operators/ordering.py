@@ -5,7 +5,7 @@ buckets first. Bucket totals are small, so their running totals are cheap; only
 (group, bucket) are ever sorted together. The answers are exact whatever the buckets are.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 CUTS = 128
 
@@ -38,8 +38,8 @@ def positions(df: DataFrame, by, bucket: str, order, name="position") -> DataFra
     )
 
 
-def value_bucket(df: DataFrame, column: str, cuts: int = CUTS) -> Column:
-    """A bucket number that never falls as ``column`` rises, about equally full over all rows.
+def with_value_bucket(df: DataFrame, column: str, cuts: int = CUTS) -> DataFrame:
+    """Add ``_bucket``, which never falls as ``column`` rises and is about equally full.
 
     The cut points come from one mergeable quantile sketch over the whole table and reach the
     scan as a scalar subquery of ``cuts`` doubles, whatever the number of groups.
@@ -49,7 +49,11 @@ def value_bucket(df: DataFrame, column: str, cuts: int = CUTS) -> Column:
         F.coalesce(F.percentile_approx(column, shares, F.lit(10 * cuts)),
                    F.array().cast("array<double>"))
     ).scalar()
-    return F.size(F.filter(points, lambda point: point < F.col(column)))
+    return (
+        df.withColumn("_points", points)
+        .withColumn("_bucket", F.size(F.filter("_points", lambda point: point < F.col(column))))
+        .drop("_points")
+    )
 
 
 def running_counts(df: DataFrame, by, column: str, sums: dict) -> DataFrame:
@@ -57,7 +61,7 @@ def running_counts(df: DataFrame, by, column: str, sums: dict) -> DataFrame:
 
     ``sums`` maps a name to a column to add up. Equal values collapse before any sort.
     """
-    bucketed = df.withColumn("_bucket", value_bucket(df, column))
+    bucketed = with_value_bucket(df, column)
     cells = bucketed.groupBy(*by, "_bucket", column).agg(
         *[F.sum(value).alias(name) for name, value in sums.items()]
     )
@@ -87,7 +91,7 @@ def exact_percentiles(df: DataFrame, by, column: str, shares: dict) -> DataFrame
     that hold the wanted ranks; only rows of those buckets are shuffled and sorted.
     """
     df = df.select(*by, F.col(column).cast("double").alias("_v")).filter("_v is not null")
-    bucketed = df.withColumn("_bucket", value_bucket(df, "_v"))
+    bucketed = with_value_bucket(df, "_v")
     totals = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("rows"))
     placed = (
         bucket_offsets(totals, by, "_bucket", ["rows"])
