@@ -60,8 +60,8 @@ def flag(scored: DataFrame, forest_threshold: float, autoencoder_threshold: floa
     """Flagged when either score reaches its threshold."""
     return scored.withColumn(
         "flagged_by_either",
-        (F.col("isolation_forest_score") >= F.lit(float(forest_threshold)))
-        | (F.col("autoencoder_reconstruction_error") >= F.lit(float(autoencoder_threshold))),
+        (F.col("isolation_forest_score") >= F.lit(forest_threshold))
+        | (F.col("autoencoder_reconstruction_error") >= F.lit(autoencoder_threshold)),
     )
 
 

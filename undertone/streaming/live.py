@@ -6,9 +6,9 @@ the packets of a flow, so an endless tunnel costs no more state than a short exc
 trigger's packets of one conversation meet in one task; size triggers with maxFilesPerTrigger.
 """
 
+import json
 import math
-import pickle
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ FEATURE_ROW = T.StructType([
     T.StructField("start_timestamp", T.DoubleType()),
     T.StructField("end_timestamp", T.DoubleType()),
 ])
-STATE = T.StructType([T.StructField("blob", T.BinaryType())])
+STATE = T.StructType([T.StructField("conversation", T.StringType())])
 
 
 @dataclass
@@ -107,8 +107,26 @@ class OpenFlow:
 
 @dataclass
 class Conversation:
+    """The open flow, and packets (as column lists) that the watermark has not passed."""
+
     flow: OpenFlow | None = None
-    waiting: list = field(default_factory=list)
+    waiting: dict = field(default_factory=dict)
+
+    def to_json(self):
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text):
+        stored = json.loads(text)
+        flow = stored["flow"]
+        if flow is not None:
+            flow = OpenFlow(flow["start"], [
+                WindowStats(
+                    w["bin"], w["first"], w["last"], w["count"], Moments(**w["gaps"]),
+                    {name: Moments(**m) for name, m in w["measures"].items()},
+                ) for w in flow["windows"]
+            ], flow["named"])
+        return cls(flow, stored["waiting"])
 
 
 def feature_row(key, flow, stats, suffix):
@@ -187,31 +205,31 @@ def conversation_updater(timeout_us, window_us, min_duration_us):
     names = [f.name for f in FEATURE_ROW]
 
     def update(key, frames, group):
-        state = pickle.loads(group.get[0]) if group.exists else Conversation()
+        state = Conversation.from_json(group.get[0]) if group.exists else Conversation()
         watermark_us = group.getCurrentWatermarkMs() * 1000
-        arrived = [] if group.hasTimedOut else [f[["ts_us", "packet_seq", *MEASURES]] for f in frames]
-        known = [*state.waiting, *arrived]
-        rows = []
+        known = [pd.DataFrame(state.waiting)] if state.waiting else []
+        if not group.hasTimedOut:
+            known += [f[["ts_us", "packet_seq", *MEASURES]] for f in frames]
+        rows, state.waiting = [], {}
         if known:
             packets = pd.concat(known, ignore_index=True).sort_values(["ts_us", "packet_seq"], kind="stable")
             settled = packets["ts_us"] < watermark_us
-            state.waiting = [packets[~settled]] if (~settled).any() else []
             if settled.any():
                 rows += absorb(key, state, packets[settled], timeout_us, window_us, min_duration_us)
-        if state.flow is not None and watermark_us > state.flow.last + timeout_us:
-            first_waiting = state.waiting[0]["ts_us"].min() if state.waiting else None
-            if first_waiting is None or first_waiting - state.flow.last > timeout_us:
-                rows += close(key, state.flow, min_duration_us)
+            if not settled.all():
+                state.waiting = packets[~settled].to_dict("list")
+        flow = state.flow
+        if flow is not None and watermark_us > flow.last + timeout_us:
+            if not state.waiting or state.waiting["ts_us"][0] - flow.last > timeout_us:
+                rows += close(key, flow, min_duration_us)
                 state.flow = None
         if state.flow is None and not state.waiting:
             if group.exists:
                 group.remove()
         else:
-            newest = max([state.flow.last] if state.flow else [0])
-            if state.waiting:
-                newest = max(newest, int(state.waiting[0]["ts_us"].max()))
-            group.update((pickle.dumps(state),))
-            group.setTimeoutTimestamp(max((newest + timeout_us) // 1000 + 1, watermark_us // 1000 + 1))
+            newest = state.waiting["ts_us"][-1] if state.waiting else state.flow.last
+            group.update((state.to_json(),))
+            group.setTimeoutTimestamp(max(newest + timeout_us, watermark_us) // 1000 + 1)
         yield pd.DataFrame(rows, columns=names)
 
     return update
