@@ -1,6 +1,8 @@
 """Dataset audits: sizes, missing values, balance, correlation, per-label summaries."""
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from undertone.operators.ordering import exact_percentiles
 from undertone.operators.prepare import long_form
@@ -91,43 +93,70 @@ def class_balance(features: DataFrame) -> DataFrame:
     )
 
 
+PAIR_SCHEMA = T.StructType([
+    T.StructField("left", T.StringType()), T.StructField("right", T.StringType()),
+    *[T.StructField(n, T.DoubleType()) for n in (
+        "n", "x", "y", "xy", "xx", "yy", "x_low", "x_high", "y_low", "y_high")],
+])
+
+
+def pair_moments(columns):
+    """Per batch, for every pair over rows with both values: count, means, centred products, ranges."""
+
+    def reduce(frames):
+        for frame in frames:
+            values = frame.to_numpy(dtype=float)
+            present = ~np.isnan(values)
+            here = present.astype(float)
+            n = here.T @ here
+            shift = np.where(present, values, 0.0).sum(axis=0) / np.maximum(here.sum(axis=0), 1.0)
+            x = np.where(present, values - shift, 0.0)
+            count = np.maximum(n, 1.0)
+            sx = x.T @ here
+            mean = sx / count
+            xy = x.T @ x - sx * sx.T / count
+            xx = (x * x).T @ here - sx * mean
+            low = np.stack([np.where(present & present[:, [b]], values, np.inf).min(axis=0, initial=np.inf)
+                            for b in range(len(columns))], axis=1)
+            high = np.stack([np.where(present & present[:, [b]], values, -np.inf).max(axis=0, initial=-np.inf)
+                             for b in range(len(columns))], axis=1)
+            center = mean + shift[:, None]
+            left, right = np.meshgrid(columns, columns, indexing="ij")
+            yield pd.DataFrame({
+                "left": left.ravel(), "right": right.ravel(), "n": n.ravel(),
+                "x": center.ravel(), "y": center.T.ravel(), "xy": xy.ravel(),
+                "xx": xx.ravel(), "yy": xx.T.ravel(), "x_low": low.ravel(), "x_high": high.ravel(),
+                "y_low": low.T.ravel(), "y_high": high.T.ravel(),
+            })
+
+    return reduce
+
+
 def correlation(features: DataFrame, columns=AUDITED) -> DataFrame:
     """Pearson correlation of every pair over rows where both are present; null if undefined.
 
-    One aggregation of centred products for all pairs. Centring on the column means keeps
-    digits when a column is large but nearly constant.
+    One pass: each batch becomes one small row per pair, then the rows of a pair are merged
+    around their common mean, which keeps digits and leaves constant columns recognisable.
     """
     require_columns(features, columns, "feature table")
     numbers = features.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    means = numbers.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
-    centred = numbers.withColumn("_m", means).select(
-        *[(F.col(c) - F.col(f"_m.{c}")).alias(c) for c in columns]
-    )
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-
-    def sums(a, b):
-        x = F.when(F.col(b).isNotNull(), F.col(a))
-        y = F.when(F.col(a).isNotNull(), F.col(b))
-        return F.struct(
-            F.lit(a).alias("left"), F.lit(b).alias("right"), F.count(x).cast("double").alias("n"),
-            F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * y).alias("xy"),
-            F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"),
-            F.min(x).alias("x_low"), F.max(x).alias("x_high"),
-            F.min(y).alias("y_low"), F.max(y).alias("y_high"),
-        )
-
-    one = centred.agg(*[sums(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = long_form(one, [], one.columns).select("value.*")
-    n = F.col("n")
-    varies = (F.col("x_low") < F.col("x_high")) & (F.col("y_low") < F.col("y_high"))
-    spread = F.sqrt(F.col("xx") - F.col("x") * F.col("x") / n) * F.sqrt(F.col("yy") - F.col("y") * F.col("y") / n)
-    value = F.when(varies, F.try_divide(F.col("xy") - F.col("x") * F.col("y") / n, spread))
-    bounded = F.least(F.greatest(value, F.lit(-1.0)), F.lit(1.0))
-    half = rows.select("left", "right", F.when(value.isNotNull(), bounded).alias("correlation"))
-    other = half.filter("left <> right").select(
-        F.col("right").alias("left"), F.col("left").alias("right"), "correlation"
-    )
-    return half.unionByName(other)
+    rows = numbers.mapInPandas(pair_moments(list(columns)), PAIR_SCHEMA).filter("n > 0")
+    pair = Window.partitionBy("left", "right")
+    total = F.sum("n").over(pair)
+    dx = F.col("x") - F.sum(F.col("n") * F.col("x")).over(pair) / total
+    dy = F.col("y") - F.sum(F.col("n") * F.col("y")).over(pair) / total
+    merged = rows.withColumns({"dx": dx, "dy": dy}).groupBy("left", "right").agg(
+        F.sum(F.col("xy") + F.col("n") * F.col("dx") * F.col("dy")).alias("xy"),
+        F.sum(F.col("xx") + F.col("n") * F.col("dx") * F.col("dx")).alias("xx"),
+        F.sum(F.col("yy") + F.col("n") * F.col("dy") * F.col("dy")).alias("yy"),
+        ((F.min("x_low") < F.max("x_high")) & (F.min("y_low") < F.max("y_high"))).alias("varies"),
+    )
+    value = F.when(F.col("varies"), F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")))
+    bounded = F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(-1.0)), F.lit(1.0)))
+    every = features.sparkSession.createDataFrame(
+        [(a, b) for a in columns for b in columns], "left string, right string"
+    )
+    return every.join(merged, ["left", "right"], "left").select("left", "right", bounded.alias("correlation"))
 
 
 def near_duplicates(features: DataFrame, columns=AUDITED, limit: float = NEAR_PERFECT) -> DataFrame:

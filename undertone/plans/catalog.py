@@ -277,7 +277,7 @@ def matrix_scaler(spark, sf_dir):
 
 
 def standardized_matrix(spark, sf_dir):
-    raw = matrix(spark, sf_dir, "icmp")
+    raw = durable(matrix(spark, sf_dir, "icmp"), "matrix")
     ready = prepare.apply_scaler(raw, prepare.scaler_map(prepare.fit_scaler(raw)))
     return ready.select(*KEY, "label", *[
         rounded(n, 5) for n in ("size_mean", "entropy_mean", "icmp_size_cv", "packet_count")
@@ -288,7 +288,7 @@ def standardized_matrix(spark, sf_dir):
 
 
 def loso_folds(spark, sf_dir):
-    rows = matrix(spark, sf_dir).select("source_file")
+    rows = durable(matrix(spark, sf_dir).select("source_file"), "sessions")
     return splits.loso_rows(rows, splits.list_folds(rows)).groupBy("fold", "part").agg(
         F.count(F.lit(1)).alias("rows")
     )
@@ -306,13 +306,16 @@ def fold_scalers(spark, sf_dir):
 
 
 def split_sizes(spark, sf_dir):
-    return splits.stratified_split(matrix(spark, sf_dir)).groupBy("label", "part").agg(
+    rows = durable(matrix(spark, sf_dir).select(*KEY, "label"), "keys")
+    return splits.stratified_split(rows).groupBy("label", "part").agg(
         F.count(F.lit(1)).alias("rows")
     )
 
 
 def size_scores(spark, sf_dir):
-    return checked_dataset(spark, sf_dir).select("protocol", "label", F.col("size_mean").alias("score"))
+    """Written once: a threshold or rank takes several passes over the scores."""
+    rows = checked_dataset(spark, sf_dir).select("protocol", "label", F.col("size_mean").alias("score"))
+    return durable(rows, "scores")
 
 
 def training_thresholds(spark, sf_dir):
@@ -376,9 +379,9 @@ def summary_pivot(spark, sf_dir):
 
 def flagged(spark, sf_dir):
     """Flags from two columns standing in for the two detector scores."""
-    rows = features(spark, sf_dir).withColumns({
+    rows = durable(features(spark, sf_dir).withColumns({
         "isolation_forest_score": F.col("size_mean"), "autoencoder_reconstruction_error": F.col("entropy_mean"),
-    })
+    }), "scores")
 
     def limit(column):
         one = rows.select(F.lit(0).alias("all"), column)
@@ -435,7 +438,7 @@ def supervised_recommendation(spark, sf_dir):
 
 
 def describe_by_label(spark, sf_dir):
-    rows = diagnose.describe_by_label(dataset(spark, sf_dir)).filter("feature <> 'compression_ratio_mean'")
+    rows = diagnose.describe_by_label(stored_dataset(spark, sf_dir)).filter("feature <> 'compression_ratio_mean'")
     return rows.select("protocol", "label", "feature", "count", *[
         rounded(n, 4) for n in ("mean", "std", "min", "q25", "q50", "q75", "max")
     ])

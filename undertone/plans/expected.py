@@ -337,7 +337,7 @@ times AS (
 
 TYPES = """
 types AS (
-  SELECT event_id, CASE event_id % 7 WHEN 0 THEN '16' WHEN 1 THEN ' txt (16)' WHEN 2 THEN '0x1c'
+  SELECT event_id, event_type, CASE event_id % 7 WHEN 0 THEN '16' WHEN 1 THEN ' txt (16)' WHEN 2 THEN '0x1c'
     WHEN 3 THEN (event_id % 300)::VARCHAR WHEN 4 THEN event_type WHEN 5 THEN 'TYPE65 (HTTPS)' ELSE ' ' END AS text
   FROM events
 )"""
@@ -524,12 +524,24 @@ SQL = {
         FROM sized GROUP BY source_file) r ON f.source_file = r.source_file"""),
 }
 
-# Windows of flows that the watermark, one hour behind the last packet, has closed.
+# Windows the watermark, one hour behind the last packet, makes final: all of closed flows, and
+# of open long flows those that later packets cannot change.
 SQL["stream_flow_windows"] = on(FEATURES + """,
-starts AS (SELECT DISTINCT source_file, flow_id, flow_start, flow_end, is_long, win FROM placed),
-mark AS (SELECT max(ts_us) // 1000 * 1000 - 3600000000 AS us FROM sized)""",
+mark AS (SELECT max(ts_us) // 1000 * 1000 - 3600000000 AS us FROM sized),
+starts AS (
+  SELECT DISTINCT source_file, flow_id, flow_number, flow_start, flow_end, is_long, win FROM placed
+),
+settled AS (
+  SELECT source_file, flow_number, win0, count(*) AS c, max(ts_us) AS last_us, any_value(flow_start) AS flow_start
+  FROM ranked, mark WHERE flow_end + 27000000000 >= mark.us AND ts_us < mark.us
+  GROUP BY source_file, flow_number, win0
+),
+open_flows AS (
+  SELECT source_file, flow_number, max(win0) - CASE WHEN max_by(c, win0) > 1 THEN 1 ELSE 2 END AS final_win
+  FROM settled GROUP BY source_file, flow_number HAVING max(last_us) - any_value(flow_start) >= 54000000000
+)""",
     "SELECT f.source_file, s.flow_start || CASE WHEN is_long THEN '_w' || win ELSE '' END AS flow_id, packet_count, "
     + rounded_list(["duration_seconds", "size_mean", "size_std", "interarrival_mean", "entropy_mean"])
-    + """ FROM features f JOIN starts s ON f.source_file = s.source_file AND f.flow_id = s.flow_id, mark
-      WHERE s.flow_end + 27000000000 < mark.us OR (is_long AND EXISTS (SELECT 1 FROM starts t, mark m
-        WHERE t.source_file = s.source_file AND t.flow_start = s.flow_start AND t.win > s.win AND false))""")
+    + """ FROM features f JOIN starts s ON f.source_file = s.source_file AND f.flow_id = s.flow_id
+      LEFT JOIN open_flows o ON o.source_file = s.source_file AND o.flow_number = s.flow_number, mark
+      WHERE s.flow_end + 27000000000 < mark.us OR s.win <= o.final_win""")

@@ -165,9 +165,9 @@ def loso_with_column_scorer(
     features: DataFrame, protocol: str, column: str, contamination: float = 0.1,
     run_timestamp: str | None = None,
 ) -> DataFrame:
-    """The same evaluation with one standardized feature as the score: no training, fully lazy."""
+    """The same evaluation with one standardized feature as the score: nothing is trained."""
     check_contamination(contamination)
-    matrix = model_matrix(features, protocol).select("source_file", "flow_id", "label", column)
+    matrix = durable(model_matrix(features, protocol).select("source_file", "flow_id", "label", column), "matrix")
     scored = loso_rows(matrix, list_folds(matrix)).join(
         fold_scalers(matrix).filter(F.col("feature") == column).select("fold", "mean", "scale"), "fold"
     ).select(

@@ -23,21 +23,76 @@ DNS_PORT = 53
 # End of fixed values.
 
 
-@pandas_udf(T.StringType())
-def ipv6_text(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: socket.inet_ntop(socket.AF_INET6, bytes(b)) if b is not None and len(b) == 16 else None)
-
-
-def _question(message):
-    """Name and type of the first question; (None, None) when there is none or it is cut off."""
-    if message is None or len(message) < 12 or message[4:6] == b"\0\0":
+HEADER = T.StructType([
+    T.StructField("transport", T.IntegerType()),
+    T.StructField("src_ip", T.StringType()), T.StructField("dst_ip", T.StringType()),
+    T.StructField("ttl", T.IntegerType()), T.StructField("fragment", T.BooleanType()),
+    T.StructField("src_port", T.IntegerType()), T.StructField("dst_port", T.IntegerType()),
+    T.StructField("body_at", T.IntegerType()), T.StructField("body_size", T.IntegerType()),
+])
+NOT_IP = (None,) * 9
+
+
+def _number(frame, at, size=2):
+    return int.from_bytes(frame[at:at + size], "big")
+
+
+def _network_offset(frame, link):
+    """Where the IP header starts; None for links and payloads that are not IP."""
+    if link == ETHERNET:
+        at = 12
+        while _number(frame, at) in VLAN_TAGS and at < 24:
+            at += 4
+        return at + 2 if _number(frame, at) in (0x0800, 0x86DD) else None
+    return {COOKED: 16, COOKED_2: 20, **dict.fromkeys(LOOPBACK, 4), **dict.fromkeys(BARE_IP, 0)}.get(link)
+
+
+def dissect_header(frame, link):
+    """Addresses, ports and the place of the transport payload (for ICMP: after its 8 bytes)."""
+    at = _network_offset(frame, link)
+    if at is None or len(frame) <= at:
+        return NOT_IP
+    version = frame[at] >> 4
+    if version == 4 and len(frame) >= at + 20:
+        start, transport, ttl = at + (frame[at] & 15) * 4, frame[at + 9], frame[at + 8]
+        fragment = _number(frame, at + 6) & 0x3FFF != 0
+        first = _number(frame, at + 6) & 0x1FFF == 0
+        # A zero total length means the sender left segmentation to the network card.
+        end = at + (_number(frame, at + 2) or len(frame) - at)
+        family, src, dst = socket.AF_INET, frame[at + 12:at + 16], frame[at + 16:at + 20]
+    elif version == 6 and len(frame) >= at + 40:
+        start, transport, ttl, fragment, first = at + 40, frame[at + 6], None, False, True
+        end = start + _number(frame, at + 4)
+        family, src, dst = socket.AF_INET6, frame[at + 8:at + 24], frame[at + 24:at + 40]
+    else:
+        return NOT_IP
+    ported = transport in (TCP, UDP) and first
+    ports = (_number(frame, start), _number(frame, start + 2)) if ported else (None, None)
+    skip = (frame[start + 12] >> 4) * 4 if transport == TCP and first and len(frame) > start + 12 else 8
+    end = min(end, len(frame))
+    return (transport, socket.inet_ntop(family, bytes(src)), socket.inet_ntop(family, bytes(dst)), ttl,
+            fragment, *ports, start + skip, end - start - skip)
+
+
+@pandas_udf(HEADER)
+def frame_header(frame: pd.Series, link: pd.Series) -> pd.DataFrame:
+    rows = [dissect_header(f, k) if f is not None else NOT_IP for f, k in zip(frame, link)]
+    numbers = {f.name: "Int64" for f in HEADER if isinstance(f.dataType, T.IntegerType)}
+    return pd.DataFrame(rows, columns=HEADER.names).astype({**numbers, "fragment": "boolean"})
+
+
+QUESTION = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.LongType())])
+
+
+def first_question(message):
+    """Name and type of a DNS message's first question; (None, None) if there is none or it is cut off."""
+    if message is None or len(message) < 12 or not _number(message, 4):
         return None, None
     labels, at = [], 12
     while at < len(message):
         size = message[at]
         if size == 0:
-            end = at + 3
-            kind = int.from_bytes(message[at + 1:end], "big") if end <= len(message) else None
+            kind = _number(message, at + 1) if at + 3 <= len(message) else None
             return (".".join(labels) or "<Root>"), kind
         if size > 63 or at + 1 + size > len(message):
             break
@@ -46,56 +101,9 @@ def _question(message):
     return None, None
 
 
-@pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.LongType())]))
+@pandas_udf(QUESTION)
 def dns_question(message: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_question(m) for m in message], columns=["name", "type"]).astype({"type": "Int64"})
-
-
-def network_layer(frames: DataFrame) -> DataFrame:
-    """Add the offset of the IP header, and ``error`` for links and frames that have none."""
-    frame, link = F.col("frame"), F.col("link_type")
-    outer = big_endian(frame, 12, 2)
-    inner = big_endian(frame, 16, 2)
-    tagged, twice = outer.isin(*VLAN_TAGS), inner.isin(*VLAN_TAGS)
-    start = (
-        F.when(link == ETHERNET, F.when(tagged & twice, 22).when(tagged, 18).otherwise(14))
-        .when(link == COOKED, 16).when(link == COOKED_2, 20)
-        .when(link.isin(*LOOPBACK), 4).when(link.isin(*BARE_IP), 0)
-    )
-    return (
-        frames.withColumn("_ip", start)
-        .withColumn("_version", F.shiftright(big_endian(frame, F.col("_ip"), 1), 4))
-    )
-
-
-def transport_layer(frames: DataFrame) -> DataFrame:
-    """Add addresses, IP protocol, ttl, and the bytes after the IP header."""
-    frame, at = F.col("frame"), F.col("_ip")
-    v4, v6 = F.col("_version") == 4, F.col("_version") == 6
-    header = (big_endian(frame, at, 1).bitwiseAND(F.lit(15)) * 4)
-    fragment = big_endian(frame, at + 6, 2).bitwiseAND(F.lit(0x3FFF)) != 0
-    total = big_endian(frame, at + 2, 2)
-    # A zero total length means the sender left segmentation to the network card.
-    v4_end = F.when(total > 0, total).otherwise(F.octet_length(frame))
-    body = F.when(v4, F.substring(frame, at + header + 1, v4_end - header)).when(
-        v6, F.substring(frame, at + 41, big_endian(frame, at + 4, 2))
-    )
-
-    def dotted(offset):
-        return F.concat_ws(".", *[big_endian(frame, at + offset + i, 1).cast("string") for i in range(4)])
-
-    def raw6(offset):
-        return F.when(v6, F.substring(frame, at + offset + 1, F.lit(16)))
-
-    return frames.withColumns({
-        "_proto": F.when(v4, big_endian(frame, at + 9, 1)).when(v6, big_endian(frame, at + 6, 1)),
-        "ttl": F.when(v4, big_endian(frame, at + 8, 1)),
-        "src_ip": F.when(v4, dotted(12)).otherwise(ipv6_text(raw6(8))),
-        "dst_ip": F.when(v4, dotted(16)).otherwise(ipv6_text(raw6(24))),
-        "_fragment": v4 & fragment,
-        "_body": body,
-        "packet_size": F.col("orig_len"),
-    })
+    return pd.DataFrame([first_question(m) for m in message], columns=QUESTION.names).astype({"type": "Int64"})
 
 
 def decode_frames(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,45 +111,37 @@ def decode_frames(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Frames of other traffic are not packets of this table and are left out of both.
     """
-    rows = transport_layer(network_layer(frames))
-    body = F.col("_body")
-    src, dst = big_endian(body, 0, 2), big_endian(body, 2, 2)
-    ported = F.col("_proto").isin(TCP, UDP)
-    is_dns = ported & ((src == DNS_PORT) | (dst == DNS_PORT))
-    is_icmp = (F.col("_proto") == ICMP) & (F.col("_version") == 4)
-    rows = rows.filter(is_dns | is_icmp).withColumns({
-        "protocol": F.when(is_icmp, "icmp").otherwise("dns"),
-        "src_port": F.when(is_dns, src), "dst_port": F.when(is_dns, dst),
-    })
-    data_at = F.shiftright(big_endian(body, 12, 1), 4) * 4
-    rest = F.octet_length(body)
-    segment = F.when(F.col("_proto") == TCP, F.substring(body, data_at + 1, rest)).when(
-        F.col("_proto") == UDP, F.substring(body, F.lit(9), rest)
+    rows = frames.withColumn("_h", frame_header("frame", "link_type")).select(
+        "source_file", "packet_seq", "ts_us", F.col("orig_len").alias("packet_size"), "_h.*",
+        F.substring("frame", F.col("_h.body_at") + 1, F.col("_h.body_size")).alias("_body"),
+        F.substring("frame", F.col("_h.body_at") - 7, F.lit(2)).alias("_kind"),
     )
+    on_dns_port = (F.col("src_port") == DNS_PORT) | (F.col("dst_port") == DNS_PORT)
+    is_icmp = (F.col("transport") == ICMP) & F.col("ttl").isNotNull()
     dns = F.col("protocol") == "dns"
-    rows = rows.withColumn("_message", F.when(
-        dns, F.when(F.col("_proto") == TCP, without_length_prefix(segment)).otherwise(segment)
-    ))
+    rows = rows.filter(is_icmp | (F.col("transport").isin(TCP, UDP) & on_dns_port)).withColumn(
+        "protocol", F.when(F.col("transport") == ICMP, "icmp").otherwise("dns")
+    )
     # Acknowledgements and handshakes on port 53 carry no DNS message.
-    rows = rows.filter(~dns | (F.col("_proto") == UDP) | (F.octet_length("_message") > 0))
-    message = F.col("_message")
-    rows = rows.withColumn("_question", dns_question(message))
-    response = F.shiftright(big_endian(message, 2, 1), 7) == 1
-    payload = F.when(dns, message).otherwise(F.substring(body, F.lit(9), rest))
+    rows = rows.filter((F.col("transport") != TCP) | (F.col("body_size") > 0))
+    message = F.when(F.col("transport") == TCP, without_length_prefix(F.col("_body"))).otherwise(F.col("_body"))
+    rows = rows.withColumn("payload_bytes", F.coalesce(message, F.lit(b""))).withColumn(
+        "_question", dns_question(F.when(dns, F.col("payload_bytes")))
+    )
+    payload, name = F.col("payload_bytes"), F.col("_question.name")
+    response = F.shiftright(big_endian(payload, 2, 1), 7) == 1
     error = (
-        F.when(F.col("_fragment"), "fragment of a larger packet")
-        .when(dns & (F.octet_length(message) < 12), "cut off before the end of the DNS header")
-        .when(~dns & (rest < 8), "cut off before the end of the ICMP header")
+        F.when(F.col("fragment"), "fragment of a larger packet")
+        .when(dns & (F.octet_length(payload) < 12), "cut off before the end of the DNS header")
+        .when(F.col("body_size") < 0, "cut off before the end of the ICMP header")
     )
-    rows = rows.withColumns({
-        "query_name": F.col("_question.name"),
-        "query_length": F.when(dns, F.coalesce(F.char_length("_question.name"), F.lit(0))),
+    return split_malformed(rows.withColumns({
+        "query_name": name,
+        "query_length": F.when(dns, F.coalesce(F.char_length(name), F.lit(0))),
         "qtype": record_type_name(F.col("_question.type").cast("string")),
-        "answer_count": F.when(dns & response, big_endian(message, 6, 2)),
-        "icmp_type": F.when(~dns, big_endian(body, 0, 1)),
-        "icmp_code": F.when(~dns, big_endian(body, 1, 1)),
-        "payload_bytes": F.coalesce(payload, F.lit(b"")),
-        "payload_length": F.when(~dns, F.coalesce(F.octet_length(payload), F.lit(0))),
+        "answer_count": F.when(dns & response, big_endian(payload, 6, 2)),
+        "icmp_type": F.when(~dns, big_endian(F.col("_kind"), 0, 1)),
+        "icmp_code": F.when(~dns, big_endian(F.col("_kind"), 1, 1)),
+        "payload_length": F.when(~dns, F.octet_length(payload)),
         "error": error,
-    })
-    return split_malformed(rows)
+    }))

@@ -227,10 +227,13 @@ def conversation_updater(timeout_us, window_us, min_duration_us):
             if group.exists:
                 group.remove()
         else:
-            newest = state.waiting["ts_us"][-1] if state.waiting else state.flow.last
+            # Wake when the watermark passes the next waiting packet or the end of the open flow.
+            due = [state.waiting["ts_us"][0]] if state.waiting else []
+            due += [state.flow.last + timeout_us] if state.flow else []
             group.update((state.to_json(),))
-            group.setTimeoutTimestamp(max(newest + timeout_us, watermark_us) // 1000 + 1)
-        yield pd.DataFrame(rows, columns=names)
+            group.setTimeoutTimestamp(max(min(due), watermark_us) // 1000 + 1)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return update
 
