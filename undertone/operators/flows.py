@@ -84,10 +84,16 @@ def flow_slices(packets: DataFrame, timeout_us: int) -> DataFrame:
     and spreads a busy conversation over its slices.
     """
     slice_us = max(timeout_us, 1)
+    # Time and capture position in one number: unlike a struct it aggregates by hash, unsorted.
+    base = F.lit("1" + "0" * 19).cast("decimal(20,0)")
+    position = (F.col("ts_us").cast("decimal(19,0)") * base).cast("decimal(38,0)") + F.col("packet_seq")
     slices = packets.withColumn("slice", slice_of(slice_us)).groupBy(*CONVERSATION, "slice").agg(
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
-        F.min("packet_seq").alias("slice_seq"),
+        F.min(position.cast("decimal(38,0)")).alias("slice_seq"),
+    ).withColumn(
+        "slice_seq",
+        (F.col("slice_seq") - (F.col("first_us").cast("decimal(19,0)") * base).cast("decimal(38,0)")).cast("bigint"),
     )
     in_order = Window.partitionBy(*CONVERSATION).orderBy("slice")
     up_to_here = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
