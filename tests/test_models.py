@@ -223,10 +223,10 @@ def test_stream_equals_batch_on_closed_flows(spark, packets, saved, tmp_path):
 
     model = load_detector(spark, "dns", saved[1])
     rng = random.Random(4)
-    rows = [{**dns(rng.randrange(0, 4000) / 4, f"10.0.0.{rng.randrange(4)}", sport=1 + rng.randrange(3),
+    rows = [{**dns(1000 + rng.randrange(0, 4000) / 4, f"10.0.0.{rng.randrange(4)}", sport=1 + rng.randrange(3),
                    payload_bytes=rng.randbytes(rng.randrange(40)), query_length=rng.randrange(1, 60), qtype=rng.choice(["A", "TXT", None])),
              "source_file": "live"} for _ in range(1500)]
-    rows += [{**icmp(5), "source_file": "live"}]
+    rows += [{**icmp(1005), "source_file": "live"}]
     end = [{**dns(9000 + 100 * i, "10.0.9.9"), "source_file": "live"} for i in range(3)]
     rows.sort(key=lambda r: r["t"])
     frame = packets([*rows, *end])
