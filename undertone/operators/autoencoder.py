@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from undertone.operators.prepare import feature_names
-from undertone.session import durable
+from undertone.session import checkpointed
 
 logger = logging.getLogger("undertone.autoencoder")
 
@@ -144,7 +144,7 @@ def train_autoencoders(
         F.xxhash64("source_file", "flow_id", F.lit(seed)).alias("_order"),
     ).repartition(shards, "_order")
     if rounds > 1:
-        data = durable(data, "shards").repartition(shards, "_order")
+        data = checkpointed(data)  # shards stay in place, so a round shuffles no rows
     for turn in range(rounds):
         passes = epochs * (turn + 1) // rounds - epochs * turn // rounds
         trained = data.mapInPandas(

@@ -99,17 +99,15 @@ def flow_slices(packets: DataFrame, timeout_us: int) -> DataFrame:
     up_to_here = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole_flow = Window.partitionBy(*FLOW)
     before = F.lag("last_us").over(in_order)
+    is_head = F.col("before_us").isNull() | (F.col("first_us") - F.col("before_us") > F.lit(timeout_us))
     return (
         slices.withColumn("before_us", before)
-        .withColumn(
-            "is_head",
-            F.col("before_us").isNull()
-            | (F.col("first_us") - F.col("before_us") > F.lit(timeout_us)),
-        )
-        .withColumn("before_us", F.when(~F.col("is_head"), F.col("before_us")))
+        .withColumns({"is_head": is_head, "before_us": F.when(~is_head, F.col("before_us"))})
         .withColumn("flow_start_us", F.max(F.when(F.col("is_head"), F.col("first_us"))).over(up_to_here))
-        .withColumn("flow_end_us", F.max("last_us").over(whole_flow))
-        .withColumn("flow_seq", F.max(F.when(F.col("is_head"), F.col("slice_seq"))).over(whole_flow))
+        .withColumns({
+            "flow_end_us": F.max("last_us").over(whole_flow),
+            "flow_seq": F.max(F.when(F.col("is_head"), F.col("slice_seq"))).over(whole_flow),
+        })
         .withColumn("is_tail", F.col("last_us") == F.col("flow_end_us"))
         .drop("last_us", "slice_seq")
     )

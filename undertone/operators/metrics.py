@@ -6,6 +6,7 @@ A score table has ``label`` (0/1), ``score`` (higher is more anomalous) and grou
 from pyspark.sql import Column, DataFrame, functions as F
 
 from undertone.operators.ordering import exact_percentiles, running_counts
+from undertone.session import durable
 
 
 def check_contamination(contamination: float):
@@ -38,19 +39,18 @@ def score_threshold(training: DataFrame, by, contamination: float = 0.1, column=
 def ranking_metrics(scored: DataFrame, by) -> DataFrame:
     """ROC area (ties count half) and step-sum average precision; null for one class."""
     label = F.col("label").cast("long")
-    steps = running_counts(scored, by, "score", {"pos": label, "neg": 1 - label})
-    totals = scored.groupBy(*by).agg(
-        F.sum(label).alias("all_pos"), F.sum(1 - label).alias("all_neg")
-    )
-    rows = steps.join(totals, by)
+    # Counting from the highest score down needs no group totals, hence no join.
+    downward = scored.withColumn("_down", -F.col("score"))
+    steps = running_counts(downward, by, "_down", {"pos": label, "neg": 1 - label})
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    above = F.col("all_pos") - F.col("pos_before")
-    at_least = above + F.col("all_neg") - F.col("neg_before")
-    both = (F.max("all_pos") > 0) & (F.max("all_neg") > 0)
-    wins = F.sum(neg * (above - pos / 2))
-    return rows.groupBy(*by).agg(
-        F.when(both, F.try_divide(wins, F.max("all_pos").cast("double") * F.max("all_neg"))).alias("roc_auc"),
-        F.when(both, F.try_divide(F.sum(pos * above / at_least), F.max("all_pos"))).alias("avg_precision"),
+    hits = F.col("pos_before") + pos
+    wins = F.sum(neg * (F.col("pos_before") + pos / 2))
+    precision = hits / (hits + F.col("neg_before") + neg)
+    all_pos, all_neg = F.sum(pos), F.sum(neg)
+    both = (all_pos > 0) & (all_neg > 0)
+    return steps.groupBy(*by).agg(
+        F.when(both, F.try_divide(wins, all_pos * all_neg)).alias("roc_auc"),
+        F.when(both, F.try_divide(F.sum(pos * precision), all_pos)).alias("avg_precision"),
     )
 
 
@@ -94,7 +94,7 @@ def evaluate_scores(
         placed = test.withColumn("threshold", F.lit(float(threshold)))
         source, prior = "fixed", F.lit(None).cast("double")
     else:
-        placed = test.join(score_threshold(training, by, contamination), by)
+        placed = test.join(durable(score_threshold(training, by, contamination), "thresholds"), by)
         source, prior = "training_percentile", F.lit(float(contamination))
     cells = with_rates(confusion(placed, by))
     return cells.join(ranking_metrics(test, by), by).withColumns({

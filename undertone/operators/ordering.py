@@ -7,6 +7,8 @@ buckets first. Bucket totals are small, so their running totals are cheap; only
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from undertone.session import durable
+
 CUTS = 128
 
 
@@ -105,7 +107,8 @@ def exact_percentiles(df: DataFrame, by, column: str, shares: dict) -> DataFrame
         holds = holds | (
             (edge >= F.col("rows_before")) & (edge < F.col("rows_before") + F.col("rows"))
         )
-    wanted = placed.filter(holds).select(*by, "_bucket", "_n", "rows_before")
+    # A few rows per group. Stored, so that their known size lets Spark broadcast them.
+    wanted = durable(placed.filter(holds).select(*by, "_bucket", "_n", "rows_before"), "ranks")
     near = (
         bucketed.join(wanted, [*by, "_bucket"])
         .groupBy(*by, "_bucket", "_v")

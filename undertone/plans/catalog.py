@@ -56,9 +56,9 @@ def features(spark, sf_dir, **options) -> DataFrame:
 
 
 def manifest(spark, sf_dir) -> DataFrame:
-    """Capture names of the packet view; the number of captures is fixed at twelve."""
+    """Capture names of the packet view, stored as a manifest is."""
     names = event_packets(spark, sf_dir).select(F.col("source_file").alias("filename")).distinct()
-    return named_captures(names)
+    return durable(named_captures(names), "manifest")
 
 
 def dataset(spark, sf_dir) -> DataFrame:

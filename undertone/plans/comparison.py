@@ -32,9 +32,9 @@ def run_random_split_comparison(
         )
 
     train_scores, test_scores = long(train), long(test)
-    offset = score_threshold(train_scores, ["model_name"], contamination).filter(
+    offset = durable(score_threshold(train_scores, ["model_name"], contamination).filter(
         F.col("model_name") == FOREST
-    ).select("model_name", F.col("threshold").alias("_offset"))
+    ).select("model_name", F.col("threshold").alias("_offset")), "offset")
 
     def shifted(scores):
         return scores.join(offset, "model_name", "left").withColumn(

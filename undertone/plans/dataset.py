@@ -28,8 +28,8 @@ def usable_captures(manifest: DataFrame) -> DataFrame:
 def build_dataset(manifest: DataFrame, packets: DataFrame, **flow_parameters) -> tuple[DataFrame, DataFrame]:
     """(dataset, failures). All captures in one plan; a failed capture never stops the others.
 
-    Packets are kept for captures of the manifest and only in the capture's own protocol. The
-    manifest joins by capture name; it is small or not as Spark's statistics tell.
+    Packets are kept for captures of the manifest and only in the capture's own protocol. A
+    stored manifest has a known size: small, it is broadcast and packets are not shuffled for it.
     """
     usable = usable_captures(manifest)
     mine = packets.join(

@@ -70,7 +70,7 @@ def unsupervised_scores(matrix: DataFrame, census: dict, seed: int = 42, **train
     """
     spark, names = matrix.sparkSession, feature_names(matrix.columns)
     folds, scored = sorted(census), None
-    scalers = fold_scalers(matrix)
+    scalers = durable(fold_scalers(matrix), "scalers")
     trees = training.pop("n_estimators", 200)
     for start in range(0, len(folds), FOLDS_AT_ONCE):
         group = folds[start:start + FOLDS_AT_ONCE]
@@ -91,7 +91,9 @@ def shift_forest(scored: DataFrame, contamination: float) -> DataFrame:
     """Move forest scores so that the contamination percentile of each training fold is 0."""
     by = ["fold", "model_name"]
     training = scored.filter((F.col("part") == "train") & (F.col("model_name") == FOREST))
-    offsets = score_threshold(training, by, contamination).withColumnRenamed("threshold", "_offset")
+    offsets = durable(
+        score_threshold(training, by, contamination).withColumnRenamed("threshold", "_offset"), "offsets"
+    )
     return scored.join(offsets, by, "left").select(
         *by, "part", "label",
         (F.col("score") - F.coalesce("_offset", F.lit(0.0))).alias("score"),
@@ -168,9 +170,8 @@ def loso_with_column_scorer(
     """The same evaluation with one standardized feature as the score: nothing is trained."""
     check_contamination(contamination)
     matrix = durable(model_matrix(features, protocol).select("source_file", "flow_id", "label", column), "matrix")
-    scored = loso_rows(matrix, list_folds(matrix)).join(
-        fold_scalers(matrix).filter(F.col("feature") == column).select("fold", "mean", "scale"), "fold"
-    ).select(
+    scalers = fold_scalers(matrix).filter(F.col("feature") == column).select("fold", "mean", "scale")
+    scored = loso_rows(matrix, list_folds(matrix)).join(durable(scalers, "scalers"), "fold").select(
         "fold", F.lit(column).alias("model_name"), "part", "label",
         ((F.col(column) - F.col("mean")) / F.col("scale")).alias("score"),
     )

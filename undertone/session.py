@@ -46,8 +46,19 @@ def durable(df: DataFrame, name="table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage of results that several jobs read, survives lost executors, and keeps
-    Parquet column pruning for every later reader.
+    Parquet column pruning for every later reader. The written size is known to the optimizer,
+    so joining a small stored table broadcasts it below spark.sql.autoBroadcastJoinThreshold
+    and shuffles it above, without a hint.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder; unlike ``durable`` it keeps the partitioning."""
+    context = df.sparkSession.sparkContext
+    folder = shared_dir(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
