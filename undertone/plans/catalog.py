@@ -21,7 +21,7 @@ from undertone.operators.ordering import exact_percentiles
 from undertone.plans import dataset as datasets
 from undertone.plans import expected as sql
 from undertone.plans.comparison import run_random_split_comparison
-from undertone.plans.final_models import matrix_scores, train_detector, train_detectors
+from undertone.plans.final_models import matrix_scores, train_detector, train_forest, train_weights
 from undertone.plans.loso import (
     SUPERVISED, loso_with_column_scorer, run_loso, supervised_scores,
 )
@@ -465,20 +465,22 @@ def session_totals(spark, sf_dir):
 # --- models ------------------------------------------------------------------------------------
 
 
-def trained_scores(spark, sf_dir, column):
-    rows = durable(prepare.model_matrix(dataset(spark, sf_dir), "dns"), "matrix")
-    count = prepare.check_matrix(rows, "dns")
-    ready = prepare.apply_scaler(rows, prepare.scaler_map(prepare.fit_scaler(rows)))
-    forest, weights = train_detectors(ready, count)
-    return matrix_scores(ready, forest, weights).select(*KEY, "label", F.col(column).alias("score"))
+def standardized(spark, sf_dir, protocol):
+    """(standardized matrix, its row count)."""
+    rows = durable(prepare.model_matrix(dataset(spark, sf_dir), protocol), "matrix")
+    count = prepare.check_matrix(rows, protocol)
+    return prepare.apply_scaler(rows, prepare.scaler_map(prepare.fit_scaler(rows))), count
 
 
 def isolation_forest_scores(spark, sf_dir):
-    return trained_scores(spark, sf_dir, "forest")
+    ready, count = standardized(spark, sf_dir, "dns")
+    return matrix_scores(ready, forest=train_forest(ready, count)).select(*KEY, "label", F.col("forest").alias("score"))
 
 
 def autoencoder_errors(spark, sf_dir):
-    return trained_scores(spark, sf_dir, "autoencoder")
+    ready, count = standardized(spark, sf_dir, "dns")
+    scores = matrix_scores(ready, weights=train_weights(ready, count))
+    return scores.select(*KEY, "label", F.col("autoencoder").alias("score"))
 
 
 def supervised_probabilities(spark, sf_dir):

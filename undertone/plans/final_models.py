@@ -21,8 +21,8 @@ TRAINING_SCORES = T.StructType([
 ])
 
 
-def matrix_scores(matrix: DataFrame, forest, weights) -> DataFrame:
-    """Raw forest scores and reconstruction errors of a standardized matrix."""
+def matrix_scores(matrix: DataFrame, forest=None, weights=None) -> DataFrame:
+    """Raw forest scores and reconstruction errors of a standardized matrix; null without a model."""
     names = feature_names(matrix.columns)
 
     def score(frames):
@@ -30,21 +30,28 @@ def matrix_scores(matrix: DataFrame, forest, weights) -> DataFrame:
             x = frame[names].to_numpy(dtype=float)
             yield pd.DataFrame({
                 "source_file": frame["source_file"], "flow_id": frame["flow_id"], "label": frame["label"],
-                "forest": forest.raw_scores(x), "autoencoder": reconstruction_error(weights, x),
+                "forest": forest.raw_scores(x) if forest is not None else None,
+                "autoencoder": reconstruction_error(weights, x) if weights is not None else None,
             })
 
     return matrix.mapInPandas(score, TRAINING_SCORES)
 
 
+def train_forest(standardized: DataFrame, rows: int, seed: int = 42, n_estimators: int = 200):
+    trees = train_isolation_forest(standardized, {EVERYTHING: rows}, n_estimators, seed)
+    return collect_forests(trees)[EVERYTHING]
+
+
+def train_weights(standardized: DataFrame, rows: int, seed: int = 42, **training):
+    """Autoencoder weights; the matrix is already standardized, so its own scaler is neutral."""
+    zero = np.zeros((1, len(feature_names(standardized.columns))))
+    return train_autoencoders(standardized, rows, [EVERYTHING], zero, zero + 1.0, seed=seed, **training)[0]
+
+
 def train_detectors(standardized: DataFrame, rows: int, seed: int = 42, n_estimators: int = 200, **training):
     """(forest, weights) on every row of an already standardized matrix."""
-    names = feature_names(standardized.columns)
-    forest = collect_forests(
-        train_isolation_forest(standardized, {EVERYTHING: rows}, n_estimators, seed)
-    )[EVERYTHING]
-    flat = np.zeros((1, len(names)))
-    weights = train_autoencoders(standardized, rows, [EVERYTHING], flat, flat + 1.0, seed=seed, **training)[0]
-    return forest, weights
+    return (train_forest(standardized, rows, seed, n_estimators),
+            train_weights(standardized, rows, seed, **training))
 
 
 def thresholds(scores: DataFrame, contamination: float = 0.1) -> dict:

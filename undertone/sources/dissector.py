@@ -47,41 +47,54 @@ def split_malformed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.filter("error is not null").select(*BASE, "error")
 
 
-def _common(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({
-        "ts_us": to_epoch_us(field(layer("frame"), "frame.time_epoch")),
-        "packet_size": number(field(layer("frame"), "frame.len")),
-    })
+def with_fields(exports: DataFrame, wanted: dict) -> DataFrame:
+    """Read each needed layer field once, as a text column; later columns build on these."""
+    wanted = {"_time": "frame.time_epoch", "_length": "frame.len", **wanted}
+    present = {f"_has_{name}": layer(name).isNotNull() for name in LAYERS}
+    return exports.select(
+        *BASE, *[column.alias(name) for name, column in present.items()],
+        *[field(layer(path.split(".")[0]), path).alias(name) for name, path in wanted.items()],
+    )
+
+
+COMMON = {"ts_us": lambda: to_epoch_us(F.col("_time")), "packet_size": lambda: number(F.col("_length"))}
+DNS_FIELDS = {
+    **{f"_{side}{version[2:]}": f"{version}.{side}" for side in ("src", "dst") for version in ("ip", "ipv6")},
+    **{f"_{kind}_{part}": f"{kind}.{part}" for kind in ("udp", "tcp") for part in ("srcport", "dstport", "payload")},
+    "_name": "dns.qry.name", "_type": "dns.qry.type", "_response": "dns.flags.response",
+    "_answers": "dns.count.answers", "_txt": "dns.txt",
+}
+ICMP_FIELDS = {
+    "_src": "ip.src", "_dst": "ip.dst", "_ttl": "ip.ttl", "_icmp_type": "icmp.type",
+    "_code": "icmp.code", "_raw": "icmp.data_raw", "_data": "data.data",
+}
 
 
 def dns_rows(exports: DataFrame) -> DataFrame:
     """DNS packets with an ``error`` column that is null for good ones."""
-    v4 = layer("ip").isNotNull()
-    udp = layer("udp").isNotNull()
+    rows = with_fields(exports.filter(layer("dns").isNotNull()), DNS_FIELDS)
 
     def address(side):
-        return F.when(v4, field(layer("ip"), f"ip.{side}")).otherwise(field(layer("ipv6"), f"ipv6.{side}"))
+        return F.when(F.col("_has_ip"), F.col(f"_{side}")).otherwise(F.col(f"_{side}v6"))
 
     def port(side):
-        return number(F.when(udp, field(layer("udp"), f"udp.{side}port"))
-                      .otherwise(field(layer("tcp"), f"tcp.{side}port")))
+        return number(F.when(F.col("_has_udp"), F.col(f"_udp_{side}port")).otherwise(F.col(f"_tcp_{side}port")))
 
-    dns = layer("dns")
-    name = F.nullif(field(dns, "dns.qry.name"), F.lit(""))
-    response = F.coalesce(to_integer(field(dns, "dns.flags.response")) == 1, F.lit(False))
-    rows = _common(exports.filter(dns.isNotNull())).withColumns({
+    name = F.nullif("_name", F.lit(""))
+    response = F.coalesce(to_integer(F.col("_response")) == 1, F.lit(False))
+    rows = rows.withColumns({
+        **{key: make() for key, make in COMMON.items()},
         "protocol": F.lit("dns"), "src_ip": address("src"), "dst_ip": address("dst"),
         "src_port": port("src"), "dst_port": port("dst"),
         "query_name": name,
         "query_length": F.coalesce(F.char_length(name), F.lit(0)),
-        "qtype": record_type_name(field(dns, "dns.qry.type")),
-        "answer_count": F.when(response, to_integer(field(dns, "dns.count.answers"))),
+        "qtype": record_type_name(F.col("_type")),
+        "answer_count": F.when(response, to_integer(F.col("_answers"))),
         "payload_bytes": dns_payload(
-            hex_bytes(field(layer("udp"), "udp.payload")), hex_bytes(field(layer("tcp"), "tcp.payload")),
-            name, field(dns, "dns.txt"),
+            hex_bytes(F.col("_udp_payload")), hex_bytes(F.col("_tcp_payload")), name, F.col("_txt")
         ),
     })
-    no_layer = ~v4 & layer("ipv6").isNull() | ~udp & layer("tcp").isNull()
+    no_layer = ~F.col("_has_ip") & ~F.col("_has_ipv6") | ~F.col("_has_udp") & ~F.col("_has_tcp")
     required = ["src_ip", "dst_ip", "src_port", "dst_port", "ts_us", "packet_size"]
     return rows.withColumn("error", F.when(no_layer, "no supported IP/transport layer").otherwise(
         _missing(required)
@@ -90,22 +103,18 @@ def dns_rows(exports: DataFrame) -> DataFrame:
 
 def icmp_rows(exports: DataFrame) -> DataFrame:
     """ICMP packets over IPv4 with an ``error`` column that is null for good ones."""
-    ip, icmp = layer("ip"), layer("icmp")
-    payload = F.coalesce(
-        hex_bytes(field(icmp, "icmp.data_raw")), hex_bytes(field(layer("data"), "data.data")),
-        F.lit(b""),
-    )
-    rows = _common(exports.filter(icmp.isNotNull())).withColumns({
-        "protocol": F.lit("icmp"),
-        "src_ip": field(ip, "ip.src"), "dst_ip": field(ip, "ip.dst"),
-        "icmp_type": to_integer(field(icmp, "icmp.type")),
-        "icmp_code": to_integer(field(icmp, "icmp.code")),
+    rows = with_fields(exports.filter(layer("icmp").isNotNull()), ICMP_FIELDS)
+    payload = F.coalesce(hex_bytes(F.col("_raw")), hex_bytes(F.col("_data")), F.lit(b""))
+    rows = rows.withColumns({
+        **{key: make() for key, make in COMMON.items()},
+        "protocol": F.lit("icmp"), "src_ip": F.col("_src"), "dst_ip": F.col("_dst"),
+        "icmp_type": to_integer(F.col("_icmp_type")), "icmp_code": to_integer(F.col("_code")),
         "payload_bytes": payload, "payload_length": F.octet_length(payload),
-        "ttl": to_integer(field(ip, "ip.ttl")),
+        "ttl": to_integer(F.col("_ttl")),
     })
     required = ["src_ip", "dst_ip", "ts_us", "packet_size"]
     return rows.withColumn(
-        "error", F.when(ip.isNull(), "no IPv4 layer").otherwise(_missing(required))
+        "error", F.when(~F.col("_has_ip"), "no IPv4 layer").otherwise(_missing(required))
     )
 
 
