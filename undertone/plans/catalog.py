@@ -79,6 +79,13 @@ def stored_dataset(spark, sf_dir) -> DataFrame:
     return durable(dataset(spark, sf_dir), "dataset")
 
 
+def stored_exports(spark, sf_dir) -> DataFrame:
+    """Dissector exports of the packet table, written and read back as JSON lines."""
+    path = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    event_exports(spark, sf_dir).write.json(path)
+    return dissector.read_exports(spark, path)
+
+
 def events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -151,7 +158,7 @@ def dns_payload_choice(spark, sf_dir):
 
 
 def dns_export_packets(spark, sf_dir):
-    good, _ = dissector.split_malformed(dissector.dns_rows(event_exports(spark, sf_dir)))
+    good, _ = dissector.split_malformed(dissector.dns_rows(stored_exports(spark, sf_dir)))
     return good.select(
         "source_file", "packet_seq", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "query_name",
         "query_length", "qtype", "answer_count", F.hex("payload_bytes").alias("payload"), "packet_size",
@@ -159,7 +166,7 @@ def dns_export_packets(spark, sf_dir):
 
 
 def icmp_export_packets(spark, sf_dir):
-    good, _ = dissector.split_malformed(dissector.icmp_rows(event_exports(spark, sf_dir)))
+    good, _ = dissector.split_malformed(dissector.icmp_rows(stored_exports(spark, sf_dir)))
     return good.select(
         "source_file", "packet_seq", "ts_us", "src_ip", "dst_ip", "icmp_type", "icmp_code",
         F.hex("payload_bytes").alias("payload"), "payload_length", "packet_size", "ttl",
@@ -167,11 +174,11 @@ def icmp_export_packets(spark, sf_dir):
 
 
 def malformed_exports(spark, sf_dir):
-    return dissector.export_packets(event_exports(spark, sf_dir))[1]
+    return dissector.export_packets(stored_exports(spark, sf_dir))[1]
 
 
 def raw_frame_packets(spark, sf_dir):
-    packets, _ = decode_frames(event_frames(spark, sf_dir))
+    packets, _ = decode_frames(durable(event_frames(spark, sf_dir), "frames"))
     return packets.select(
         "source_file", "packet_seq", "ts_us", "protocol", "src_ip", "dst_ip", "src_port", "dst_port", "query_name",
         "query_length", "qtype", "answer_count", "icmp_type",
