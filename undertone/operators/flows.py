@@ -3,7 +3,7 @@
 A tunnel is one long conversation and may hold a large part of all packets, so no step sorts the
 packets of a whole conversation together. Time is cut into slices no longer than the inactivity
 timeout. Packets of one conversation inside one slice always belong to one flow, so flow borders
-show between slice summaries, which are few: at most one per timeout of elapsed time. Packets are
+show between slice summaries, which are few: at most one per slice of elapsed time. Packets are
 only ever ordered within (conversation, slice).
 """
 
@@ -16,6 +16,9 @@ CONVERSATION = ["source_file", "protocol", "ip_a", "port_a", "ip_b", "port_b"]
 FLOW = [*CONVERSATION, "flow_start_us"]
 NO_PORT = -1
 SECOND = 1_000_000
+# A slice is the most one task may have to sort of one conversation, so a long timeout must not
+# lengthen it.
+LONGEST_SLICE_US = 30 * SECOND
 
 
 def microseconds(seconds) -> int:
@@ -83,11 +86,10 @@ def flow_slices(packets: DataFrame, timeout_us: int) -> DataFrame:
     Reads only key and time columns. The packet-sized shuffle is pre-aggregated on the map side
     and spreads a busy conversation over its slices.
     """
-    slice_us = max(timeout_us, 1)
     # Time and capture position in one number: unlike a struct it aggregates by hash, unsorted.
     base = F.lit("1" + "0" * 19).cast("decimal(20,0)")
     position = (F.col("ts_us").cast("decimal(19,0)") * base).cast("decimal(38,0)") + F.col("packet_seq")
-    slices = packets.withColumn("slice", slice_of(slice_us)).groupBy(*CONVERSATION, "slice").agg(
+    slices = packets.withColumn("slice", slice_of(timeout_us)).groupBy(*CONVERSATION, "slice").agg(
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
         F.min(position.cast("decimal(38,0)")).alias("slice_seq"),
@@ -113,8 +115,12 @@ def flow_slices(packets: DataFrame, timeout_us: int) -> DataFrame:
     )
 
 
-def slice_of(slice_us: int) -> Column:
-    """Whole-number slice index; exact for times before 1970 too."""
+def slice_of(timeout_us: int) -> Column:
+    """Whole-number slice index; exact for times before 1970 too.
+
+    A slice is never longer than the timeout, so no flow can end inside it.
+    """
+    slice_us = min(max(timeout_us, 1), LONGEST_SLICE_US)
     return F.expr(f"(ts_us - pmod(ts_us, {slice_us}L)) div {slice_us}L")
 
 
@@ -127,7 +133,7 @@ def place_packets(packets: DataFrame, slices: DataFrame, timeout_us, window_us,
     in_slice = Window.partitionBy(*CONVERSATION, "slice").orderBy("ts_us", "packet_seq")
     # Neighbours first: the slice sort then also serves the join.
     ordered = (
-        packets.withColumn("slice", slice_of(max(timeout_us, 1)))
+        packets.withColumn("slice", slice_of(timeout_us))
         .withColumn("_previous", F.lag("ts_us").over(in_slice))
         .withColumn("_is_last", F.lead("ts_us").over(in_slice).isNull())
     )
@@ -178,7 +184,7 @@ def assign_flows(packets: DataFrame, timeout_seconds: float = 30) -> DataFrame:
     keyed = with_conversation(packets)
     slices = flow_slices(keyed, timeout_us)
     numbered = number_flows(slices)
-    placed = keyed.withColumn("slice", slice_of(max(timeout_us, 1))).join(
+    placed = keyed.withColumn("slice", slice_of(timeout_us)).join(
         slices.join(numbered.select(*FLOW, "flow_seq", "flow_number"), [*FLOW, "flow_seq"])
         .select(*CONVERSATION, "slice", F.col("flow_number").cast("long").alias("flow_id")),
         [*CONVERSATION, "slice"],
