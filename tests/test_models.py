@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import dns, icmp
-from test_evaluation import dns_row, icmp_row, table
-from undertone.operators import boosted, prepare
+from test_evaluation import icmp_row, table
+from undertone.operators import boosted
 from undertone.operators.autoencoder import reconstruction_error, train_autoencoders
 from undertone.operators.features import build_flow_features
 from undertone.operators.iforest import EVERYTHING, average_path, collect_forests, grow_tree, predict_labels, train_isolation_forest

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from undertone.functions.scalars import is_txt_or_null, payload_scalars
 from undertone.operators.flows import (
-    CONVERSATION, FLOW, SECOND, check_parameters, check_packets, flow_slices, microseconds,
+    FLOW, SECOND, check_parameters, check_packets, flow_slices, microseconds,
     number_flows, place_packets, with_conversation,
 )
 from undertone.schema import FLOW_FEATURE_COLUMNS

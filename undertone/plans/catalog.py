@@ -22,9 +22,7 @@ from undertone.plans import dataset as datasets
 from undertone.plans import expected as sql
 from undertone.plans.comparison import run_random_split_comparison
 from undertone.plans.final_models import matrix_scores, train_detector, train_forest, train_weights
-from undertone.plans.loso import (
-    SUPERVISED, loso_with_column_scorer, run_loso, supervised_scores,
-)
+from undertone.plans.loso import loso_with_column_scorer, run_loso, supervised_scores
 from undertone.session import durable, shared_dir
 from undertone.sources import dissector
 from undertone.sources.event_exports import event_exports, event_frames

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from undertone.operators.autoencoder import reconstruction_error, train_autoencoders
 from undertone.operators.iforest import EVERYTHING, collect_forests, train_isolation_forest
