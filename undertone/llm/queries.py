@@ -18,7 +18,8 @@ def op1_sharding(spark, sf_dir):
 
 
 def op2_warc(spark, sf_dir):
-    return warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_ngram_jaccard_join(spark, sf_dir):
