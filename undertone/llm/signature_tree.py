@@ -16,7 +16,8 @@
    leaves that remain are compared exactly. Roots are blocks of bounded size, so a bucket of any
    size is many small pairs of trees.
 
-Links are checked on whole sets, made again from the texts of those documents only.
+Stars pass the same bound first. Links are checked on whole sets, made again from the texts of the
+documents in question only.
 """
 
 import math
@@ -34,7 +35,7 @@ CACHE = 500_000
 BLOCK = 256
 FANOUT = 8
 DOC_ROW, FORWARD, LIVE = 0, 1, 2
-PROFILE = "_kind tinyint, _id bigint, _text_key bigint, _node binary, _n bigint, _token bigint"
+PROFILE = "_kind tinyint, _id bigint, _text_key bigint, _node binary, _n bigint, _token bigint, _bits binary"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_WORDS = 1 << 20
 
@@ -81,17 +82,18 @@ def profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
     hashes = WordHashes()
 
     def run(batch):
-        rows, nodes, prefixes = [], {}, []
+        rows, nodes, prefixes, bits = [], {}, [], []
         for text in batch.column(2).to_pylist():
             grams = shingles(text or b"", size, hashes)
             node = xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
             rows.append((node, len(grams)))
+            bits.append(bitmap(grams).tobytes() if len(grams) else None)
             if node is not None and node not in nodes:
                 nodes[node] = len(grams)
                 prefixes.append(grams[:prefix_length(len(grams), percent)])
         empty = [None] * len(rows)
         yield {"_kind": [DOC_ROW] * len(rows), "_id": batch.column(0), "_text_key": batch.column(1),
-               "_node": [r[0] for r in rows], "_n": [r[1] for r in rows], "_token": empty}
+               "_node": [r[0] for r in rows], "_n": [r[1] for r in rows], "_token": empty, "_bits": bits}
         if not prefixes:
             return
         keys, sizes = pa.array(list(nodes), pa.binary()), np.array(list(nodes.values()), np.int64)
@@ -107,7 +109,8 @@ def profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if len(places):
                 nulls = pa.nulls(len(places), pa.int64())
                 yield {"_kind": np.full(len(places), kind, np.int8), "_id": nulls, "_text_key": nulls,
-                       "_node": keys.take(pa.array(owner[places])), "_n": sizes[owner[places]], "_token": token[places]}
+                       "_node": keys.take(pa.array(owner[places])), "_n": sizes[owner[places]], "_token": token[places],
+                       "_bits": pa.nulls(len(places), pa.binary())}
 
     return map_batches(keyed(docs), run, PROFILE)
 
@@ -158,6 +161,27 @@ def sets_of(docs: DataFrame, homes: DataFrame, nodes: DataFrame, size: int) -> D
     return map_batches(texts, run, "_node binary, _set binary").dropDuplicates(["_node"])
 
 
+def plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the bound on the overlap of two signatures leaves."""
+    left = signed.select(F.col("_node").alias("a"), F.col("_n").alias("_n_a"), F.col("_bits").alias("_bits_a"))
+    right = signed.select(F.col("_node").alias("b"), F.col("_n").alias("_n_b"), F.col("_bits").alias("_bits_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_n_a", "_n_b", "_bits_a", "_bits_b")
+
+    def bound(batch):
+        keep = []
+        sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        for (n, m), x, y in zip(sizes, batch.column(4), batch.column(5)):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64)[None, :] for v in (x, y))
+            width = min(x.shape[1], y.shape[1])
+            x, y = folded(x, width), folded(y, width)
+            common, one, two = (int(np.bitwise_count(v).sum()) for v in (x & y, x, y))
+            keep.append(common + min(n - one, m - two) >= least_overlap(n, m, percent))
+        keep = pa.array(keep, pa.bool_())
+        yield {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
+
+    return map_batches(both, bound, "a binary, b binary")
+
+
 def checked(pairs: DataFrame, docs: DataFrame, homes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar, by their whole sets."""
     pairs = durable(pairs, "pairs")
@@ -172,7 +196,7 @@ def checked(pairs: DataFrame, docs: DataFrame, homes: DataFrame, size: int, perc
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             common = len(x) + len(y) - len(np.union1d(x, y))
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
-        keep = pa.array(keep)
+        keep = pa.array(keep, pa.bool_())
         yield {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
     return durable(map_batches(both.select("a", "b", "_x", "_y"), compare, "a binary, b binary"), "similar")
@@ -279,21 +303,14 @@ def pack_blocks(members: DataFrame) -> DataFrame:
     return members.groupBy("_token", "_class", "_part").applyInArrow(pack, schema)
 
 
-def tree_pairs(live: DataFrame, components: DataFrame, docs, homes, size: int, percent: int) -> DataFrame:
+def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a live token and pass the signature trees."""
     known = live.join(components.withColumnRenamed("node", "_node"), "_node", "left").withColumn(
         "_component", F.coalesce("component", "_node")).drop("component")
     known = durable(known, "live-components")
     open_tokens = known.groupBy("_token").agg(F.min("_component").alias("x"), F.max("_component").alias("y")).filter("x <> y").select("_token")
-    still = known.join(durable(open_tokens, "open-tokens"), "_token", "left_semi")
-    still = durable(still, "open-postings")
-    sets = sets_of(docs, homes, still.select("_node").distinct(), size)
-
-    def sign(batch):
-        grams = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(1)]
-        yield {"_node": batch.column(0), "_bitmap": [bitmap(g).tobytes() for g in grams]}
-
-    bitmaps = durable(map_batches(sets.select("_node", "_set"), sign, "_node binary, _bitmap binary"), "bitmaps")
+    still = durable(known.join(durable(open_tokens, "open-tokens"), "_token", "left_semi"), "open-postings")
+    bitmaps = signed.select("_node", F.col("_bits").alias("_bitmap"))
     # Narrow size classes; those within the similarity's ratio of each other meet.
     step = math.log(100 / percent) / 3
     classed = still.withColumn("_class", F.floor(F.log("_n") / F.lit(step)).cast("int"))
@@ -342,9 +359,12 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     homes = durable(rows.filter("_node is not null").groupBy("_node").agg(
         F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text_key")).alias("h")).select("_node", "h._id", "h._text_key"), "homes")
     live = durable(live_postings(table), "live")
-    links = checked(star_pairs(live, percent), docs, homes, size, percent)
-    merged = connected_components(links)
-    links = links.unionByName(checked(tree_pairs(live, durable(merged, "merged"), docs, homes, size, percent), docs, homes, size, percent))
+    met = durable(live.select("_node").distinct(), "met-nodes")
+    signed = durable(table.filter((F.col("_kind") == DOC_ROW) & F.col("_node").isNotNull()).select("_node", "_n", "_bits").join(
+        met, "_node", "left_semi").dropDuplicates(["_node"]), "signatures")
+    links = checked(plausible(star_pairs(live, percent), signed, percent), docs, homes, size, percent)
+    merged = durable(connected_components(links), "merged")
+    links = links.unionByName(checked(tree_pairs(live, merged, signed, percent), docs, homes, size, percent))
     components = durable(connected_components(links), "components")
     return rows.join(components.select(F.col("node").alias("_node"), F.col("component").alias("_component")), "_node", "left").withColumn(
         "_component", F.coalesce("_component", "_node"))
