@@ -21,19 +21,21 @@ documents in question only.
 """
 
 import math
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from undertone.llm.common import folded_words, map_batches, mixed
+from undertone.llm.common import folded_words, map_batches, mixed, to_arrow
 from undertone.llm.components import connected_components
 from undertone.session import durable
 
 CACHE = 500_000
 BLOCK = 256
 FANOUT = 8
+PACK_ROWS = 4096
 DOC_ROW, FORWARD, LIVE = 0, 1, 2
 PROFILE = "_kind tinyint, _id bigint, _text_key bigint, _node binary, _n bigint, _token bigint, _bits binary"
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -285,22 +287,28 @@ def children(parents, partners, count):
     return opened[there], np.repeat(partners, FANOUT)[there]
 
 
-def pack_blocks(members: DataFrame) -> DataFrame:
-    """One row per (token, size class, part): its nodes, sorted by component, and their bitmaps."""
-    schema = "_token bigint, _class int, _part int, _nodes binary, _components binary, _sizes binary, _bits array<binary>, _first binary, _last binary"
+def pack_blocks(members: DataFrame, postings: int) -> DataFrame:
+    """One row per (token, size class, part): its nodes, sorted by component, and their bitmaps.
+
+    A call packs the blocks that fall into one hash bucket, about ``PACK_ROWS`` rows.
+    """
+    schema = ("_token bigint, _class int, _part int, _nodes binary, _components binary, _sizes binary, "
+              "_bits array<binary>, _first binary, _last binary")
+    names = ["_token", "_class", "_part", "_component", "_node", "_n", "_bits"]
+    arrow = to_arrow(schema)
 
     def pack(table):
-        rows = sorted(table.select(["_node", "_component", "_n", "_bitmap"]).to_pylist(), key=lambda r: (r["_component"], r["_node"]))
-        return pa.Table.from_arrays([
-            pa.array([table.column("_token")[0].as_py()], pa.int64()), pa.array([table.column("_class")[0].as_py()], pa.int32()),
-            pa.array([table.column("_part")[0].as_py()], pa.int32()),
-            pa.array([b"".join(r["_node"] for r in rows)]), pa.array([b"".join(r["_component"] for r in rows)]),
-            pa.array([np.array([r["_n"] for r in rows], np.int64).tobytes()]),
-            pa.array([[r["_bitmap"] for r in rows]], pa.list_(pa.binary())),
-            pa.array([rows[0]["_component"]]), pa.array([rows[-1]["_component"]])],
-            names=["_token", "_class", "_part", "_nodes", "_components", "_sizes", "_bits", "_first", "_last"])
+        rows = sorted(zip(*(table.column(n).to_pylist() for n in names)))
+        out = []
+        for (token, size_class, part), some in groupby(rows, key=lambda r: r[:3]):
+            some = list(some)
+            out.append((
+                token, size_class, part, b"".join(r[4] for r in some), b"".join(r[3] for r in some),
+                np.array([r[5] for r in some], np.int64).tobytes(), [r[6] for r in some], some[0][3], some[-1][3]))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return members.groupBy("_token", "_class", "_part").applyInArrow(pack, schema)
+    calls = max(1, -(-postings // PACK_ROWS))
+    return members.groupBy(F.pmod(F.xxhash64("_token", "_class", "_part"), F.lit(calls)).alias("_call")).applyInArrow(pack, schema)
 
 
 def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -308,9 +316,12 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
     known = live.join(components.withColumnRenamed("node", "_node"), "_node", "left").withColumn(
         "_component", F.coalesce("component", "_node")).drop("component")
     known = durable(known, "live-components")
-    open_tokens = known.groupBy("_token").agg(F.min("_component").alias("x"), F.max("_component").alias("y")).filter("x <> y").select("_token")
+    # Buckets that hold the same nodes are one bucket: copies share many tokens.
+    holds = known.groupBy("_token").agg(
+        F.min("_component").alias("x"), F.max("_component").alias("y"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("_node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "_node")).alias("t"))
+    open_tokens = holds.filter("x <> y").groupBy("n", "s", "t").agg(F.min("_token").alias("_token")).select("_token")
     still = durable(known.join(durable(open_tokens, "open-tokens"), "_token", "left_semi"), "open-postings")
-    bitmaps = signed.select("_node", F.col("_bits").alias("_bitmap"))
     # Narrow size classes; those within the similarity's ratio of each other meet.
     step = math.log(100 / percent) / 3
     classed = still.withColumn("_class", F.floor(F.log("_n") / F.lit(step)).cast("int"))
@@ -320,7 +331,9 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
     crowded = dealt.groupBy("_token", "_class", "_part").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("_over"))
     dealt = dealt.join(crowded, ["_token", "_class", "_part"]).withColumn(
         "_part", (F.col("_part") + F.col("_parts") * F.pmod(F.xxhash64("_node"), F.col("_over"))).cast("int"))
-    blocks = durable(pack_blocks(dealt.join(bitmaps, "_node").select("_token", "_class", "_part", "_node", "_component", "_n", "_bitmap")), "blocks")
+    members = dealt.join(signed.select("_node", "_bits"), "_node").select(
+        "_token", "_class", "_part", "_component", "_node", "_n", "_bits")
+    blocks = durable(pack_blocks(members, still.count()), "blocks")
     other = blocks.select(*[F.col(c).alias(f"{c}2") for c in blocks.columns])
     near = blocks.withColumn("_class2", F.explode(F.sequence(F.col("_class"), F.col("_class") + 4)))
     met = near.join(other.withColumnRenamed("_token2", "_token"), ["_token", "_class2"]).filter(
