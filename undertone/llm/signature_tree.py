@@ -36,6 +36,7 @@ CACHE = 500_000
 BLOCK = 256
 FANOUT = 8
 PACK_ROWS = 4096
+WHOLE = -1
 DOC_ROW, FORWARD, LIVE = 0, 1, 2
 PROFILE = "_kind tinyint, _id bigint, _text_key bigint, _node binary, _n bigint, _token bigint, _bits binary"
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -322,9 +323,11 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
         F.sum(F.xxhash64("_node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "_node")).alias("t"))
     open_tokens = holds.filter("x <> y").groupBy("n", "s", "t").agg(F.min("_token").alias("_token")).select("_token")
     still = durable(known.join(durable(open_tokens, "open-tokens"), "_token", "left_semi"), "open-postings")
-    # Narrow size classes; those within the similarity's ratio of each other meet.
+    # A bucket is one block. Larger ones split into narrow size classes, those into parts; classes
+    # within the similarity's ratio of each other meet.
     step = math.log(100 / percent) / 3
-    classed = still.withColumn("_class", F.floor(F.log("_n") / F.lit(step)).cast("int"))
+    counted = still.join(still.groupBy("_token").agg(F.count(F.lit(1)).alias("_all")), "_token")
+    classed = counted.withColumn("_class", F.when(F.col("_all") <= BLOCK, WHOLE).otherwise(F.floor(F.log("_n") / F.lit(step))).cast("int"))
     parts = classed.groupBy("_token", "_class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
     dealt = classed.join(parts, ["_token", "_class"]).withColumn("_part", F.pmod(F.xxhash64("_component"), F.col("_parts")).cast("int"))
     # Components larger than a block are dealt by node.
@@ -334,10 +337,20 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
     members = dealt.join(signed.select("_node", "_bits"), "_node").select(
         "_token", "_class", "_part", "_component", "_node", "_n", "_bits")
     blocks = durable(pack_blocks(members, still.count()), "blocks")
-    other = blocks.select(*[F.col(c).alias(f"{c}2") for c in blocks.columns])
-    near = blocks.withColumn("_class2", F.explode(F.sequence(F.col("_class"), F.col("_class") + 4)))
-    met = near.join(other.withColumnRenamed("_token2", "_token"), ["_token", "_class2"]).filter(
+    load = ["_nodes", "_components", "_sizes", "_bits"]
+    alone = blocks.filter((F.col("_class") == WHOLE) & (F.col("_first") != F.col("_last"))).select(
+        *load, *[F.col(c).alias(f"{c}2") for c in load])
+    # Roots meet by their keys alone; only pairs with something to compare fetch their bitmaps.
+    place = ["_class", "_part", "_first", "_last"]
+    roots = blocks.filter(F.col("_class") != WHOLE).select("_token", *place)
+    other = roots.select("_token", *[F.col(c).alias(f"{c}2") for c in place])
+    near = roots.withColumn("_class2", F.explode(F.sequence(F.col("_class"), F.col("_class") + 4))).join(other, ["_token", "_class2"]).filter(
         "(_class < _class2 or _part <= _part2) and not (_first = _last and _first2 = _last2 and _first = _first2)")
+    near = durable(near.select("_token", "_class", "_part", "_class2", "_part2"), "roots")
+    key = ["_token", "_class", "_part"]
+    met = near.join(blocks.select(*key, *load), key).join(
+        blocks.select("_token", F.col("_class").alias("_class2"), F.col("_part").alias("_part2"), *[F.col(c).alias(f"{c}2") for c in load]),
+        ["_token", "_class2", "_part2"])
 
     def unpack(row, end):
         sizes = np.frombuffer(row[f"_sizes{end}"], np.int64)
@@ -356,7 +369,7 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
             i, j = i[apart], j[apart]
             yield {"a": [r.tobytes() for r in a[1][i]], "b": [r.tobytes() for r in b[1][j]], "n_a": a[0][i], "n_b": b[0][j]}
 
-    met = met.select(*blocks.columns, *[f"{c}2" for c in ("_nodes", "_components", "_sizes", "_bits")])
+    met = alone.unionByName(met.select(*alone.columns))
     return sized_pairs(map_batches(met, traverse, "a binary, b binary, n_a bigint, n_b bigint"), percent)
 
 
