@@ -164,6 +164,14 @@ def sets_of(docs: DataFrame, homes: DataFrame, nodes: DataFrame, size: int) -> D
     return map_batches(texts, run, "_node binary, _set binary").dropDuplicates(["_node"])
 
 
+def leaves_meet(n, x, m, y, percent) -> bool:
+    """Whether two sets of n and m members with bitmaps x and y (one row each) may be similar."""
+    width = min(x.shape[1], y.shape[1])
+    x, y = folded(x, width), folded(y, width)
+    common, one, two = (int(np.bitwise_count(v).sum()) for v in (x & y, x, y))
+    return common + min(n - one, m - two) >= least_overlap(n, m, percent)
+
+
 def plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """The pairs that the bound on the overlap of two signatures leaves."""
     left = signed.select(F.col("_node").alias("a"), F.col("_n").alias("_n_a"), F.col("_bits").alias("_bits_a"))
@@ -175,10 +183,7 @@ def plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
         sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
         for (n, m), x, y in zip(sizes, batch.column(4), batch.column(5)):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64)[None, :] for v in (x, y))
-            width = min(x.shape[1], y.shape[1])
-            x, y = folded(x, width), folded(y, width)
-            common, one, two = (int(np.bitwise_count(v).sum()) for v in (x & y, x, y))
-            keep.append(common + min(n - one, m - two) >= least_overlap(n, m, percent))
+            keep.append(leaves_meet(n, x, m, y, percent))
         keep = pa.array(keep, pa.bool_())
         yield {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
@@ -367,6 +372,9 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
             i, j = dual_traversal(one, two, percent)
             apart = (a[2][i] != b[2][j]).any(1)
             i, j = i[apart], j[apart]
+            # The tree folds all bitmaps to its shortest one; two leaves alone tell more.
+            keep = np.array([leaves_meet(a[0][x], a[3][x], b[0][y], b[3][y], percent) for x, y in zip(i, j)], bool)
+            i, j = i[keep], j[keep]
             yield {"a": [r.tobytes() for r in a[1][i]], "b": [r.tobytes() for r in b[1][j]], "n_a": a[0][i], "n_b": b[0][j]}
 
     met = alone.unionByName(met.select(*alone.columns))
