@@ -38,7 +38,7 @@ FANOUT = 8
 PACK_ROWS = 4096
 WHOLE = -1
 DOC_ROW, FORWARD, LIVE = 0, 1, 2
-PROFILE = "_kind tinyint, _id bigint, _text_key bigint, _node binary, _n bigint, _token bigint, _bits binary"
+PROFILE = "_kind tinyint, _id bigint, _text_key bigint, _set_key binary, _node bigint, _n bigint, _token bigint, _bits binary"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_WORDS = 1 << 20
 
@@ -75,6 +75,14 @@ def least_overlap(n, m, percent: int):
     return -(-(percent * (n + m)) // (100 + percent))
 
 
+def node_of(set_key: bytes) -> int:
+    """The number of a node while pairs are looked for: half of its set's key.
+
+    Should two sets share a number, they are looked up and compared one by one in the end.
+    """
+    return int.from_bytes(set_key[:8], "little", signed=True)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_text_key"),
                        F.col("text").cast("binary").alias("_text"))
@@ -85,21 +93,24 @@ def profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
     hashes = WordHashes()
 
     def run(batch):
-        rows, nodes, prefixes, bits = [], {}, [], []
+        rows, sizes, prefixes = [], {}, []
         for text in batch.column(2).to_pylist():
             grams = shingles(text or b"", size, hashes)
-            node = xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
-            rows.append((node, len(grams)))
-            bits.append(bitmap(grams).tobytes() if len(grams) else None)
-            if node is not None and node not in nodes:
-                nodes[node] = len(grams)
+            if not len(grams):
+                rows.append((None, None, 0, None))
+                continue
+            key = xxhash.xxh3_128_digest(grams.tobytes())
+            node = node_of(key)
+            rows.append((key, node, len(grams), bitmap(grams).tobytes()))
+            if node not in sizes:
+                sizes[node] = len(grams)
                 prefixes.append(grams[:prefix_length(len(grams), percent)])
-        empty = [None] * len(rows)
-        yield {"_kind": [DOC_ROW] * len(rows), "_id": batch.column(0), "_text_key": batch.column(1),
-               "_node": [r[0] for r in rows], "_n": [r[1] for r in rows], "_token": empty, "_bits": bits}
+        key, node, n, bits = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+        yield {"_kind": [DOC_ROW] * len(rows), "_id": batch.column(0), "_text_key": batch.column(1), "_set_key": key,
+               "_node": node, "_n": n, "_token": [None] * len(rows), "_bits": bits}
         if not prefixes:
             return
-        keys, sizes = pa.array(list(nodes), pa.binary()), np.array(list(nodes.values()), np.int64)
+        nodes, n = np.array(list(sizes), np.int64), np.array(list(sizes.values()), np.int64)
         owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
         token = np.concatenate(prefixes).view(np.int64)
         order = np.argsort(token, kind="stable")
@@ -107,26 +118,33 @@ def profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
         first[1:] = token[order][1:] != token[order][:-1]
         run_size = np.diff(np.append(np.flatnonzero(first), len(order)))
         shared = np.repeat(run_size > 1, run_size)
-        # Back in the order of nodes, so that stored node keys repeat.
+        # Back in the order of nodes, so that stored node numbers repeat.
         for kind, places in ((FORWARD, np.sort(order[first])), (LIVE, np.sort(order[shared]))):
             if len(places):
-                nulls = pa.nulls(len(places), pa.int64())
-                yield {"_kind": np.full(len(places), kind, np.int8), "_id": nulls, "_text_key": nulls,
-                       "_node": keys.take(pa.array(owner[places])), "_n": sizes[owner[places]], "_token": token[places],
-                       "_bits": pa.nulls(len(places), pa.binary())}
+                nulls, none = pa.nulls(len(places), pa.int64()), pa.nulls(len(places), pa.binary())
+                yield {"_kind": np.full(len(places), kind, np.int8), "_id": nulls, "_text_key": nulls, "_set_key": none,
+                       "_node": nodes[owner[places]], "_n": n[owner[places]], "_token": token[places], "_bits": none}
 
     return map_batches(keyed(docs), run, PROFILE)
 
 
 def live_postings(table: DataFrame) -> DataFrame:
-    """(_token, _node, _n) of tokens that several nodes hold; at most one row a batch and token is shuffled."""
+    """(_token, _node, _n) of tokens that several nodes hold; at most one row a batch and token is shuffled.
+
+    Buckets that hold the same nodes are one bucket, that of the smallest token: copies share many.
+    """
     from pyspark.sql import Window
 
     of_token = Window.partitionBy("_token")
     forward = table.filter(F.col("_kind") == FORWARD).select("_token", "_node", "_n")
     met = forward.withColumns({"_low": F.min("_node").over(of_token), "_high": F.max("_node").over(of_token)})
-    return met.filter("_low <> _high").select("_token", "_node", "_n").unionByName(
-        table.filter(F.col("_kind") == LIVE).select("_token", "_node", "_n")).distinct()
+    live = durable(met.filter("_low <> _high").select("_token", "_node", "_n").unionByName(
+        table.filter(F.col("_kind") == LIVE).select("_token", "_node", "_n")).distinct(), "live")
+    holds = live.groupBy("_token").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("_node").cast("decimal(20,0)")).alias("s"),
+        F.bit_xor(F.xxhash64(F.lit(1), "_node")).alias("t"))
+    buckets = durable(holds.groupBy("n", "s", "t").agg(F.min("_token").alias("_token")).select("_token"), "buckets")
+    return live.join(buckets, "_token", "left_semi")
 
 
 def star_pairs(live: DataFrame, percent: int) -> DataFrame:
@@ -150,18 +168,19 @@ def sized_pairs(pairs, percent):
 
 
 def sets_of(docs: DataFrame, homes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(_node, _set) of some nodes, from the text of one document each (``homes``)."""
+    """(_set_key, _node, _set) of some nodes, from the text of one document each (``homes``)."""
     wanted = durable(homes.join(nodes, "_node", "left_semi").select(F.col("_id").alias("_of"), F.col("_text_key").alias("_of_text")).distinct(), "wanted")
     mine = keyed(docs)
     texts = mine.join(wanted, mine["_id"].eqNullSafe(wanted["_of"]) & (mine["_text_key"] == wanted["_of_text"]), "left_semi")
     hashes = WordHashes()
 
     def run(batch):
-        grams = [shingles(t or b"", size, hashes) for t in batch.column(2).to_pylist()]
-        yield {"_node": [xxhash.xxh3_128_digest(g.tobytes()) for g in grams], "_set": [g.tobytes() for g in grams]}
+        grams = [shingles(t or b"", size, hashes).tobytes() for t in batch.column(2).to_pylist()]
+        keys = [xxhash.xxh3_128_digest(g) for g in grams]
+        yield {"_set_key": keys, "_node": [node_of(k) for k in keys], "_set": grams}
 
     # Rows that repeat an id and text give the same set again.
-    return map_batches(texts, run, "_node binary, _set binary").dropDuplicates(["_node"])
+    return map_batches(texts, run, "_set_key binary, _node bigint, _set binary").dropDuplicates(["_set_key"])
 
 
 def leaves_meet(n, x, m, y, percent) -> bool:
@@ -187,16 +206,17 @@ def plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
         keep = pa.array(keep, pa.bool_())
         yield {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
-    return map_batches(both, bound, "a binary, b binary")
+    return map_batches(both, bound, "a bigint, b bigint").distinct()
 
 
 def checked(pairs: DataFrame, docs: DataFrame, homes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar, by their whole sets."""
+    """Of the pairs of nodes, the set keys (a, b) of those that are similar, by their whole sets."""
     pairs = durable(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
     sets = durable(sets_of(docs, homes, ends, size), "sets")
-    both = pairs.join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a").join(
-        sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b")
+    left = sets.select(F.col("_node").alias("a"), F.col("_set_key").alias("x"), F.col("_set").alias("_x"))
+    right = sets.select(F.col("_node").alias("b"), F.col("_set_key").alias("y"), F.col("_set").alias("_y"))
+    both = pairs.join(left, "a").join(right, "b").select("x", "y", "_x", "_y")
 
     def compare(batch):
         keep = []
@@ -207,7 +227,7 @@ def checked(pairs: DataFrame, docs: DataFrame, homes: DataFrame, size: int, perc
         keep = pa.array(keep, pa.bool_())
         yield {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
-    return durable(map_batches(both.select("a", "b", "_x", "_y"), compare, "a binary, b binary"), "similar")
+    return durable(map_batches(both, compare, "a binary, b binary"), "similar")
 
 
 # --- signature trees -----------------------------------------------------------------------------
@@ -293,13 +313,23 @@ def children(parents, partners, count):
     return opened[there], np.repeat(partners, FANOUT)[there]
 
 
+def shorter(signed: DataFrame) -> DataFrame:
+    """Signatures for the trees, half as long: what passes there meets the whole ones afterwards."""
+
+    def fold(batch):
+        bits = [np.frombuffer(b.as_buffer(), np.uint64)[None, :] for b in batch.column(1)]
+        yield {"_node": batch.column(0), "_bits": [folded(b, max(1, b.shape[1] // 2)).tobytes() for b in bits]}
+
+    return map_batches(signed.select("_node", "_bits"), fold, "_node bigint, _bits binary")
+
+
 def pack_blocks(members: DataFrame, postings: int) -> DataFrame:
     """One row per (token, size class, part): its nodes, sorted by component, and their bitmaps.
 
     A call packs the blocks that fall into one hash bucket, about ``PACK_ROWS`` rows.
     """
     schema = ("_token bigint, _class int, _part int, _nodes binary, _components binary, _sizes binary, "
-              "_bits array<binary>, _first binary, _last binary")
+              "_bits array<binary>, _first bigint, _last bigint")
     names = ["_token", "_class", "_part", "_component", "_node", "_n", "_bits"]
     arrow = to_arrow(schema)
 
@@ -309,8 +339,8 @@ def pack_blocks(members: DataFrame, postings: int) -> DataFrame:
         for (token, size_class, part), some in groupby(rows, key=lambda r: r[:3]):
             some = list(some)
             out.append((
-                token, size_class, part, b"".join(r[4] for r in some), b"".join(r[3] for r in some),
-                np.array([r[5] for r in some], np.int64).tobytes(), [r[6] for r in some], some[0][3], some[-1][3]))
+                token, size_class, part, *(np.array([r[i] for r in some], np.int64).tobytes() for i in (4, 3, 5)),
+                [r[6] for r in some], some[0][3], some[-1][3]))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     calls = max(1, -(-postings // PACK_ROWS))
@@ -318,15 +348,13 @@ def pack_blocks(members: DataFrame, postings: int) -> DataFrame:
 
 
 def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a live token and pass the signature trees."""
-    known = live.join(components.withColumnRenamed("node", "_node"), "_node", "left").withColumn(
-        "_component", F.coalesce("component", "_node")).drop("component")
-    known = durable(known, "live-components")
-    # Buckets that hold the same nodes are one bucket: copies share many tokens.
-    holds = known.groupBy("_token").agg(
-        F.min("_component").alias("x"), F.max("_component").alias("y"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("_node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "_node")).alias("t"))
-    open_tokens = holds.filter("x <> y").groupBy("n", "s", "t").agg(F.min("_token").alias("_token")).select("_token")
+    """Pairs (a, b) of nodes of different components that share a live token and pass the signature trees.
+
+    ``components`` has _node and component, as numbers; nodes not in it are their own.
+    """
+    known = durable(live.join(components, "_node", "left").withColumn(
+        "_component", F.coalesce("component", "_node")).drop("component"), "live-components")
+    open_tokens = known.groupBy("_token").agg(F.min("_component").alias("x"), F.max("_component").alias("y")).filter("x <> y").select("_token")
     still = durable(known.join(durable(open_tokens, "open-tokens"), "_token", "left_semi"), "open-postings")
     # A bucket is one block. Larger ones split into narrow size classes, those into parts; classes
     # within the similarity's ratio of each other meet.
@@ -339,7 +367,7 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
     crowded = dealt.groupBy("_token", "_class", "_part").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("_over"))
     dealt = dealt.join(crowded, ["_token", "_class", "_part"]).withColumn(
         "_part", (F.col("_part") + F.col("_parts") * F.pmod(F.xxhash64("_node"), F.col("_over"))).cast("int"))
-    members = dealt.join(signed.select("_node", "_bits"), "_node").select(
+    members = dealt.join(durable(shorter(signed), "tree-signatures"), "_node").select(
         "_token", "_class", "_part", "_component", "_node", "_n", "_bits")
     blocks = durable(pack_blocks(members, still.count()), "blocks")
     load = ["_nodes", "_components", "_sizes", "_bits"]
@@ -358,10 +386,8 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
         ["_token", "_class2", "_part2"])
 
     def unpack(row, end):
-        sizes = np.frombuffer(row[f"_sizes{end}"], np.int64)
-        nodes, comps = (np.frombuffer(row[f"{c}{end}"], np.uint8).reshape(-1, 16) for c in ("_nodes", "_components"))
-        maps = [np.frombuffer(b, np.uint64)[None, :] for b in row[f"_bits{end}"]]
-        return sizes, nodes, comps, maps
+        nodes, comps, sizes = (np.frombuffer(row[f"{c}{end}"], np.int64) for c in ("_nodes", "_components", "_sizes"))
+        return sizes, nodes, comps, [np.frombuffer(b, np.uint64)[None, :] for b in row[f"_bits{end}"]]
 
     def traverse(batch):
         for k in range(batch.num_rows):
@@ -370,38 +396,38 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
             width = min(m.shape[1] for m in a[3] + b[3])
             one, two = (tree(np.concatenate([folded(m, width) for m in x[3]]), x[0]) for x in (a, b))
             i, j = dual_traversal(one, two, percent)
-            apart = (a[2][i] != b[2][j]).any(1)
-            i, j = i[apart], j[apart]
             # The tree folds all bitmaps to its shortest one; two leaves alone tell more.
-            keep = np.array([leaves_meet(a[0][x], a[3][x], b[0][y], b[3][y], percent) for x, y in zip(i, j)], bool)
+            keep = np.array([a[2][x] != b[2][y] and leaves_meet(a[0][x], a[3][x], b[0][y], b[3][y], percent) for x, y in zip(i, j)], bool)
             i, j = i[keep], j[keep]
-            yield {"a": [r.tobytes() for r in a[1][i]], "b": [r.tobytes() for r in b[1][j]], "n_a": a[0][i], "n_b": b[0][j]}
+            yield {"a": a[1][i], "b": b[1][j], "n_a": a[0][i], "n_b": b[0][j]}
 
     met = alone.unionByName(met.select(*alone.columns))
-    return sized_pairs(map_batches(met, traverse, "a binary, b binary, n_a bigint, n_b bigint"), percent)
+    return sized_pairs(map_batches(met, traverse, "a bigint, b bigint, n_a bigint, n_b bigint"), percent)
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: _id, _text_key, _n (set size), _node, _component.
+    """One row per document: _id, _text_key, _set_key, _node, _n (set size), _component.
 
     Links are similarities of ``percent`` per cent or more between the sets of ``size``-word n-grams;
     components are what is reachable by links. A text shorter than n words is one n-gram; null
-    texts and texts without words have no node and no component. Repeated rows are rows.
+    texts and texts without words have no key and no component. Repeated rows are rows.
     """
     table = durable(profile(docs, size, percent), "profile")
-    rows = table.filter(F.col("_kind") == DOC_ROW).select("_id", "_text_key", "_node", "_n")
-    homes = durable(rows.filter("_node is not null").groupBy("_node").agg(
-        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text_key")).alias("h")).select("_node", "h._id", "h._text_key"), "homes")
-    live = durable(live_postings(table), "live")
+    rows = table.filter(F.col("_kind") == DOC_ROW).select("_id", "_text_key", "_set_key", "_node", "_n")
+    homes = durable(rows.filter("_set_key is not null").groupBy("_set_key", "_node").agg(
+        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text_key")).alias("h")).select("_set_key", "_node", "h._id", "h._text_key"), "homes")
+    live = durable(live_postings(table), "live-buckets")
     met = durable(live.select("_node").distinct(), "met-nodes")
-    signed = durable(table.filter((F.col("_kind") == DOC_ROW) & F.col("_node").isNotNull()).select("_node", "_n", "_bits").join(
-        met, "_node", "left_semi").dropDuplicates(["_node"]), "signatures")
+    signed = durable(table.filter((F.col("_kind") == DOC_ROW) & F.col("_node").isNotNull()).select("_set_key", "_node", "_n", "_bits").join(
+        met, "_node", "left_semi").dropDuplicates(["_set_key"]), "signatures")
     links = checked(plausible(star_pairs(live, percent), signed, percent), docs, homes, size, percent)
-    merged = durable(connected_components(links), "merged")
-    links = links.unionByName(checked(tree_pairs(live, merged, signed, percent), docs, homes, size, percent))
+    merged = connected_components(links).join(homes, F.col("node") == F.col("_set_key")).groupBy("_node").agg(
+        F.min(F.xxhash64("component")).alias("component"))
+    pairs = tree_pairs(live, durable(merged, "merged"), signed, percent)
+    links = links.unionByName(checked(plausible(pairs, signed, percent), docs, homes, size, percent))
     components = durable(connected_components(links), "components")
-    return rows.join(components.select(F.col("node").alias("_node"), F.col("component").alias("_component")), "_node", "left").withColumn(
-        "_component", F.coalesce("_component", "_node"))
+    return rows.join(components.select(F.col("node").alias("_set_key"), F.col("component").alias("_component")), "_set_key", "left").withColumn(
+        "_component", F.coalesce("_component", "_set_key"))
 
 
 def component_report(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
