@@ -33,7 +33,7 @@ from undertone.llm.components import connected_components
 from undertone.session import durable
 
 CACHE = 500_000
-BLOCK = 256
+BLOCK = 1024
 FANOUT = 8
 PACK_ROWS = 4096
 WHOLE = -1
@@ -307,22 +307,27 @@ def dual_traversal(one, other, percent):
             j, i = children(j, i, len(other[bt].low))
 
 
+def by_width(ours, theirs, percent):
+    """Leaves of two blocks grouped by the length of their bitmaps: (places, places, common length).
+
+    Lengths follow sizes, so lengths too far apart hold no similar sets, and leaves fold little.
+    """
+    groups = []
+    for maps in (ours, theirs):
+        widths = np.array([m.shape[1] for m in maps])
+        groups.append({int(w): np.flatnonzero(widths == w) for w in np.unique(widths)})
+    for width, places in groups[0].items():
+        for other, partners in groups[1].items():
+            if max(width, other) * percent < 200 * min(width, other):
+                yield places, partners, min(width, other)
+
+
 def children(parents, partners, count):
     opened = (parents[:, None] * FANOUT + np.arange(FANOUT)).ravel()
     there = opened < count
     return opened[there], np.repeat(partners, FANOUT)[there]
 
 
-def shorter(signed: DataFrame) -> DataFrame:
-    """Signatures for the trees, half as long: what passes there meets the whole ones afterwards."""
-
-    def fold(batch):
-        bits = [np.frombuffer(b.as_buffer(), np.uint64)[None, :] for b in batch.column(1)]
-        yield {"_node": batch.column(0), "_bits": [folded(b, max(1, b.shape[1] // 2)).tobytes() for b in bits]}
-
-    return map_batches(signed.select("_node", "_bits"), fold, "_node bigint, _bits binary")
-
-
 def pack_blocks(members: DataFrame, postings: int) -> DataFrame:
     """One row per (token, size class, part): its nodes, sorted by component, and their bitmaps.
 
@@ -356,9 +361,9 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
         "_component", F.coalesce("component", "_node")).drop("component"), "live-components")
     open_tokens = known.groupBy("_token").agg(F.min("_component").alias("x"), F.max("_component").alias("y")).filter("x <> y").select("_token")
     still = durable(known.join(durable(open_tokens, "open-tokens"), "_token", "left_semi"), "open-postings")
-    # A bucket is one block. Larger ones split into narrow size classes, those into parts; classes
-    # within the similarity's ratio of each other meet.
-    step = math.log(100 / percent) / 3
+    # A bucket is one block. Larger ones split into size classes, those into parts; a class is as
+    # wide as the similarity's ratio, so it meets itself and its neighbours.
+    step = math.log(100 / percent)
     counted = still.join(still.groupBy("_token").agg(F.count(F.lit(1)).alias("_all")), "_token")
     classed = counted.withColumn("_class", F.when(F.col("_all") <= BLOCK, WHOLE).otherwise(F.floor(F.log("_n") / F.lit(step))).cast("int"))
     parts = classed.groupBy("_token", "_class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
@@ -367,7 +372,7 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
     crowded = dealt.groupBy("_token", "_class", "_part").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("_over"))
     dealt = dealt.join(crowded, ["_token", "_class", "_part"]).withColumn(
         "_part", (F.col("_part") + F.col("_parts") * F.pmod(F.xxhash64("_node"), F.col("_over"))).cast("int"))
-    members = dealt.join(durable(shorter(signed), "tree-signatures"), "_node").select(
+    members = dealt.join(signed.select("_node", "_bits"), "_node").select(
         "_token", "_class", "_part", "_component", "_node", "_n", "_bits")
     blocks = durable(pack_blocks(members, still.count()), "blocks")
     load = ["_nodes", "_components", "_sizes", "_bits"]
@@ -377,7 +382,7 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
     place = ["_class", "_part", "_first", "_last"]
     roots = blocks.filter(F.col("_class") != WHOLE).select("_token", *place)
     other = roots.select("_token", *[F.col(c).alias(f"{c}2") for c in place])
-    near = roots.withColumn("_class2", F.explode(F.sequence(F.col("_class"), F.col("_class") + 4))).join(other, ["_token", "_class2"]).filter(
+    near = roots.withColumn("_class2", F.explode(F.sequence(F.col("_class"), F.col("_class") + 2))).join(other, ["_token", "_class2"]).filter(
         "(_class < _class2 or _part <= _part2) and not (_first = _last and _first2 = _last2 and _first = _first2)")
     near = durable(near.select("_token", "_class", "_part", "_class2", "_part2"), "roots")
     key = ["_token", "_class", "_part"]
@@ -393,13 +398,13 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
             a, b = unpack(row, ""), unpack(row, "2")
-            width = min(m.shape[1] for m in a[3] + b[3])
-            one, two = (tree(np.concatenate([folded(m, width) for m in x[3]]), x[0]) for x in (a, b))
-            i, j = dual_traversal(one, two, percent)
-            # The tree folds all bitmaps to its shortest one; two leaves alone tell more.
-            keep = np.array([a[2][x] != b[2][y] and leaves_meet(a[0][x], a[3][x], b[0][y], b[3][y], percent) for x, y in zip(i, j)], bool)
-            i, j = i[keep], j[keep]
-            yield {"a": a[1][i], "b": b[1][j], "n_a": a[0][i], "n_b": b[0][j]}
+            for one, other, width in by_width(a[3], b[3], percent):
+                trees = [tree(np.concatenate([folded(x[3][i], width) for i in at]), x[0][at]) for x, at in ((a, one), (b, other))]
+                i, j = dual_traversal(*trees, percent)
+                i, j = one[i], other[j]
+                apart = a[2][i] != b[2][j]
+                i, j = i[apart], j[apart]
+                yield {"a": a[1][i], "b": b[1][j], "n_a": a[0][i], "n_b": b[0][j]}
 
     met = alone.unionByName(met.select(*alone.columns))
     return sized_pairs(map_batches(met, traverse, "a bigint, b bigint, n_a bigint, n_b bigint"), percent)
@@ -424,7 +429,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     merged = connected_components(links).join(homes, F.col("node") == F.col("_set_key")).groupBy("_node").agg(
         F.min(F.xxhash64("component")).alias("component"))
     pairs = tree_pairs(live, durable(merged, "merged"), signed, percent)
-    links = links.unionByName(checked(plausible(pairs, signed, percent), docs, homes, size, percent))
+    links = links.unionByName(checked(pairs, docs, homes, size, percent))
     components = durable(connected_components(links), "components")
     return rows.join(components.select(F.col("node").alias("_set_key"), F.col("component").alias("_component")), "_set_key", "left").withColumn(
         "_component", F.coalesce("_component", "_set_key"))
