@@ -58,6 +58,14 @@ def test_matrix_refusals(spark):
     text = good.withColumn("size_mean", F.lit("many"))
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         prepare.model_matrix(text, "dns").collect()
+    halved = good.withColumn("label", F.lit(0.7))
+    with pytest.raises(Exception, match="whole number"):
+        prepare.model_matrix(halved, "dns").collect()
+
+
+def test_rows_without_a_flow_id_stay_apart(spark):
+    features = table(spark, [dns_row(size_mean=float(i)) for i in range(5)]).drop("flow_id")
+    assert prepare.model_matrix(features, "dns").select("flow_id").distinct().count() == 5
 
 
 def test_flag_spellings(spark):

@@ -170,3 +170,9 @@ def test_feature_values(packets):
 def test_source_file_separates_captures(packets):
     rows = [dns(0), {**dns(1), "source_file": "b.pcap"}]
     assert build_flow_features(packets(rows)).filter(F.col("flow_id") == "0").count() == 2
+
+
+def test_a_packet_without_a_time_fails_the_job(spark, packets):
+    rows = packets([dns(0), dns(1)]).withColumn("ts_us", F.when(F.col("packet_seq") == 0, F.col("ts_us")))
+    with pytest.raises(Exception, match="packet without a time"):
+        assign_flows(rows).collect()

@@ -186,13 +186,13 @@ def test_scoring_refuses_unusable_input(spark, packets, saved):
 
 
 @pytest.mark.parametrize("name,change,text", [
-    ("model_meta", lambda d: d.withColumn("demo_only", F.lit(False)), "provenance"),
-    ("model_meta", lambda d: d.withColumn("autoencoder_threshold", F.lit(float("nan"))), "thresholds"),
+    ("model_meta", lambda d: d.withColumn("demo_only", F.lit(False)), "not marked"),
+    ("model_meta", lambda d: d.withColumn("autoencoder_threshold", F.lit(float("nan"))), "autoencoder_threshold is not a finite"),
     ("model_meta", lambda d: d.withColumn("feature_names", F.reverse("feature_names")), "order"),
-    ("model_meta", lambda d: d.withColumn("input_dim", F.lit(3)), "dimensions"),
+    ("model_meta", lambda d: d.withColumn("input_dim", F.lit(3)), "trained on 3 inputs"),
     ("scaler", lambda d: d.withColumn("position", -F.col("position")), "order"),
-    ("ae_weights", lambda d: d.withColumn("weights", F.slice("weights", 1, 5)), "dimensions"),
-    ("forest_nodes", lambda d: d.limit(0), "incomplete"),
+    ("ae_weights", lambda d: d.withColumn("weights", F.slice("weights", 1, 5)), "another number of inputs"),
+    ("forest_nodes", lambda d: d.limit(0), "no tree"),
     (None, None, "missing"),
 ])
 def test_tampered_models_are_refused(spark, saved, tmp_path, name, change, text):

@@ -52,9 +52,16 @@ def model_matrix(features: DataFrame, protocol: str | None = None) -> DataFrame:
             return F.when(single, F.coalesce(column, F.lit(0.0))).otherwise(column)
         return F.coalesce(column, F.lit(0.0)) if name in filled else column
 
-    flow_id = F.col("flow_id").cast("string") if "flow_id" in features.columns else F.lit(None).cast("string")
+    if "flow_id" in features.columns:
+        flow_id = F.col("flow_id").cast("string")
+    else:
+        # Draws, shards and splits go by row: without an id, what the row holds tells rows apart.
+        flow_id = F.hex(F.xxhash64(*[F.col(c) for c in sorted(features.columns)]))
+    label = F.col("label").cast("double")
+    whole = F.when(label.isNull() | (label == F.floor(label)), label.cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("a label must be a whole number, not "), label.cast("string"))).cast("int"))
     return features.select(
-        "source_file", flow_id.alias("flow_id"), F.col("label").cast("double").cast("int").alias("label"),
+        "source_file", flow_id.alias("flow_id"), whole.alias("label"),
         *[value(name).alias(name) for name in names],
     )
 

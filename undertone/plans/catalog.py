@@ -491,11 +491,11 @@ def autoencoder_errors(spark, sf_dir):
 def supervised_probabilities(spark, sf_dir):
     rows = durable(prepare.model_matrix(dataset(spark, sf_dir), "icmp"), "matrix")
     census = {r["fold"]: r.asDict() for r in splits.fold_census(rows).collect()}
-    return supervised_scores(rows, census, iterations=20)
+    return supervised_scores(rows, census)
 
 
 def loso_evaluation(spark, sf_dir):
-    return run_loso(stored_dataset(spark, sf_dir), "icmp", iterations=20)
+    return run_loso(stored_dataset(spark, sf_dir), "icmp")
 
 
 def random_split_comparison(spark, sf_dir):

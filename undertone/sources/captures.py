@@ -248,7 +248,7 @@ def read_frames(splits: DataFrame) -> DataFrame:
                     yield pd.DataFrame(rows, columns=[f.name for f in FRAME_SCHEMA])
 
     usable = splits.filter("error is null and packets > 0")
-    tasks = max(1, min(usable.count(), 100_000))
+    tasks = max(1, usable.count())
     return usable.repartition(tasks, "path", "start").mapInPandas(load, FRAME_SCHEMA)
 
 

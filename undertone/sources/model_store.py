@@ -84,23 +84,29 @@ def load_detector(spark: SparkSession, protocol: str, directory) -> Detector:
 
     meta_rows, scaler = get("model_meta", META_SCHEMA), get("scaler", SCALER_SCHEMA)
     trees, weight_rows = get("forest_nodes", TREE_SCHEMA), get("ae_weights", WEIGHTS_SCHEMA)
-    if len(meta_rows) != 1 or len(weight_rows) != 1 or not trees:
-        raise ValueError("model tables are incomplete")
+    counts = {"model_meta": len(meta_rows), "ae_weights": len(weight_rows)}
+    wrong = [f"{name} holds {n} rows instead of one" for name, n in counts.items() if n != 1]
+    if not trees:
+        wrong.append("forest_nodes holds no tree")
+    if wrong:
+        raise ValueError(f"cannot use the saved '{protocol}' models: {'; '.join(wrong)}")
     meta, scaler = meta_rows[0], sorted(scaler, key=lambda r: r["position"])
-    names = meta["feature_names"]
-    if not names or not all(isinstance(n, str) for n in names) or len(set(names)) != len(names):
-        raise ValueError("invalid feature names")
-    if [r["feature"] for r in scaler] != names or meta["forest_feature_names"] != names:
-        raise ValueError("feature order mismatch")
-    forest = Forest.from_rows(trees)
-    if meta["input_dim"] != len(names) or forest.feature.max(initial=0) >= len(names):
-        raise ValueError("model dimensions do not match features")
+    names, forest = list(meta["feature_names"] or []), Forest.from_rows(trees)
     weights = np.array(weight_rows[0]["weights"], dtype=float)
-    if len(weights) != len(initial_weights(len(names), 0)):
-        raise ValueError("model dimensions do not match features")
-    limits = (meta["forest_threshold"], meta["autoencoder_threshold"], meta["forest_offset"])
-    if any(x is None or not math.isfinite(x) for x in limits) or meta["demo_only"] is not True:
-        raise ValueError("missing demo provenance or finite thresholds")
+    numbers = {n: meta[n] for n in ("forest_threshold", "autoencoder_threshold", "forest_offset")}
+    checks = {
+        "its feature names are empty, missing or repeated": bool(names) and None not in names and len({*names}) == len(names),
+        "scaler and forest list other features or another order":
+            names == [r["feature"] for r in scaler] and names == meta["forest_feature_names"],
+        f"it was trained on {meta['input_dim']} inputs, not {len(names)}": meta["input_dim"] == len(names),
+        "a tree splits on a feature that is not there": forest.feature.max(initial=0) < max(1, len(names)),
+        "the autoencoder has weights for another number of inputs": len(weights) == len(initial_weights(len(names), 0)),
+        "it is not marked as trained on all data": meta["demo_only"] is True,
+        **{f"{n} is not a finite number": x is not None and math.isfinite(x) for n, x in numbers.items()},
+    }
+    wrong = [text for text, fine in checks.items() if not fine]
+    if wrong:
+        raise ValueError(f"cannot use the saved '{protocol}' models: {'; '.join(wrong)}")
     return Detector(
         protocol, list(names), np.array([r["mean"] for r in scaler]), np.array([r["scale"] for r in scaler]),
         forest, meta["forest_offset"], meta["forest_threshold"], weights,
