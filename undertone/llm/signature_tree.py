@@ -13,8 +13,8 @@
    a bit in common for each shared n-gram but those lost, then
        overlap <= common bits + lost n-grams of either side,
    and a pair of tree nodes is left as soon as that, or the sizes, rule out the similarity. Pairs of
-   leaves that remain are compared exactly. Roots are blocks of bounded size, so a bucket of any
-   size is many small pairs of trees.
+   leaves that remain are compared exactly, once for all the buckets of a batch that they meet in.
+   Roots are blocks of bounded size, so a bucket of any size is many small pairs of trees.
 
 Stars pass the same bound first. Links are checked on whole sets, made again from the texts of the
 documents in question only.
@@ -36,6 +36,7 @@ CACHE = 500_000
 BLOCK = 1024
 FANOUT = 8
 PACK_ROWS = 4096
+PAIR_ROWS = 1 << 20
 WHOLE = -1
 DOC_ROW, FORWARD, LIVE = 0, 1, 2
 PROFILE = "_kind tinyint, _id bigint, _text_key bigint, _set_key binary, _node bigint, _n bigint, _token bigint, _bits binary"
@@ -359,8 +360,11 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
     """
     known = durable(live.join(components, "_node", "left").withColumn(
         "_component", F.coalesce("component", "_node")).drop("component"), "live-components")
-    open_tokens = known.groupBy("_token").agg(F.min("_component").alias("x"), F.max("_component").alias("y")).filter("x <> y").select("_token")
-    still = durable(known.join(durable(open_tokens, "open-tokens"), "_token", "left_semi"), "open-postings")
+    open_tokens = known.groupBy("_token").agg(
+        F.min("_component").alias("x"), F.max("_component").alias("y"), F.min("_node").alias("_head")).filter("x <> y").select("_token", "_head")
+    # Buckets with the same smallest node become one: pairs share very many tokens, but few smallest nodes.
+    still = durable(known.join(durable(open_tokens, "open-tokens"), "_token").select(
+        F.col("_head").alias("_token"), "_node", "_n", "_component").distinct(), "open-postings")
     # A bucket is one block. Larger ones split into size classes, those into parts; a class is as
     # wide as the similarity's ratio, so it meets itself and its neighbours.
     step = math.log(100 / percent)
@@ -395,6 +399,7 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
         return sizes, nodes, comps, [np.frombuffer(b, np.uint64)[None, :] for b in row[f"_bits{end}"]]
 
     def traverse(batch):
+        found, held = [], 0
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
             a, b = unpack(row, ""), unpack(row, "2")
@@ -404,10 +409,21 @@ def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percen
                 i, j = one[i], other[j]
                 apart = a[2][i] != b[2][j]
                 i, j = i[apart], j[apart]
-                yield {"a": a[1][i], "b": b[1][j], "n_a": a[0][i], "n_b": b[0][j]}
+                x, y = a[1][i], b[1][j]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                held += len(i)
+                if held > PAIR_ROWS:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    held = len(found[0])
+                    if held > PAIR_ROWS // 2:
+                        yield {"a": found[0][:, 0], "b": found[0][:, 1]}
+                        found, held = [], 0
+        if held:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield {"a": pairs[:, 0], "b": pairs[:, 1]}
 
     met = alone.unionByName(met.select(*alone.columns))
-    return sized_pairs(map_batches(met, traverse, "a bigint, b bigint, n_a bigint, n_b bigint"), percent)
+    return map_batches(met, traverse, "a bigint, b bigint").distinct()
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
