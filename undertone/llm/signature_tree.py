@@ -37,6 +37,7 @@ BLOCK = 1024
 FANOUT = 8
 PACK_ROWS = 4096
 PAIR_ROWS = 1 << 20
+LEAST_BITS = 2048
 WHOLE = -1
 DOC_ROW, FORWARD, LIVE = 0, 1, 2
 PROFILE = "_kind tinyint, _id bigint, _text_key bigint, _set_key binary, _node bigint, _n bigint, _token bigint, _bits binary"
@@ -235,8 +236,8 @@ def checked(pairs: DataFrame, docs: DataFrame, homes: DataFrame, size: int, perc
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of a node's bitmap: the power of two from 2n on, 64 at least."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """Bits of a node's bitmap: the power of two from 2n on, ``LEAST_BITS`` at least."""
+    return max(LEAST_BITS, 1 << (2 * n - 1).bit_length())
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
