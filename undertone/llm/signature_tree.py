@@ -1,12 +1,15 @@
 """Exact Jaccard components of word n-gram sets, with signature trees.
 
 1. A document becomes the set of its n-grams, 64-bit hashes; equal sets are one node (a 128-bit
-   key). Ordered by hash, the first |x| - ceil(t |x|) + 1 members of two sets with similarity t
-   or more have a member in common. These prefix tokens are the buckets; tokens that one node
-   alone holds fall away. Tasks combine what they meet in one batch before the shuffle, so a token
-   of very many documents sends one row a batch.
-2. In every bucket and size class the smallest node is compared with the others: a star, not all
-   pairs. Its links merge most copies.
+   key). In any one order of all n-grams, the first |x| - ceil(t |x|) + 1 members of two sets with
+   similarity t or more have a member in common. The order is by rarity, then by hash, so that a
+   passage of many documents comes last: a sketch of 2^20 counts over all documents gives every
+   n-gram a level, the logarithm of its count. Counts that collide change the order, never the
+   result. These prefix tokens are the buckets; tokens that one node alone holds fall away. Tasks
+   combine what they meet in one batch before the shuffle, so a token of very many documents sends
+   one row a batch.
+2. In every bucket and size class one node is compared with the others: a star, not all pairs. Its
+   links merge most copies. Further rounds take other nodes and only compare components still apart.
 3. Nodes of a bucket that still belong to different components meet in signature trees. A leaf is
    a node with its size and a bitmap of its hashed n-grams; inner nodes hold the OR of their
    bitmaps, the size range and the largest number of n-grams lost to shared bits. If two sets have
@@ -38,6 +41,9 @@ FANOUT = 8
 PACK_ROWS = 4096
 PAIR_ROWS = 1 << 20
 LEAST_BITS = 2048
+STAR_ROUNDS = 2
+CELL_BITS = 20
+CHUNK_BITS = 10
 WHOLE = -1
 DOC_ROW, FORWARD, LIVE = 0, 1, 2
 PROFILE = "_kind tinyint, _id bigint, _text_key bigint, _set_key binary, _node bigint, _n bigint, _token bigint, _bits binary"
@@ -90,9 +96,59 @@ def keyed(docs: DataFrame) -> DataFrame:
                        F.col("text").cast("binary").alias("_text"))
 
 
+def cells_of(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def rarity_levels(docs: DataFrame, size: int) -> np.ndarray:
+    """A level per cell of n-grams: the bits of the number of documents counted there.
+
+    A task counts its documents in one array and sends it in chunks; tasks that add chunks up hold
+    one sum per chunk. The levels are 1 MB for any input.
+    """
+    hashes = WordHashes()
+    chunk = 1 << CHUNK_BITS
+    schema = "_chunk int, _counts binary"
+    arrow = to_arrow(schema)
+
+    def send(counts):
+        parts = counts.reshape(-1, chunk)
+        used = np.flatnonzero(parts.any(axis=1))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], schema=arrow)
+
+    def count(batches):
+        # Two bytes a count: what a task counts beyond them is common in any case.
+        counts = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(2).to_pylist():
+                np.add.at(counts, cells_of(shingles(text or b"", size, hashes)), 1)
+        yield send(np.minimum(counts, 65535).astype(np.uint16))
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(part.as_buffer(), np.uint16).astype(np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        levels = [np.frexp(v)[1].astype(np.uint8).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], schema=arrow)
+
+    found = keyed(docs).mapInArrow(count, schema).repartition("_chunk").mapInArrow(add, schema)
+    levels = np.zeros((1 << (CELL_BITS - CHUNK_BITS), chunk), np.uint8)
+    for row in found.collect():
+        levels[row["_chunk"]] = np.frombuffer(row["_counts"], np.uint8)
+    return levels.ravel()
+
+
 def profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """One pass over the texts: a row per document, and the prefix tokens of its node."""
+    """A row per document, and the prefix tokens of its node."""
     hashes = WordHashes()
+    levels = docs.sparkSession.sparkContext.broadcast(rarity_levels(docs, size))
+
+    def prefix(grams):
+        rarest = np.argsort(levels.value[cells_of(grams)], kind="stable")
+        return grams[rarest[:prefix_length(len(grams), percent)]]
 
     def run(batch):
         rows, sizes, prefixes = [], {}, []
@@ -106,7 +162,7 @@ def profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
             rows.append((key, node, len(grams), bitmap(grams).tobytes()))
             if node not in sizes:
                 sizes[node] = len(grams)
-                prefixes.append(grams[:prefix_length(len(grams), percent)])
+                prefixes.append(prefix(grams))
         key, node, n, bits = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
         yield {"_kind": [DOC_ROW] * len(rows), "_id": batch.column(0), "_text_key": batch.column(1), "_set_key": key,
                "_node": node, "_n": n, "_token": [None] * len(rows), "_bits": bits}
@@ -149,17 +205,19 @@ def live_postings(table: DataFrame) -> DataFrame:
     return live.join(buckets, "_token", "left_semi")
 
 
-def star_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's smallest node of a size class with the others of the class.
+def star_pairs(live: DataFrame, percent: int, number: int) -> DataFrame:
+    """Pairs (a, b) of one node of each bucket and size class with those of the class in other components.
 
-    Two overlapping rows of classes, so that sizes near a class border meet in one of them.
+    The node is the first by a hash that differs from round to round. Two overlapping rows of
+    classes, so that sizes near a class border meet in one of them.
     """
     width = math.log(100 / percent)
     place = F.log("_n") / F.lit(width)
     classed = live.withColumn("_class", F.explode(F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)))
     heads = classed.groupBy("_token", "_class").agg(
-        F.min_by(F.struct("_node", "_n"), "_node").alias("_head"), F.max("_node").alias("_last")).filter("_head._node <> _last")
-    pairs = classed.join(heads, ["_token", "_class"]).filter("_head._node <> _node")
+        F.min_by(F.struct("_node", "_n", "_component"), F.xxhash64(F.lit(number), "_node")).alias("_head"),
+        F.min("_component").alias("_first"), F.max("_component").alias("_last")).filter("_first <> _last")
+    pairs = classed.join(heads, ["_token", "_class"]).filter("_head._component <> _component")
     return sized_pairs(pairs.select(F.col("_head._node").alias("a"), F.col("_node").alias("b"),
                                     F.col("_head._n").alias("n_a"), F.col("_n").alias("n_b")), percent)
 
@@ -354,18 +412,24 @@ def pack_blocks(members: DataFrame, postings: int) -> DataFrame:
     return members.groupBy(F.pmod(F.xxhash64("_token", "_class", "_part"), F.lit(calls)).alias("_call")).applyInArrow(pack, schema)
 
 
-def tree_pairs(live: DataFrame, components: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a live token and pass the signature trees.
+def open_postings(live: DataFrame, components: DataFrame) -> DataFrame:
+    """Postings of the buckets that hold several components, with those of ``components`` (_node, component).
 
-    ``components`` has _node and component, as numbers; nodes not in it are their own.
+    Nodes not in it are their own.
     """
-    known = durable(live.join(components, "_node", "left").withColumn(
-        "_component", F.coalesce("component", "_node")).drop("component"), "live-components")
+    known = durable(live.join(components, "_node", "left").select(
+        "_token", "_node", "_n", F.coalesce("component", "_node").alias("_component")), "live-components")
     open_tokens = known.groupBy("_token").agg(
-        F.min("_component").alias("x"), F.max("_component").alias("y"), F.min("_node").alias("_head")).filter("x <> y").select("_token", "_head")
+        F.min("_component").alias("x"), F.max("_component").alias("y")).filter("x <> y").select("_token")
+    return durable(known.join(durable(open_tokens, "open-tokens"), "_token", "left_semi"), "open-postings")
+
+
+def tree_pairs(still: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share a live token and pass the signature trees."""
     # Buckets with the same smallest node become one: pairs share very many tokens, but few smallest nodes.
-    still = durable(known.join(durable(open_tokens, "open-tokens"), "_token").select(
-        F.col("_head").alias("_token"), "_node", "_n", "_component").distinct(), "open-postings")
+    heads = still.groupBy("_token").agg(F.min("_node").alias("_head"))
+    still = durable(still.join(heads, "_token").select(
+        F.col("_head").alias("_token"), "_node", "_n", "_component").distinct(), "tree-postings")
     # A bucket is one block. Larger ones split into size classes, those into parts; a class is as
     # wide as the similarity's ratio, so it meets itself and its neighbours.
     step = math.log(100 / percent)
@@ -442,11 +506,17 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     met = durable(live.select("_node").distinct(), "met-nodes")
     signed = durable(table.filter((F.col("_kind") == DOC_ROW) & F.col("_node").isNotNull()).select("_set_key", "_node", "_n", "_bits").join(
         met, "_node", "left_semi").dropDuplicates(["_set_key"]), "signatures")
-    links = checked(plausible(star_pairs(live, percent), signed, percent), docs, homes, size, percent)
-    merged = connected_components(links).join(homes, F.col("node") == F.col("_set_key")).groupBy("_node").agg(
-        F.min(F.xxhash64("component")).alias("component"))
-    pairs = tree_pairs(live, durable(merged, "merged"), signed, percent)
-    links = links.unionByName(checked(pairs, docs, homes, size, percent))
+    still, links, components = live.withColumn("_component", F.col("_node")), None, None
+    for number in range(STAR_ROUNDS):
+        found = checked(plausible(star_pairs(still, percent, number), signed, percent), docs, homes, size, percent)
+        # What earlier rounds linked goes on as its components alone.
+        links = found if components is None else found.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        components = durable(connected_components(links), "components")
+        merged = components.join(homes, F.col("node") == F.col("_set_key")).groupBy("_node").agg(
+            F.min(F.xxhash64("component")).alias("component"))
+        still = open_postings(still.drop("_component"), durable(merged, "merged"))
+    links = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
+        checked(tree_pairs(still, signed, percent), docs, homes, size, percent))
     components = durable(connected_components(links), "components")
     return rows.join(components.select(F.col("node").alias("_set_key"), F.col("component").alias("_component")), "_set_key", "left").withColumn(
         "_component", F.coalesce("_component", "_set_key"))
