@@ -8,8 +8,10 @@
    result. These prefix tokens are the buckets; tokens that one node alone holds fall away. Tasks
    combine what they meet in one batch before the shuffle, so a token of very many documents sends
    one row a batch.
-2. In every bucket and size class one node is compared with the others: a star, not all pairs. Its
-   links merge most copies. Further rounds take other nodes and only compare components still apart.
+2. In every bucket one node is compared with the others: a star, not all pairs. Its links merge
+   most copies, and the node, now compared with all, leaves the bucket. Further rounds do the same
+   for components still apart, so small buckets are done with. Buckets of over a block have a star
+   in every size class, and their nodes stay.
 3. Nodes of a bucket that still belong to different components meet in signature trees. A leaf is
    a node with its size and a bitmap of its hashed n-grams; inner nodes hold the OR of their
    bitmaps, the size range and the largest number of n-grams lost to shared bits. If two sets have
@@ -41,7 +43,7 @@ FANOUT = 8
 PACK_ROWS = 4096
 PAIR_ROWS = 1 << 20
 LEAST_BITS = 2048
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 CELL_BITS = 20
 CHUNK_BITS = 10
 WHOLE = -1
@@ -187,7 +189,7 @@ def profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def live_postings(table: DataFrame) -> DataFrame:
-    """(_token, _node, _n) of tokens that several nodes hold; at most one row a batch and token is shuffled.
+    """(_token, _node, _n, _all) of tokens that several (``_all``) nodes hold; at most one row a batch and token is shuffled.
 
     Buckets that hold the same nodes are one bucket, that of the smallest token: copies share many.
     """
@@ -201,27 +203,40 @@ def live_postings(table: DataFrame) -> DataFrame:
     holds = live.groupBy("_token").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("_node").cast("decimal(20,0)")).alias("s"),
         F.bit_xor(F.xxhash64(F.lit(1), "_node")).alias("t"))
-    buckets = durable(holds.groupBy("n", "s", "t").agg(F.min("_token").alias("_token")).select("_token"), "buckets")
-    return live.join(buckets, "_token", "left_semi")
+    buckets = durable(holds.groupBy("n", "s", "t").agg(F.min("_token").alias("_token")).select("_token", F.col("n").alias("_all")), "buckets")
+    return live.join(buckets, "_token")
 
 
-def star_pairs(live: DataFrame, percent: int, number: int) -> DataFrame:
-    """Pairs (a, b) of one node of each bucket and size class with those of the class in other components.
+def star_heads(classed: DataFrame, number: int) -> DataFrame:
+    """The node of each bucket and class that comes first by a hash, another one every round."""
+    return classed.groupBy("_token", "_class").agg(
+        F.min_by(F.struct("_node", "_n", "_component"), F.xxhash64(F.lit(number), "_node")).alias("_head"),
+        F.min("_component").alias("_first"), F.max("_component").alias("_last"))
+
+
+def star_pairs(still: DataFrame, percent: int, number: int) -> DataFrame:
+    """Pairs (a, b) of the heads with the nodes of their bucket and class in other components.
 
-    The node is the first by a hash that differs from round to round. Two overlapping rows of
-    classes, so that sizes near a class border meet in one of them.
+    A bucket of up to a block is one class. Larger ones have two overlapping rows of classes, so
+    that sizes near a class border meet in one of them.
     """
     width = math.log(100 / percent)
     place = F.log("_n") / F.lit(width)
-    classed = live.withColumn("_class", F.explode(F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)))
-    heads = classed.groupBy("_token", "_class").agg(
-        F.min_by(F.struct("_node", "_n", "_component"), F.xxhash64(F.lit(number), "_node")).alias("_head"),
-        F.min("_component").alias("_first"), F.max("_component").alias("_last")).filter("_first <> _last")
+    classes = F.when(F.col("_all") <= BLOCK, F.array(F.lit(WHOLE).cast("bigint"))).otherwise(F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1))
+    classed = still.withColumn("_class", F.explode(classes))
+    heads = star_heads(classed, number).filter("_first <> _last")
     pairs = classed.join(heads, ["_token", "_class"]).filter("_head._component <> _component")
     return sized_pairs(pairs.select(F.col("_head._node").alias("a"), F.col("_node").alias("b"),
                                     F.col("_head._n").alias("n_a"), F.col("_n").alias("n_b")), percent)
 
 
+def without_heads(still: DataFrame, number: int) -> DataFrame:
+    """The postings without the heads of buckets of up to a block, which have met all their bucket."""
+    heads = star_heads(still.filter(F.col("_all") <= BLOCK).withColumn("_class", F.lit(WHOLE)), number)
+    heads = heads.select("_token", F.col("_head._node").alias("_met"))
+    return still.join(heads, "_token", "left").filter("_met is null or _met <> _node").drop("_met")
+
+
 def sized_pairs(pairs, percent):
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     return pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -418,7 +433,7 @@ def open_postings(live: DataFrame, components: DataFrame) -> DataFrame:
     Nodes not in it are their own.
     """
     known = durable(live.join(components, "_node", "left").select(
-        "_token", "_node", "_n", F.coalesce("component", "_node").alias("_component")), "live-components")
+        "_token", "_node", "_n", "_all", F.coalesce("component", "_node").alias("_component")), "live-components")
     open_tokens = known.groupBy("_token").agg(
         F.min("_component").alias("x"), F.max("_component").alias("y")).filter("x <> y").select("_token")
     return durable(known.join(durable(open_tokens, "open-tokens"), "_token", "left_semi"), "open-postings")
@@ -514,7 +529,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         components = durable(connected_components(links), "components")
         merged = components.join(homes, F.col("node") == F.col("_set_key")).groupBy("_node").agg(
             F.min(F.xxhash64("component")).alias("component"))
-        still = open_postings(still.drop("_component"), durable(merged, "merged"))
+        still = open_postings(without_heads(still, number).drop("_component"), durable(merged, "merged"))
     links = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
         checked(tree_pairs(still, signed, percent), docs, homes, size, percent))
     components = durable(connected_components(links), "components")
