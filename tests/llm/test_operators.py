@@ -341,6 +341,25 @@ def test_languages(spark):
     assert language_id.language_report(frame.limit(0)).count() == 0
 
 
+def test_a_full_word_cache_changes_no_label(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = language_id.Model.of_counts(
+        ["a", "b", "c"], rng.integers(0, 50, (language_id.BUCKETS, 3)), np.ones((len(language_id.NAMES), 3)))
+    source = random.Random(11)
+    batches = [[sentence(source, n) for n in (1, 5, 60)] + ["", None] for _ in range(12)]
+    unbounded = language_id.Words(model)
+    want = [language_id.label_texts(batch, unbounded) for batch in batches]
+    monkeypatch.setattr(language_id, "CACHE", 10)
+    bounded, sizes = language_id.Words(model), []
+    got = []
+    for batch in batches:
+        got.append(language_id.label_texts(batch, bounded))
+        sizes.append(len(bounded))
+    assert got == want
+    # The cache was emptied: it holds one batch's words at most, and one row of scores for each.
+    assert max(sizes) <= 66 < len(unbounded) and len(bounded.scores) == len(bounded.sizes) == len(bounded)
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 

@@ -149,6 +149,7 @@ def label_texts(texts, words: Words, penalty=SWITCH_PENALTY):
     """(language, score, spans) per text; spans are (start, end, language) in code points."""
     model = words.model
     if len(words) > CACHE:
+        words.clear()
         words.__init__(model)
     rows = [np.fromiter(map(words.__getitem__, words_of(t)), np.int64) if t and model.languages else () for t in texts]
     words.settle()
