@@ -320,6 +320,24 @@ def test_slots_must_be_consistent(spark):
     assert gathered(decontamination.leak_report(docs, benchmark), "doc_id", "same_slots") == [(1, False)]
 
 
+def test_renamed_subjects_and_inserted_words_are_found(spark):
+    tom = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have now?"
+    ann = tom.replace("5", "7").replace("3", "4")
+    words = "gardeners know that roses want plenty of water before noon when summers grow hot and dry".split()
+    filler = sentence(random.Random(12), 30)
+    docs = spark.createDataFrame([
+        (1, f"{filler}. {ann.replace('Tom', 'Sara')} {filler}"), (2, f"{filler}. {ann.replace('Tom', 'Mary Ann')}"),
+        (3, f"{filler} {' '.join(words[:8])} surely {' '.join(words[8:])} {filler}"), (4, f"{filler}. {tom}"),
+        # One subject under two names, half of an item, and both halves far from each other.
+        (5, f"{filler}. {ann.replace('Tom', 'Sara', 2).replace('Tom', 'Ida')}"), (6, f"{filler} {' '.join(words[:8])} {filler}"),
+        (7, f"{' '.join(words[:8])} {filler} {' '.join(words[8:])}")], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, tom), (2, " ".join(words))], "item_id bigint, text string")
+    assert len(words) == 16
+    got = gathered(decontamination.leak_report(docs, benchmark), "doc_id", "item_id", "same_slots")
+    assert sorted(got) == [(1, 1, False), (2, 1, False), (3, 2, True), (4, 1, True)]
+    assert sorted(r.doc_id for r in decontamination.without_leaks(docs, benchmark).collect()) == [5, 6, 7]
+
+
 def test_languages(spark):
     rng = random.Random(6)
     languages = {"en": ["the", "and", "with", "house", "thing", "water"], "de": ["der", "und", "mit", "haus", "ding", "wasser"],

@@ -3,8 +3,12 @@
 Both sides become templates: numbers, names (capitalised words inside a sentence) and units after
 a number turn into typed placeholders, other words are lower-cased without punctuation. Windows of
 template words are hash-joined, so a question with new numbers or names still meets its original.
-On every diagonal of matching windows the slots must be consistent: one value of the benchmark
-item stands for one value of the document throughout.
+On every diagonal of matching windows, and on neighbouring diagonals together (a word more or less
+moves the rest of a text), the slots must be consistent: one value of the benchmark item stands for
+one value of the document throughout.
+
+A second, loose template takes capitalised words at a sentence start for names as well, and a run of
+names or of numbers for one placeholder, so that renamed subjects and names of several words match.
 
 A fixed-size bitmap of the benchmark's window hashes goes to the tasks, so that only windows that
 may match leave them; the join decides.
@@ -24,6 +28,9 @@ LEAST_LITERALS = 4
 RUN = 6
 BITMAP_BITS = 23
 CACHE = 500_000
+# Words more or less between two parts of an item that still count together.
+SLACK = 8
+STRICT, LOOSE = range(2)
 LITERAL, NUMBER, NAME, UNIT = range(4)
 # Units of measure that become a placeholder after a number.
 UNITS = frozenset(
@@ -34,7 +41,7 @@ UNITS = frozenset(
 NUMERIC = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(?:%|[$€£]|st|nd|rd|th)?")
 EDGES = re.compile(r"^\W+|\W+$")
 ENDS = re.compile(r"[.!?:]\W*$")
-WINDOWS_SCHEMA = "_owner bigint, _text_key bigint, _at int, _hash bigint, _slots array<string>"
+WINDOWS_SCHEMA = "_owner bigint, _text_key bigint, _template int, _size int, _at int, _hash bigint, _slots array<string>"
 
 
 class Kinds(dict):
@@ -71,25 +78,26 @@ class Kinds(dict):
         return found
 
     def template(self, rows):
-        """(hash and kind of every template word, its place among the words). Punctuation vanishes."""
+        """Hash and kind of every template word, its kind in the loose template, whether it begins a
+        sentence, and its place among the words. Punctuation vanishes."""
         flags = self.flags[rows]
         places = np.flatnonzero(~flags[:, 3])
         flags, hashes = flags[places], self.hashes[rows[places]]
         after_end, after_number = np.ones(len(places), bool), np.zeros(len(places), bool)
         after_end[1:], after_number[1:] = flags[:-1, 4], flags[:-1, 0]
-        kinds = np.where(flags[:, 1] & ~after_end, NAME, LITERAL)
-        kinds[flags[:, 2] & after_number] = UNIT
-        kinds[flags[:, 0]] = NUMBER
-        return hashes, kinds, places
+        loose = np.where(flags[:, 1], NAME, LITERAL)
+        loose[flags[:, 2] & after_number] = UNIT
+        loose[flags[:, 0]] = NUMBER
+        return hashes, np.where((loose == NAME) & after_end, LITERAL, loose), loose, after_end, places
 
 
-def windows(hashes, kinds, size):
+def windows(hashes, kinds, size, template):
     """(first word, hash) of the windows of ``size`` words with enough literal words."""
     n = len(hashes) - size + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
-    spread = mixed(hashes + np.uint64(size))
+    spread = mixed(hashes + np.uint64(size + (template << 32)))
     with np.errstate(over="ignore"):
         for i in range(size):
             total = total * np.uint64(0x9E3779B97F4A7C15) + spread[i:i + n]
@@ -100,52 +108,77 @@ def windows(hashes, kinds, size):
 
 def slots_of(words, kinds, at, size):
     """Slot values of one window, in order, each with its kind."""
-    return [f"{kinds[j]}{EDGES.sub('', words[j]).lower()}" for j in range(at, at + size) if kinds[j] != LITERAL]
+    return [f"{kinds[j]}{words[j]}" for j in range(at, at + size) if kinds[j] != LITERAL]
 
 
-def versions(hashes, kinds, sizes):
-    """(first word, hash, size, kinds) of all windows: names as they stand, and names as placeholders.
+def versions(hashes, kinds, loose, begins, sizes_of):
+    """(template, size, kinds, first word of every template word, first of window, hash) of all windows.
 
-    Capitals get lost or appear when texts are copied, so a plain version goes along; windows
-    without a name are the same in both and come once.
+    Capitals get lost or appear when texts are copied, so in the strict template a plain version
+    goes along; windows without a name are the same in both and come once. The loose template is
+    left out where it has no name and no number, so that it says nothing new.
+    ``sizes_of`` gives the sizes of a template by its number and length.
     """
     plain = np.where(kinds == NAME, LITERAL, kinds)
     named = np.concatenate([[0], np.cumsum(kinds == NAME)])
-    for size in sizes:
+    every = np.arange(len(hashes))
+    for size in sizes_of(STRICT, len(hashes)):
         for kind in (plain, kinds) if named[-1] else (plain,):
-            at, found = windows(np.where(kind == LITERAL, hashes, kind.astype(np.uint64)), kind, size)
+            at, found = windows(np.where(kind == LITERAL, hashes, kind.astype(np.uint64)), kind, size, STRICT)
             if kind is not plain:
                 some = named[at + size] > named[at]
                 at, found = at[some], found[some]
-            yield at, found, size, kind
-
-
-def template_windows(rows: DataFrame, sizes, bitmap=None) -> DataFrame:
+            yield STRICT, size, kind, every, at, found
+    runs = (loose == NAME) | (loose == NUMBER)
+    if runs.any():
+        more = np.zeros(len(loose), bool)
+        more[1:] = runs[1:] & (loose[1:] == loose[:-1]) & ~begins[1:]
+        firsts = np.flatnonzero(~more)
+        kind = loose[firsts]
+        values = np.where(kind == LITERAL, hashes[firsts], kind.astype(np.uint64))
+        for size in sizes_of(LOOSE, len(firsts)):
+            yield LOOSE, size, kind, firsts, *windows(values, kind, size, LOOSE)
+
+
+def template_windows(rows: DataFrame, window: int, sizes=None, bitmap=None) -> DataFrame:
     """Windows of the texts in ``rows`` (_owner, _text_key, _text).
 
-    With a bitmap, windows of all sizes that it knows; else those of the largest size that fits.
+    With a bitmap, windows of all ``sizes`` (template -> sizes) that it knows; else those of
+    ``window`` words, or of all words of a shorter text with enough of them.
     """
     known_words = Kinds()
 
+    def own_size(template, length):
+        return [min(window, length)] if length >= LEAST_LITERALS else []
+
+    def known_sizes(template, length):
+        return [s for s in sizes.get(template, ()) if s <= length]
+
     def cut(batch):
-        out = {"_owner": [], "_text_key": [], "_at": [], "_hash": [], "_slots": []}
+        out = {"_owner": [], "_text_key": [], "_template": [], "_size": [], "_at": [], "_hash": [], "_slots": []}
         bits = bitmap.value if bitmap is not None else None
         owners, keys, texts = (batch.column(i).to_pylist() for i in range(3))
         for i, row in enumerate(known_words.rows(texts)):
-            hashes, kinds, places = known_words.template(row)
-            fitting = [s for s in sizes if s <= len(hashes)]
-            words = None
-            for at, found, size, kind in versions(hashes, kinds, fitting if bits is not None else fitting[-1:]):
+            *template_of, places = known_words.template(row)
+            cores = None
+            for template, size, kind, firsts, at, found in versions(*template_of, own_size if bits is None else known_sizes):
                 if bits is not None and len(at):
                     place = found >> np.uint64(64 - BITMAP_BITS)
                     known = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
                     at, found = at[known > 0], found[known > 0]
+                if not len(at):
+                    continue
+                if cores is None:
+                    written = texts[i].decode("utf-8", "replace").split()
+                    cores = [EDGES.sub("", written[p]).lower() for p in places]
+                words = cores
+                if len(firsts) < len(cores):
+                    words = [" ".join(cores[a:b]) for a, b in zip(firsts, [*firsts[1:], len(cores)])]
                 for a, h in zip(at.tolist(), found.view(np.int64).tolist()):
-                    if words is None:
-                        written = texts[i].decode("utf-8", "replace").split()
-                        words = [written[p] for p in places]
                     out["_owner"].append(owners[i])
                     out["_text_key"].append(keys[i])
+                    out["_template"].append(template)
+                    out["_size"].append(size)
                     out["_at"].append(a)
                     out["_hash"].append(h)
                     out["_slots"].append(slots_of(words, kind, a, size))
@@ -154,16 +187,6 @@ def template_windows(rows: DataFrame, sizes, bitmap=None) -> DataFrame:
     return map_batches(rows, cut, WINDOWS_SCHEMA)
 
 
-def item_lengths(rows: DataFrame) -> DataFrame:
-    known_words = Kinds()
-
-    def measure(batch):
-        lengths = [len(known_words.template(row)[0]) for row in known_words.rows(batch.column(2).to_pylist())]
-        yield {"_owner": batch.column(0), "_length": lengths}
-
-    return map_batches(rows, measure, "_owner bigint, _length bigint")
-
-
 def window_bitmap(benchmark_windows: DataFrame):
     """A bitmap of 2^23 bits (1 MB, whatever the benchmark's size) of window hashes."""
     place = F.shiftrightunsigned("_hash", 64 - BITMAP_BITS)
@@ -185,43 +208,56 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     """Which documents hold which benchmark items: doc_id, _text_key, item_id, matched, item_windows, same_slots.
 
     An item is leaked if, on one diagonal of a document with consistent slots, at least half of its
-    windows match, or 6 of them (13 words). same_slots tells whether all slot values are the item's
-    own, that is, whether it is a copy rather than a new version. Items shorter than a window match
-    as a whole; those with under 4 literal words never do, nor do null or empty texts. Rows that
-    share an id and text are one document. A null id is an id. Empty tables give an empty result.
+    windows match, or 6 of them (13 words); or if on diagonals at most ``SLACK`` apart, again with
+    consistent slots, the matching windows cover as many of its words as that many windows in a row
+    do. Either template may do so, each by itself. same_slots tells whether all slot values are the
+    item's own, that is, whether it is a copy rather than a new version. Items shorter than a window
+    match as a whole; those with under 4 literal words never do, nor do null or empty texts. Rows
+    that share an id and text are one document. A null id is an id. Empty tables give an empty result.
     """
-    items = durable(keyed(benchmark, "item_id"), "benchmark")
-    lengths = item_lengths(items)
-    sizes = sorted({min(window, r["_length"]) for r in lengths.select(F.least("_length", F.lit(window)).alias("_length")).distinct().collect()
-                    if r["_length"] >= LEAST_LITERALS})
-    cut = durable(template_windows(items, sizes), "benchmark-windows")
-    of_item = Window.partitionBy("_owner", "_text_key")
+    items = keyed(benchmark, "item_id")
+    cut = durable(template_windows(items, window), "benchmark-windows")
+    of_item = Window.partitionBy("_owner", "_text_key", "_template")
     # Distinct first words: the two versions of a window count once.
     theirs = durable(cut.select(
-        F.col("_owner").alias("item_id"), F.col("_text_key").alias("_item_key"), F.col("_at").alias("_item_at"), "_hash",
+        F.col("_owner").alias("item_id"), F.col("_text_key").alias("_item_key"), "_template", "_size", F.col("_at").alias("_item_at"), "_hash",
         F.col("_slots").alias("_item_slots"), F.size(F.collect_set("_at").over(of_item)).cast("bigint").alias("item_windows")), "benchmark-windows")
+    # At most ``window`` sizes a template.
+    sizes = {}
+    for r in theirs.select("_template", "_size").distinct().orderBy("_template", "_size").collect():
+        sizes.setdefault(r["_template"], []).append(r["_size"])
     bitmap = docs.sparkSession.sparkContext.broadcast(window_bitmap(theirs))
-    found = template_windows(keyed(docs, "doc_id"), sizes, bitmap).withColumnRenamed("_owner", "doc_id")
+    found = template_windows(keyed(docs, "doc_id"), window, sizes, bitmap).withColumnRenamed("_owner", "doc_id")
     # Only matches are written; a benchmark passage may sit in very many documents.
-    hits = durable(found.join(theirs, "_hash").withColumn("_diagonal", F.col("_at") - F.col("_item_at")), "leak-windows")
-    line = ["doc_id", "_text_key", "item_id", "_item_key", "_diagonal"]
+    hits = durable(found.join(theirs, ["_hash", "_template", "_size"]).withColumn("_diagonal", F.col("_at") - F.col("_item_at")), "leak-windows")
+    # Every diagonal by itself, and bands of 2 x SLACK diagonals, each of which begins in the middle of the one before.
+    band = F.floor(F.col("_diagonal") / SLACK).cast("int")
+    lane = lambda banded, place: F.struct(F.lit(banded).alias("banded"), place.alias("place"))
+    hits = hits.withColumn("_lane", F.explode(F.array(lane(False, F.col("_diagonal")), lane(True, band), lane(True, band - 1))))
+    line = ["doc_id", "_text_key", "item_id", "_item_key", "_template", "_lane"]
     pairs = hits.filter(F.size("_slots") > 0).select(
         *line, F.explode(F.arrays_zip(F.col("_item_slots").alias("theirs"), F.col("_slots").alias("ours"))).alias("_slot"))
     slots = pairs.groupBy(*line, F.col("_slot.theirs").alias("_theirs")).agg(
         F.min("_slot.ours").alias("_low"), F.max("_slot.ours").alias("_high")).groupBy(*line).agg(
         F.bool_and(F.col("_low") == F.col("_high")).alias("_consistent"),
         F.bool_and((F.col("_low") == F.col("_theirs")) & (F.col("_high") == F.col("_theirs"))).alias("_same"))
+    # First words of one item's windows: no more than the item has words.
     lines = hits.groupBy(*line).agg(
-        F.count_distinct("_item_at").alias("matched"), F.first("item_windows").alias("item_windows"))
+        F.array_sort(F.collect_set("_item_at")).alias("_matched_at"), F.first("item_windows").alias("item_windows"), F.first("_size").alias("_size"))
     on = lines["_text_key"] == slots["_text_key"]
-    for name in ("doc_id", "item_id", "_item_key", "_diagonal"):
+    for name in ("doc_id", "item_id", "_item_key", "_template", "_lane"):
         on = on & lines[name].eqNullSafe(slots[name])
     joined = lines.join(slots, on, "left").select(
         *[lines[c] for c in lines.columns], F.coalesce(slots["_consistent"], F.lit(True)).alias("_consistent"),
         F.coalesce(slots["_same"], F.lit(True)).alias("_same"))
-    enough = F.col("matched") >= F.least(F.lit(RUN), F.ceil(F.col("item_windows") / 2))
+    matched = F.size("_matched_at").cast("bigint")
+    least = F.least(F.lit(RUN), F.ceil(F.col("item_windows") / 2))
+    # The last window has none after it and covers all its words.
+    steps = F.zip_with("_matched_at", F.slice("_matched_at", 2, matched.cast("int")), lambda at, after: F.least(F.coalesce(after - at, "_size"), "_size"))
+    covered = F.aggregate(steps, F.lit(0), lambda total, x: total + x)
+    enough = (matched >= least) | (F.col("_lane.banded") & (covered >= F.col("_size") + least - 1))
     return joined.filter(F.col("_consistent") & enough).groupBy("doc_id", "_text_key", "item_id").agg(
-        F.max("matched").alias("matched"), F.max("item_windows").alias("item_windows"), F.bool_or("_same").alias("same_slots"))
+        F.max(matched).alias("matched"), F.max("item_windows").alias("item_windows"), F.bool_or("_same").alias("same_slots"))
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
