@@ -338,6 +338,20 @@ def test_renamed_subjects_and_inserted_words_are_found(spark):
     assert sorted(r.doc_id for r in decontamination.without_leaks(docs, benchmark).collect()) == [5, 6, 7]
 
 
+def test_items_without_a_template_window_are_found_exactly(spark):
+    sum_, chinese, thai, year = "What is 12 * 7 + 3?", "小明有五个苹果，吃了两个，还剩几个？", "แมวกินปลากี่ตัวในวันนี้", "In 1990 12 km?"
+    filler = sentence(random.Random(13), 30)
+    docs = spark.createDataFrame([
+        (1, f"{filler} {sum_} {filler}"), (2, f"{filler} What is 12 * 3 + 7? {filler}"), (3, f"{filler} what is 112 * 7 + 3"),
+        (4, f"前面的话。{chinese}后面的话。"), (5, f"前面的话。{chinese.replace('五', '六')}后面的话。"), (6, f"ก่อน{thai}หลัง"), (7, filler + " " + year),
+        # Both ends of an item, but not its middle nor the same distance.
+        (8, f"{chinese[:16]}很好{chinese[2:]}"[:18] + chinese[-3:]), (9, "What is 12 * 7 + what is + 3?"), (10, None), (11, "?")], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, sum_), (2, chinese), (3, thai), (4, year), (5, "7?"), (6, None), (7, "* * * * *")], "item_id bigint, text string")
+    got = gathered(decontamination.leak_report(docs, benchmark), "doc_id", "item_id", "same_slots")
+    assert sorted(got) == [(1, 1, True), (4, 2, True), (6, 3, True), (7, 4, True)]
+    assert sorted(r.doc_id for r in decontamination.without_leaks(docs, benchmark).collect()) == [2, 3, 5, 8, 9, 10, 11]
+
+
 def test_languages(spark):
     rng = random.Random(6)
     languages = {"en": ["the", "and", "with", "house", "thing", "water"], "de": ["der", "und", "mit", "haus", "ding", "wasser"],

@@ -10,6 +10,10 @@ one value of the document throughout.
 A second, loose template takes capitalised words at a sentence start for names as well, and a run of
 names or of numbers for one placeholder, so that renamed subjects and names of several words match.
 
+Items without a usable template window, and those in scripts without spaces, match exactly and as a
+whole: their windows are the first and the last ``size`` tokens, where a token is a word, a symbol or
+a character of such a script.
+
 A fixed-size bitmap of the benchmark's window hashes goes to the tasks, so that only windows that
 may match leave them; the join decides.
 """
@@ -30,7 +34,7 @@ BITMAP_BITS = 23
 CACHE = 500_000
 # Words more or less between two parts of an item that still count together.
 SLACK = 8
-STRICT, LOOSE = range(2)
+STRICT, LOOSE, EXACT = range(3)
 LITERAL, NUMBER, NAME, UNIT = range(4)
 # Units of measure that become a placeholder after a number.
 UNITS = frozenset(
@@ -41,6 +45,11 @@ UNITS = frozenset(
 NUMERIC = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(?:%|[$€£]|st|nd|rd|th)?")
 EDGES = re.compile(r"^\W+|\W+$")
 ENDS = re.compile(r"[.!?:]\W*$")
+# Thai, Lao, Myanmar, Khmer, kana, Han with its extensions, and half-width kana.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+|[^\w\s]")
+WORDLIKE = re.compile(rf"[\w{UNSPACED}]")
+HAS_UNSPACED = re.compile(rf"[{UNSPACED}]")
 WINDOWS_SCHEMA = "_owner bigint, _text_key bigint, _template int, _size int, _at int, _hash bigint, _slots array<string>"
 
 
@@ -91,6 +100,29 @@ class Kinds(dict):
         return hashes, np.where((loose == NAME) & after_end, LITERAL, loose), loose, after_end, places
 
 
+class TokenHashes(dict):
+    def __missing__(self, token):
+        found = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "replace"))
+        return found
+
+    def of(self, tokens):
+        if len(self) > CACHE:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def tokens_of(text):
+    return TOKEN.findall((text or b"").decode("utf-8", "replace").lower())
+
+
+def item_tokens(text):
+    """Tokens of an item without the symbols around them; none if they are too few."""
+    tokens = tokens_of(text)
+    real = [k for k, token in enumerate(tokens) if WORDLIKE.match(token)]
+    tokens = tokens[real[0]:real[-1] + 1] if real else []
+    return tokens if len(tokens) >= LEAST_LITERALS else []
+
+
 def windows(hashes, kinds, size, template):
     """(first word, hash) of the windows of ``size`` words with enough literal words."""
     n = len(hashes) - size + 1
@@ -144,9 +176,11 @@ def template_windows(rows: DataFrame, window: int, sizes=None, bitmap=None) -> D
     """Windows of the texts in ``rows`` (_owner, _text_key, _text).
 
     With a bitmap, windows of all ``sizes`` (template -> sizes) that it knows; else those of
-    ``window`` words, or of all words of a shorter text with enough of them.
+    ``window`` words, or of all words of a shorter text with enough of them, and where the
+    template has none, exact ones: two of the largest power of two that fits, first and last, so
+    that there are few sizes however long the items are.
     """
-    known_words = Kinds()
+    known_words, known_tokens = Kinds(), TokenHashes()
 
     def own_size(template, length):
         return [min(window, length)] if length >= LEAST_LITERALS else []
@@ -154,20 +188,36 @@ def template_windows(rows: DataFrame, window: int, sizes=None, bitmap=None) -> D
     def known_sizes(template, length):
         return [s for s in sizes.get(template, ()) if s <= length]
 
+    def looked_up(bits, at, found):
+        place = found >> np.uint64(64 - BITMAP_BITS)
+        known = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+        return at[known > 0], found[known > 0]
+
+    def exact_windows(text, bits):
+        tokens = item_tokens(text) if bits is None else tokens_of(text)
+        wanted = [1 << (len(tokens).bit_length() - 1)] if bits is None and tokens else known_sizes(EXACT, len(tokens)) if bits is not None else []
+        hashes = known_tokens.of(tokens)
+        for size in wanted:
+            at, found = windows(hashes, np.full(len(tokens), LITERAL), size, EXACT)
+            if bits is None:
+                ends = sorted({0, len(at) - 1})
+                yield size, at[ends], found[ends]
+            else:
+                yield size, *looked_up(bits, at, found)
+
     def cut(batch):
         out = {"_owner": [], "_text_key": [], "_template": [], "_size": [], "_at": [], "_hash": [], "_slots": []}
         bits = bitmap.value if bitmap is not None else None
         owners, keys, texts = (batch.column(i).to_pylist() for i in range(3))
         for i, row in enumerate(known_words.rows(texts)):
             *template_of, places = known_words.template(row)
-            cores = None
+            cores, usable = None, False
             for template, size, kind, firsts, at, found in versions(*template_of, own_size if bits is None else known_sizes):
                 if bits is not None and len(at):
-                    place = found >> np.uint64(64 - BITMAP_BITS)
-                    known = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-                    at, found = at[known > 0], found[known > 0]
+                    at, found = looked_up(bits, at, found)
                 if not len(at):
                     continue
+                usable = True
                 if cores is None:
                     written = texts[i].decode("utf-8", "replace").split()
                     cores = [EDGES.sub("", written[p]).lower() for p in places]
@@ -182,6 +232,11 @@ def template_windows(rows: DataFrame, window: int, sizes=None, bitmap=None) -> D
                     out["_at"].append(a)
                     out["_hash"].append(h)
                     out["_slots"].append(slots_of(words, kind, a, size))
+            if EXACT in sizes if bits is not None else not usable or HAS_UNSPACED.search(texts[i].decode("utf-8", "replace")):
+                for size, at, found in exact_windows(texts[i], bits):
+                    for a, h in zip(at.tolist(), found.view(np.int64).tolist()):
+                        for name, value in zip(out, (owners[i], keys[i], EXACT, size, a, h, [])):
+                            out[name].append(value)
         yield out
 
     return map_batches(rows, cut, WINDOWS_SCHEMA)
@@ -210,9 +265,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     An item is leaked if, on one diagonal of a document with consistent slots, at least half of its
     windows match, or 6 of them (13 words); or if on diagonals at most ``SLACK`` apart, again with
     consistent slots, the matching windows cover as many of its words as that many windows in a row
-    do. Either template may do so, each by itself. same_slots tells whether all slot values are the
+    do. Either template may do so, each by itself. An exact item (see above) is leaked if both its
+    windows match on one diagonal. same_slots tells whether all slot values are the
     item's own, that is, whether it is a copy rather than a new version. Items shorter than a window
-    match as a whole; those with under 4 literal words never do, nor do null or empty texts. Rows
+    match as a whole; those with under 4 words or tokens never do, nor do null or empty texts. Rows
     that share an id and text are one document. A null id is an id. Empty tables give an empty result.
     """
     items = keyed(benchmark, "item_id")
@@ -222,7 +278,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     theirs = durable(cut.select(
         F.col("_owner").alias("item_id"), F.col("_text_key").alias("_item_key"), "_template", "_size", F.col("_at").alias("_item_at"), "_hash",
         F.col("_slots").alias("_item_slots"), F.size(F.collect_set("_at").over(of_item)).cast("bigint").alias("item_windows")), "benchmark-windows")
-    # At most ``window`` sizes a template.
+    # At most ``window`` sizes a template, and as many exact ones as the longest item's length has bits.
     sizes = {}
     for r in theirs.select("_template", "_size").distinct().orderBy("_template", "_size").collect():
         sizes.setdefault(r["_template"], []).append(r["_size"])
@@ -255,7 +311,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     # The last window has none after it and covers all its words.
     steps = F.zip_with("_matched_at", F.slice("_matched_at", 2, matched.cast("int")), lambda at, after: F.least(F.coalesce(after - at, "_size"), "_size"))
     covered = F.aggregate(steps, F.lit(0), lambda total, x: total + x)
-    enough = (matched >= least) | (F.col("_lane.banded") & (covered >= F.col("_size") + least - 1))
+    least = F.when(F.col("_template") == EXACT, F.col("item_windows")).otherwise(least)
+    enough = (matched >= least) | ((F.col("_template") != EXACT) & F.col("_lane.banded") & (covered >= F.col("_size") + least - 1))
     return joined.filter(F.col("_consistent") & enough).groupBy("doc_id", "_text_key", "item_id").agg(
         F.max(matched).alias("matched"), F.max("item_windows").alias("item_windows"), F.bool_or("_same").alias("same_slots"))
 
