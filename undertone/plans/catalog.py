@@ -31,7 +31,7 @@ from undertone.sources.frames import decode_frames
 from undertone.sources.manifest import named_captures, summarize_manifest
 from undertone.sources.model_store import load_detector, save_detector
 from undertone.sources.tables import to_json_records
-from undertone.streaming.live import read_packet_stream, stream_features
+from undertone.streaming.live import read_packet_stream, stream_features, write_packet_files
 
 KEY = ["source_file", "flow_id"]
 LATE_BY = "1 hour"
@@ -517,9 +517,13 @@ def score_records(spark, sf_dir):
 
 def stream_flow_windows(spark, sf_dir):
     """The packet table as a file stream, run until it is used up; closed windows only."""
+    return streamed_windows(spark, event_packets(spark, sf_dir))
+
+
+def streamed_windows(spark, packets, files=None, files_per_trigger=64):
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    event_packets(spark, sf_dir).write.parquet(f"{base}/packets")
-    rows = stream_features(read_packet_stream(spark, f"{base}/packets"), late_by=LATE_BY, **SPARSE)
+    write_packet_files(packets, f"{base}/packets", files)
+    rows = stream_features(read_packet_stream(spark, f"{base}/packets", files_per_trigger), late_by=LATE_BY, **SPARSE)
     query = (
         rows.writeStream.format("parquet").outputMode("append").option("path", f"{base}/windows")
         .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()

@@ -244,6 +244,27 @@ def read_packet_stream(spark: SparkSession, path, files_per_trigger: int = 64) -
     return reader.parquet(path)
 
 
+def write_packet_files(packets: DataFrame, path: str, files: int | None = None):
+    """Packets as Parquet files that a stream reads in event-time order, whatever it takes a trigger.
+
+    A file holds one range of time. A file stream takes the oldest files first, so they get
+    modification times a millisecond apart in the order of their ranges; a store that does not keep
+    them is an error, since packets read out of order would be dropped as late.
+    """
+    packets.repartitionByRange(*([files] if files else []), "ts_us").write.parquet(path)
+    session = packets.sparkSession
+    folder = session._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(session._jsparkSession.sessionState().newHadoopConf())
+    written = {s.getPath().getName(): s for s in store.listStatus(folder) if s.getPath().getName().startswith("part-")}
+    names = sorted(written, key=lambda name: (int(name.split("-")[1]), name))
+    newest = max((s.getModificationTime() for s in written.values()), default=0)
+    for place, name in enumerate(names):
+        store.setTimes(written[name].getPath(), newest - len(names) + 1 + place, -1)
+    kept = {s.getPath().getName(): s.getModificationTime() for s in store.listStatus(folder)}
+    if any(kept[a] >= kept[b] for a, b in zip(names, names[1:])):
+        raise RuntimeError(f"{path} keeps no modification times; a stream cannot read its files in order")
+
+
 def stream_features(
     packets: DataFrame, timeout_seconds: float = 30.0, window_seconds: float = 30.0,
     min_duration_to_split: float = 60.0, late_by: str = "1 minute",
