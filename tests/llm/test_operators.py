@@ -209,6 +209,17 @@ def test_targets_by_water_level(spark, sizes):
     assert got == pytest.approx(targets(sizes, [i % 3 + 1 for i in range(len(sizes))]))
 
 
+def test_mix_keeps_columns_of_any_name(docs):
+    names = ["target", "rate", "source_size", "_source", "_size", "_draw", "_copies", "_copy", "_of", "_row", "a.b"]
+    wide = docs.withColumns({name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in names})
+    mixed = mixing.mix_documents(wide)
+    assert mixed.columns == wide.columns
+    plain = collections.Counter(map(tuple, mixing.mix_documents(docs).collect()))
+    rows = mixed.collect()
+    assert collections.Counter(tuple(r)[:len(docs.columns)] for r in rows) == plain
+    assert all(r[name] == (None if r.doc_id is None else f"{name}{r.doc_id}") for r in rows for name in names)
+
+
 def test_mix_comes_near_its_targets(spark):
     frame = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 7).cast("string").alias("source"))
     by_source = mixing.mix_report(frame).groupBy(F.col("doc_id") % 7)

@@ -43,14 +43,13 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """``docs`` plus _size, _source, source_size, target, rate and _copies; all rows, also those taken 0 times."""
-    sized = docs.withColumns({
-        "_source": F.col("source"),
-        "_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"),
+    """Rows of ``docs`` as structs under _row, so that no name clashes, plus _source, _size, _draw,
+    source_size, target, rate and _copies; all rows, also those taken 0 times."""
+    return add_copies(docs.select(
+        F.struct("*").alias("_row"), F.col("source").alias("_source"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("_size"),
         # 53 bits of the hash as a number in [0, 1).
-        "_draw": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / F.lit(float(1 << 53)),
-    })
-    return add_copies(sized)
+        (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / F.lit(float(1 << 53))).alias("_draw")))
 
 
 def add_copies(sized: DataFrame) -> DataFrame:
@@ -82,4 +81,4 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken; the same columns as ``docs``."""
     copied = with_copies(docs)
     return copied.filter("_copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
