@@ -71,3 +71,100 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum(length(body) + case when joined then 3 else length(head) + 5 + 8 end) as bigint) as formatted_chars
 from e group by conv_id"""
+
+SQL["op12_turn_repair"] = r"""
+with recursive src as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(
+      [ord(c)::bigint for c in string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '')],
+      lambda crc, b: list_reduce([0::bigint, 1, 2, 3, 4, 5, 6, 7],
+        lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(crc, b)),
+      4294967295::bigint), 4294967295::bigint) % 20 as kind
+  from conversations),
+d as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case when kind = 0 then [] when kind = 3 then [0, 1] else [0] end) as copy
+  from src),
+f as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, nth) as place,
+    lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, text, nth) as before,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as ending
+  from (select *, row_number() over (partition by conv_id, role, text order by turn nulls first) as nth from d)),
+t as (
+  select *, case when ending = '' then 'blank' when nth > 1 then 'duplicate'
+      when ending not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'o' end as initial,
+  from f),
+c as (
+  select s.conv_id, count(t.place) as n,
+    coalesce(max(t.turn) - min(t.turn) + 1 - count(distinct t.turn), 0) as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and before || left(role, 1) not in ('su', 'ua', 'au')) as illegal
+  from (select distinct conv_id from src) s left join t on s.conv_id is not distinct from t.conv_id group by s.conv_id),
+-- Cheapest edits of the rows from i on, by what may come next: s or u (z), u (h, u), a (a); h has had its s.
+walk as (
+  select conv_id, n as i, {c: 0::bigint, e: ''} as z, {c: 10::bigint, e: 'II'} as h, {c: 0::bigint, e: ''} as u,
+    {c: 5::bigint, e: 'I'} as a
+  from c
+  union all
+  select conv_id, i, least(z, {c: a.c + 5, e: 'I' || a.e}) as z, least(h, {c: a.c + 5, e: 'I' || a.e}) as h,
+    least(u, {c: a.c + 5, e: 'I' || a.e}) as u, a
+  from (
+    select conv_id, i, z, h, u, least(a, {c: u.c + 5, e: 'I' || u.e}) as a
+    from (
+      select w.conv_id, i - 1 as i,
+        case when gone then {c: 2 + z.c, e: 'D' || z.e} else least({c: 2 + z.c, e: 'D' || z.e},
+          {c: extra + h.c + case when initial = 's' then 0 else 1000000 end, e: 'K' || h.e},
+          {c: extra + a.c + (initial <> 'u')::int, e: if(initial = 'u', 'K', 'R') || a.e}) end as z,
+        case when gone then {c: 2 + h.c, e: 'D' || h.e} else least({c: 2 + h.c, e: 'D' || h.e},
+          {c: extra + a.c + (initial <> 'u')::int, e: if(initial = 'u', 'K', 'R') || a.e}) end as h,
+        case when gone then {c: 2 + u.c, e: 'D' || u.e} else least({c: 2 + u.c, e: 'D' || u.e},
+          {c: extra + a.c + (initial <> 'u')::int, e: if(initial = 'u', 'K', 'R') || a.e}) end as u,
+        case when gone then {c: 2 + a.c, e: 'D' || a.e} else least({c: 2 + a.c, e: 'D' || a.e},
+          {c: extra + u.c + (initial <> 'a')::int, e: if(initial = 'a', 'K', 'R') || u.e}) end as a
+      from walk w join (select *, fault in ('blank', 'duplicate') as gone, if(fault = 'truncated', 5, 0) as extra from t) t
+        on w.conv_id is not distinct from t.conv_id and t.place = w.i))),
+best as (select conv_id, z.c as cost, z.e as audit from walk where i = 0),
+steps as (
+  select conv_id, audit, p, substr(audit, p, 1) as edit, p - len(replace(left(audit, p), 'I', '')) as put,
+    len(replace(left(audit, p), 'I', '')) as place, len(replace(left(audit, p), 'D', '')) as nth
+  from (select *, unnest(range(1, len(audit) + 1)) as p from best)),
+turns as (
+  select s.conv_id, p, edit, s.nth, case when edit = 'I' then '' else t.text end as text, t.role,
+    bool_or(s.nth = 1 and edit = 'K' and initial = 's') over (partition by s.conv_id) as headed
+  from steps s left join t on s.conv_id is not distinct from t.conv_id and s.place = t.place and edit <> 'I'
+  where edit <> 'D'),
+lines as (
+  select conv_id, string_agg(
+    case when edit = 'K' then role when (nth + headed::int) % 2 = 1 then 'user' else 'assistant' end || ':' || text,
+    chr(10) order by p) as whole
+  from turns group by conv_id)
+select c.conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, sha256(coalesce(whole, '')) as repaired_sha256
+from c join best on c.conv_id is not distinct from best.conv_id
+  left join lines on c.conv_id is not distinct from lines.conv_id"""
+
+SQL["op13_lexical_rank"] = r"""
+with w as (
+  select *, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words
+  from (select row_number() over () as row, doc_id, text from documents)),
+s as (select count(*) as many, sum(len(words))::bigint as total from w where len(words) > 0),
+q as (
+  select item_id, term, count(*) as times from (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+p as (
+  select row, doc_id, term, n, count(*) as tf
+  from (select row, doc_id, len(words) as n, unnest(words) as term from w) where term in (select term from q) group by all),
+v as (
+  select term, floor(1000 * ln((2 * many + 2)::double / (2 * count(*) + 1)::double))::bigint as weight
+  from p, s group by term, many),
+r as (
+  select item_id, row, doc_id,
+    sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * many) // total))))::bigint as score
+  from q join p using (term) join v using (term), s group by all)
+select item_id, rank::integer as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from r where score > 0)
+where rank <= 10"""

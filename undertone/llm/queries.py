@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from undertone.llm import (
-    chat_format, decontamination, language_id, line_dedup, maxscore, mixing, sharding, signature_tree, token_counts, warc,
+    chat_format, decontamination, language_id, lexical_rank, line_dedup, maxscore, mixing, multiset_hash, sharding,
+    signature_tree, token_counts, turn_repair, warc,
 )
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -61,6 +62,18 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.digests(durable(chat_format.format_conversations(turns.unionByName(more)), "formatted"))
 
 
+def op11_multiset_hash(spark, sf_dir):
+    return multiset_hash.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def op12_turn_repair(spark, sf_dir):
+    return turn_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_lexical_rank(spark, sf_dir):
+    return lexical_rank.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_warc": op2_warc,
@@ -72,4 +85,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
+    "op11_multiset_hash": op11_multiset_hash,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_lexical_rank": op13_lexical_rank,
 }
