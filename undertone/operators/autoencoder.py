@@ -1,29 +1,35 @@
-"""Reconstruction autoencoder trained in synchronous rounds over data shards.
+"""Reconstruction autoencoder, trained by mini-batch Adam on gradients summed over a gang of tasks.
 
-Each round every shard runs local Adam passes from the shared weights, for all folds together;
-Spark averages the results weighted by rows. One shard makes it ordinary mini-batch training.
+A step's mini-batch is the rows a hash deals to it, wherever they lie. Every member of the gang adds up
+the gradients of its own rows, the sums meet in an all-reduce, and all members take the same
+step of Adam, for all folds together. The number of members changes who adds, not what is added.
 """
 
 import logging
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from undertone.operators.gang import gang_size, run_gang
 from undertone.operators.prepare import feature_names
-from undertone.session import checkpointed
+from undertone.session import durable
 
 logger = logging.getLogger("undertone.autoencoder")
 
 HIDDEN = (16, 8, 16)
-ROWS_PER_SHARD = 4096
-MAX_SHARDS = 4096
+# Rows times folds that keep a member of the gang busy for a second: its shard of a mini-batch.
+ROWS_PER_SHARD = 500_000
+# Rows of one matrix product; steps of an epoch at most; bytes of a share that a task may hold.
+PIECE_ROWS, MOST_STEPS, HELD_BYTES = 4096, 64, 1 << 28
 
-WEIGHT_SCHEMA = T.StructType([
+# Weights and what Adam carries from step to step, per fold.
+STATE_SCHEMA = T.StructType([
     T.StructField("fold", T.IntegerType()),
-    T.StructField("rows", T.DoubleType()),
-    T.StructField("weights", T.ArrayType(T.DoubleType())),
+    *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("weights", "m", "v")],
+    T.StructField("moved", T.DoubleType()),
 ])
 
 
@@ -63,11 +69,10 @@ def forward(flat: np.ndarray, x: np.ndarray) -> list:
     return values
 
 
-def gradient(flat: np.ndarray, x: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Gradient of the mean squared error over the rows each fold may use."""
+def gradient_sum(flat: np.ndarray, x: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Gradients of the rows' mean squared errors, summed over the rows each fold may use."""
     values, stack = forward(flat, x), layers(flat, x.shape[2])
-    count = np.maximum(used.sum(axis=1), 1.0)[:, None, None] * x.shape[2]
-    delta = 2.0 * (values[-1] - x) * used[:, :, None] / count
+    delta = 2.0 * (values[-1] - x) * used[:, :, None] / x.shape[2]
     parts = []
     for index in range(len(stack) - 1, -1, -1):
         parts.append(delta.sum(axis=1))
@@ -77,58 +82,78 @@ def gradient(flat: np.ndarray, x: np.ndarray, used: np.ndarray) -> np.ndarray:
     return np.concatenate(parts[::-1], axis=1)
 
 
-def local_passes(flat, x, mean, scale, used, epochs, lr, batch, rng):
-    """Adam over shuffled mini-batches; a fold without usable rows in a batch does not move."""
-    flat = flat.copy()
-    m, v, steps = np.zeros_like(flat), np.zeros_like(flat), np.zeros((len(flat), 1))
-    for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for start in range(0, len(x), batch):
-            rows = order[start:start + batch]
-            allowed = used[:, rows]
-            moving = allowed.any(axis=1)[:, None]
-            g = gradient(flat, (x[rows][None] - mean[:, None]) / scale[:, None], allowed)
-            steps += moving
-            m = np.where(moving, 0.9 * m + 0.1 * g, m)
-            v = np.where(moving, 0.999 * v + 0.001 * g * g, v)
-            t = np.maximum(steps, 1.0)
-            move = lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            flat -= np.where(moving, move, 0.0)
-    return flat
-
-
-def shard_count(rows: int) -> int:
-    """Depends on the row count only, so results do not depend on the cluster."""
-    return max(1, min(MAX_SHARDS, math.ceil(rows / ROWS_PER_SHARD)))
-
-
-def shard_trainer(flat, folds, mean, scale, epochs, lr, batch, seed):
-    def train(frames):
-        frames = list(frames)
-        if not frames or not sum(len(f) for f in frames):
-            return
-        data = pd.concat(frames, ignore_index=True).sort_values("_order", kind="stable")
-        x = np.stack(data["_x"].to_numpy()).astype(float)
-        session = data["source_file"].to_numpy()
-        used = np.stack([session != fold for fold in folds]).astype(float)
-        rng = np.random.default_rng([seed, int(data["_order"].iloc[0]) & 0x7FFFFFFF])
-        trained = local_passes(flat, x, mean, scale, used, epochs, lr, batch, rng)
-        yield pd.DataFrame({
-            "fold": np.arange(len(folds), dtype=np.int32), "rows": used.sum(axis=1),
-            "weights": [w.tolist() for w in trained],
-        })
+def adam(state, g, moving, lr):
+    """One step of Adam, in place; folds that are not moving keep weights and moments."""
+    flat, m, v, steps = state
+    steps += moving
+    m[:] = np.where(moving, 0.9 * m + 0.1 * g, m)
+    v[:] = np.where(moving, 0.999 * v + 0.001 * g * g, v)
+    t = np.maximum(steps, 1.0)
+    flat -= np.where(moving, lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8), 0.0)
+
+
+def by_step(batches, steps: int, inputs: int):
+    """A share sorted by step, as one list of (rows, sessions) pieces per step; some lists are empty."""
+    at, pieces = 0, []
+    for batch in batches:
+        step = batch.column(0).to_numpy()
+        x = batch.column(2).flatten().to_numpy().reshape(len(step), inputs).astype(np.float32)
+        session = batch.column(1).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(step)) + 1), len(step)]
+        for left, right in zip(edges[:-1], edges[1:]):
+            while right > left and at < step[left]:
+                yield pieces
+                at, pieces = at + 1, []
+            for start in range(left, right, PIECE_ROWS):
+                stop = min(right, start + PIECE_ROWS)
+                pieces.append((x[start:stop], session[start:stop]))
+    while at < steps:
+        yield pieces
+        at, pieces = at + 1, []
+
+
+def trainer(state, mean, scale, steps, epochs, lr):
+    """A member's part of ``epochs`` epochs that start from ``state``."""
+    folds, inputs = mean.shape
+
+    def train(gang, batches):
+        now = [x.copy() for x in state]
+        share = by_step(batches, steps, inputs)
+        # A share read once need not be held.
+        share = share if epochs == 1 else list(share)
+        for _ in range(epochs):
+            for pieces in share:
+                # Per fold: the summed gradient, and the rows it sums.
+                sums = np.zeros((folds, now[0].shape[1] + 1))
+                for x, session in pieces:
+                    used = (session[None] != np.arange(folds)[:, None]).astype(float)
+                    sums[:, :-1] += gradient_sum(now[0], (x[None] - mean[:, None]) / scale[:, None], used)
+                    sums[:, -1] += used.sum(axis=1)
+                sums = gang.total(sums)
+                rows = sums[:, -1:]
+                adam(now, sums[:, :-1] / np.maximum(rows, 1.0), rows > 0, lr)
+        if gang.leads:
+            yield pa.RecordBatch.from_pydict({
+                "fold": np.arange(folds, dtype=np.int32), **{n: list(x) for n, x in zip(("weights", "m", "v"), now)},
+                "moved": now[3][:, 0]}, to_arrow_schema(STATE_SCHEMA))
 
     return train
 
 
+def epoch_steps(rows: int, batch_size: int) -> int:
+    """Steps of an epoch: batches of ``batch_size`` rows on average, or larger ones so that MOST_STEPS do."""
+    return max(1, min(MOST_STEPS, -(-rows // batch_size)))
+
+
 def train_autoencoders(
     matrix: DataFrame, rows: int, folds, mean, scale,
-    epochs: int = 100, lr: float = 1e-3, batch_size: int = 32, seed: int = 42, rounds: int | None = None,
+    epochs: int = 100, lr: float = 1e-3, batch_size: int = 32, seed: int = 42, members: int | None = None,
 ) -> np.ndarray:
     """Weights of shape (folds, size), one autoencoder per fold. Labels are not read.
 
     ``folds`` names the session each model must not see ("" for none); ``mean`` and ``scale``
-    are (folds, features) arrays of the fold scalers. A shard holds a bounded number of rows.
+    are (folds, features) arrays of the fold scalers. A hash deals every row to a step of the
+    epoch; a step is one mini-batch, whoever holds its rows. ``members`` sets the size of the gang.
     """
     if rows < 1:
         raise ValueError("training needs at least one flow")
@@ -136,31 +161,30 @@ def train_autoencoders(
         logger.warning("batch_size %d exceeds %d flows; clamping to %d", batch_size, rows, rows)
         batch_size = rows
     names = feature_names(matrix.columns)
-    shards = shard_count(rows)
-    rounds = rounds or (1 if shards == 1 else 10)
+    mean, scale = np.asarray(mean, float), np.asarray(scale, float)
     flat = np.tile(initial_weights(len(names), seed), (len(folds), 1))
+    state = [flat, np.zeros_like(flat), np.zeros_like(flat), np.zeros((len(folds), 1))]
+    steps = epoch_steps(rows, batch_size)
+    members = members or gang_size(
+        matrix.sparkSession, rows * len(folds) // steps, steps * epochs, flat.size + len(folds), ROWS_PER_SHARD)
+    order = F.xxhash64("source_file", "flow_id", F.lit(seed))
     data = matrix.select(
-        "source_file", F.array(*names).alias("_x"),
-        F.xxhash64("source_file", "flow_id", F.lit(seed)).alias("_order"),
-    ).repartition(shards, "_order")
-    if rounds > 1:
-        data = checkpointed(data)  # shards stay in place, so a round shuffles no rows
-    for turn in range(rounds):
-        passes = epochs * (turn + 1) // rounds - epochs * turn // rounds
-        trained = data.mapInPandas(
-            shard_trainer(flat, list(folds), mean, scale, passes, lr, batch_size, seed + turn),
-            WEIGHT_SCHEMA,
-        )
-        averaged = (
-            trained.select("fold", "rows", F.posexplode("weights").alias("position", "weight"))
-            .groupBy("fold", "position")
-            .agg((F.sum(F.col("rows") * F.col("weight")) / F.sum("rows")).alias("weight"))
-        )
-        # folds x a few hundred numbers, whatever the data size
-        flat = flat.copy()
-        for row in averaged.collect():
-            flat[row["fold"], row["position"]] = row["weight"]
-    return flat
+        F.pmod(order, F.lit(steps)).cast("int").alias("_step"),
+        (F.array_position(F.array(*map(F.lit, folds)), F.col("source_file")) - 1).cast("int").alias("_session"),
+        F.array(*names).cast("array<double>").alias("_x"), order.alias("_order"))
+    # A share that fits in memory is read once for all epochs, a larger one once an epoch, as a stream.
+    share_bytes = 4 * (len(names) + 1) * -(-rows // members)
+    at_once = epochs if share_bytes <= HELD_BYTES else 1
+    if at_once < epochs:
+        data = durable(data, "training-rows")
+    for _ in range(0, epochs, at_once):
+        # folds x a few thousand numbers, whatever the data size
+        trained = run_gang(
+            data, members, "_order", ["_step", "_order"], trainer(state, mean, scale, steps, at_once, lr), STATE_SCHEMA).collect()
+        trained.sort(key=lambda r: r["fold"])
+        state = [np.array([r[n] for r in trained]) for n in ("weights", "m", "v")]
+        state.append(np.array([[r["moved"]] for r in trained]))
+    return state[0]
 
 
 def reconstruction_error(flat: np.ndarray, x: np.ndarray) -> np.ndarray:

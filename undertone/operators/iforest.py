@@ -1,17 +1,20 @@
-"""Isolation forest: distributed sampling, one small task per tree, vectorised scoring."""
+"""Isolation forest: exact samples from mergeable sketches, one small task per tree, vectorised scoring."""
 
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from undertone.operators.prepare import feature_names
 
 SUBSAMPLE = 256
 TREES = 200
-POOL_ROWS = 4 * TREES * SUBSAMPLE
+# Rows a sketch takes in at once; groups of sketches that merge before the last merge.
+SKETCH_ROWS, FAN = 4096, 64
 EVERYTHING = ""  # fold name for a model trained on all rows
 
 TREE_SCHEMA = T.StructType([
@@ -22,6 +25,13 @@ TREE_SCHEMA = T.StructType([
     T.StructField("path", T.ArrayType(T.DoubleType())),
     T.StructField("sample_rows", T.IntegerType()),
 ])
+SKETCH_SCHEMA = T.StructType([
+    T.StructField("tree", T.IntegerType()),
+    T.StructField("group", T.IntegerType()),
+    T.StructField("priority", T.BinaryType()),
+    T.StructField("session", T.BinaryType()),
+    T.StructField("x", T.BinaryType()),
+])
 
 
 def average_path(n) -> float:
@@ -37,37 +47,107 @@ def depth_limit(n) -> int:
     return int(np.ceil(np.log2(max(n, 2))))
 
 
-def uniform(*columns):
-    """A row-keyed number in [0, 1): the same wherever and in whatever order rows are read."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(2**53))
+def mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread evenly (the finalizer of splitmix64)."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
 
+def priorities(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """A number per row and tree; the rows of the lowest numbers are the tree's sample."""
+    salt = mixed(np.array([(seed << 20) + tree + 1], np.uint64))
+    return mixed(keys ^ salt)
 
-def sample_members(matrix: DataFrame, sizes: dict, trees: int, seed: int) -> DataFrame:
-    """Rows that may enter each (fold, tree) sample, about twice as many as it needs.
 
-    A first hash cuts every fold to a pool of bounded size, so the per-tree draw does not grow
-    with the data. Folds of a few thousand rows keep them all.
+class Sample:
+    """A mergeable sketch: of the rows seen, those that some fold's bottom ``size`` may hold.
+
+    A fold's bottom leaves out its own session, so it is not the bottom of all rows. A row stays while
+    for at least one fold fewer than ``size`` lower rows are open to that fold; however large one
+    session is, that is at most about twice ``size`` rows.
+    """
+
+    def __init__(self, folds: int, width: int, size: int):
+        self.folds, self.size = np.arange(folds), size
+        self.limit = None
+        self.priority, self.session = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.x = np.zeros((0, width))
+
+    def add(self, priority, session, x):
+        """Take in rows; ``session`` is the number of the fold that must not see the row, or -1."""
+        if self.limit is not None:
+            low = np.flatnonzero(priority <= self.limit)
+            if not len(low):
+                return
+            priority, session, x = priority[low], session[low], x[low]
+        priority = np.concatenate([self.priority, priority])
+        session, x = np.concatenate([self.session, session]), np.concatenate([self.x, x])
+        order = np.lexsort((*x.T[::-1], priority))
+        open_to = session[order][:, None] != self.folds
+        before = np.cumsum(open_to, axis=0) - open_to
+        needed = (open_to & (before < self.size)).any(axis=1)
+        order = order[needed]
+        self.priority, self.session, self.x = priority[order], session[order], x[order]
+        full = open_to.sum(axis=0) >= self.size
+        self.limit = self.priority[-1] if full.all() else None
+
+    def bottom(self, fold: int) -> np.ndarray:
+        return self.x[self.session != fold][:self.size]
+
+    def packed(self):
+        return self.priority.tobytes(), self.session.tobytes(), self.x.tobytes()
+
+
+def sketch_rows(folds: int, width: int, trees: int, seed: int):
+    """A task's sketch per tree: one pass over its rows, in bounded memory."""
+    schema = to_arrow_schema(SKETCH_SCHEMA)
+
+    def sketch(batches):
+        samples = [Sample(folds, width, SUBSAMPLE) for _ in range(trees)]
+        for batch in batches:
+            for start in range(0, batch.num_rows, SKETCH_ROWS):
+                part = batch.slice(start, SKETCH_ROWS)
+                keys = part.column(0).to_numpy().view(np.uint64)
+                session = part.column(1).to_numpy().astype(np.int32)
+                x = part.column(2).flatten().to_numpy().reshape(part.num_rows, width)
+                for tree, sample in enumerate(samples):
+                    sample.add(priorities(keys, tree, seed), session, x)
+        group = TaskContext.get().partitionId() % FAN
+        rows = [(tree, group, *sample.packed()) for tree, sample in enumerate(samples) if len(sample.x)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, schema)], schema=schema)
+
+    return sketch
+
+
+def merged(table: pa.Table, folds: int, width: int) -> Sample:
+    """One sketch from the sketches in ``table``."""
+    sample = Sample(folds, width, SUBSAMPLE)
+    for priority, session, x in zip(*(table.column(n).to_pylist() for n in ("priority", "session", "x"))):
+        sample.add(np.frombuffer(priority, np.uint64), np.frombuffer(session, np.int32), np.frombuffer(x).reshape(-1, width))
+    return sample
+
+
+def tree_samples(matrix: DataFrame, folds: list, trees: int, seed: int) -> DataFrame:
+    """One sketch per tree over all rows: exact bottom-k samples of every fold, whatever the data size.
+
+    Tasks send sketches, not rows. They merge in two levels, so no task meets them all at once.
     """
     names = feature_names(matrix.columns)
-    pool = {fold: min(1.0, 1.2 * POOL_ROWS / n) for fold, n in sizes.items()}
-    wanted = min(SUBSAMPLE, max(sizes.values()))
-    draw = {f: min(1.0, (2 * wanted + 64) / max(1.0, pool[f] * n)) for f, n in sizes.items()}
-    folds = F.array(*[
-        F.struct(F.lit(f).alias("fold"), F.lit(pool[f]).alias("pool"), F.lit(draw[f]).alias("draw"))
-        for f in sizes
-    ])
-    row_key = ["source_file", "flow_id"]
-    return (
-        matrix.withColumn("_u", uniform(*row_key, F.lit(seed)))
-        .filter(F.col("_u") < max(pool.values()))
-        .withColumn("_x", F.array(*names))
-        .select(*row_key, "_u", "_x", F.explode(folds).alias("_f"))
-        .filter((F.col("_f.fold") != F.col("source_file")) & (F.col("_u") < F.col("_f.pool")))
-        .select(*row_key, "_u", "_x", "_f", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        .withColumn("_v", uniform(*row_key, "tree", F.lit(seed + 1)))
-        .filter(F.col("_v") < F.col("_f.draw"))
-        .select(F.col("_f.fold").alias("fold"), "tree", "_u", "_v", "_x")
-    )
+    width = len(names)
+    rows = matrix.select(
+        F.xxhash64("source_file", "flow_id", F.lit(seed)).alias("key"),
+        (F.array_position(F.array(*map(F.lit, folds)), F.col("source_file")) - 1).cast("int").alias("session"),
+        F.array(*names).cast("array<double>").alias("x"))
+    sketches = rows.mapInArrow(sketch_rows(len(folds), width, trees, seed), SKETCH_SCHEMA)
+
+    def merge(table):
+        sample = merged(table, len(folds), width)
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(
+            (table.column("tree")[0].as_py(), table.column("group")[0].as_py(), *sample.packed()), to_arrow_schema(SKETCH_SCHEMA))],
+            schema=to_arrow_schema(SKETCH_SCHEMA))
+
+    return sketches.groupBy("tree", "group").applyInArrow(merge, SKETCH_SCHEMA)
 
 
 def grow_tree(rows: np.ndarray, rng) -> tuple:
@@ -98,17 +178,21 @@ def grow_tree(rows: np.ndarray, rng) -> tuple:
     return feature, cut, path
 
 
-def tree_builder(seed: int):
-    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        fold, tree = key
-        kept = frame.sort_values(["_v", "_u"], kind="stable").head(SUBSAMPLE)
-        rows = np.stack(kept["_x"].to_numpy()).astype(float)
-        rng = np.random.default_rng([seed, int(tree), zlib.crc32(fold.encode())])
-        feature, cut, path = grow_tree(rows, rng)
-        return pd.DataFrame({
-            "fold": [fold], "tree": [int(tree)], "feature": [feature.tolist()],
-            "cut": [cut.tolist()], "path": [path.tolist()], "sample_rows": [len(rows)],
-        })
+def tree_builder(folds: list, width: int, seed: int):
+    """Grow one tree of every fold from the tree's sketches."""
+    schema = to_arrow_schema(TREE_SCHEMA)
+
+    def build(table: pa.Table) -> pa.Table:
+        tree = table.column("tree")[0].as_py()
+        sample, grown = merged(table, len(folds), width), []
+        for number, fold in enumerate(folds):
+            rows = sample.bottom(number)
+            if not len(rows):
+                continue
+            rng = np.random.default_rng([seed, tree, zlib.crc32(fold.encode())])
+            feature, cut, path = grow_tree(rows, rng)
+            grown.append((fold, tree, feature.tolist(), cut.tolist(), path.tolist(), len(rows)))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*grown), schema)], schema=schema)
 
     return build
 
@@ -119,13 +203,14 @@ def train_isolation_forest(
     """Forest nodes for every fold at once. Labels are not read.
 
     ``sizes`` maps a fold to its training row count; a fold trains on the rows of the other
-    sessions, and the fold ``EVERYTHING`` on all. A tree sees at most 256 sampled rows, so
-    every group below is bounded.
+    sessions, and the fold ``EVERYTHING`` on all. Every row is as likely as any other to be one of
+    a tree's 256, and each tree draws its own.
     """
     if not sizes or min(sizes.values()) < 1:
         raise ValueError("every forest needs at least one training row")
-    members = sample_members(matrix, sizes, n_estimators, seed)
-    return members.groupBy("fold", "tree").applyInPandas(tree_builder(seed), TREE_SCHEMA)
+    folds, width = list(sizes), len(feature_names(matrix.columns))
+    sketches = tree_samples(matrix, folds, n_estimators, seed)
+    return sketches.groupBy("tree").applyInArrow(tree_builder(folds, width, seed), TREE_SCHEMA)
 
 
 @dataclass
@@ -160,11 +245,15 @@ class Forest:
         return np.exp2(-total / len(self.cut) / scale)
 
 
-def collect_forests(nodes: DataFrame) -> dict:
-    """{fold: Forest}; call it on a bounded number of folds (1 MB each)."""
+def collect_forests(nodes: DataFrame, trees: int | None = None) -> dict:
+    """{fold: Forest}; call it on a bounded number of folds (1 MB each). Checks ``trees``, if given."""
     by_fold: dict = {}
     for row in nodes.collect():
         by_fold.setdefault(row["fold"], []).append(row)
+    for fold, rows in by_fold.items():
+        found = {r["tree"] for r in rows}
+        if len(found) != len(rows) or (trees is not None and len(rows) != trees):
+            raise ValueError(f"the forest of fold '{fold}' has {len(found)} different trees in {len(rows)} rows, not {trees}")
     return {fold: Forest.from_rows(rows) for fold, rows in by_fold.items()}
 
 

@@ -39,7 +39,7 @@ def matrix_scores(matrix: DataFrame, forest=None, weights=None) -> DataFrame:
 
 def train_forest(standardized: DataFrame, rows: int, seed: int = 42, n_estimators: int = 200):
     trees = train_isolation_forest(standardized, {EVERYTHING: rows}, n_estimators, seed)
-    return collect_forests(trees)[EVERYTHING]
+    return collect_forests(trees, n_estimators)[EVERYTHING]
 
 
 def train_weights(standardized: DataFrame, rows: int, seed: int = 42, **training):

@@ -75,7 +75,7 @@ def unsupervised_scores(matrix: DataFrame, census: dict, seed: int = 42, **train
     for start in range(0, len(folds), FOLDS_AT_ONCE):
         group = folds[start:start + FOLDS_AT_ONCE]
         sizes = {f: census[f]["train_legit"] + census[f]["train_covert"] for f in group}
-        forests = collect_forests(train_isolation_forest(matrix, sizes, trees, seed))
+        forests = collect_forests(train_isolation_forest(matrix, sizes, trees, seed), trees)
         mean, scale = scaler_arrays(scalers.filter(F.col("fold").isin(group)), group, names)
         rows = sum(c["test_legit"] + c["test_covert"] for c in census.values())
         weights = train_autoencoders(matrix, rows, group, mean, scale, seed=seed, **training)
