@@ -113,3 +113,121 @@ def test_forests_must_be_complete(spark):
     assert len(iforest.collect_forests(nodes, 6)[iforest.EVERYTHING].cut) == 6
     with pytest.raises(ValueError, match="5 different trees"):
         iforest.collect_forests(nodes.filter("tree <> 3"), 6)
+
+
+def two_classes(rng, n, sessions=("a", "b", "c")):
+    label = (rng.random(n) < 0.3).astype(int)
+    x = rng.normal(size=(n, 4)) + label[:, None] * np.array([1.5, 0, -1, 0.2])
+    x[:, 3] = np.round(x[:, 3])
+    return x, label, [sessions[k % len(sessions)] for k in range(n)]
+
+
+def area(label, score):
+    order = np.argsort(score)
+    ranks = np.empty(len(score))
+    ranks[order] = np.arange(1, len(score) + 1)
+    pos = label.sum()
+    return (ranks[label == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(label) - pos))
+
+
+def test_boosted_trees_rank_as_spark_ml_does(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from undertone.operators import boosted
+
+    rng = np.random.default_rng(1)
+    x, label, sessions = two_classes(rng, 1500)
+    matrix = sessions_of(spark, x, sessions, label).cache()
+    train, test = matrix.filter("source_file <> 'c'"), matrix.filter("source_file = 'c'")
+    ours = boosted.score_supervised(boosted.train_supervised(train, 30), test).toPandas()
+    ready = VectorAssembler(inputCols=[f"f{k}" for k in range(4)], outputCol="v")
+    legit, covert = boosted.class_counts(train)
+    weighted = ready.transform(train).withColumn("w", F.when(F.col("label") == 1, legit / covert).otherwise(1.0))
+    theirs = GBTClassifier(featuresCol="v", weightCol="w", maxIter=30, maxDepth=3, stepSize=0.1, seed=1).fit(weighted)
+    theirs = theirs.transform(ready.transform(test)).select("flow_id", vector_to_array("probability")[1].alias("p")).toPandas()
+    both = ours.merge(theirs, on="flow_id")
+    assert abs(area(both["label"].to_numpy(), both["score"]) - area(both["label"].to_numpy(), both["p"])) < 0.02
+    assert np.corrcoef(both["score"], both["p"])[0, 1] > 0.95
+
+
+def plain_boosting(x, label, weight, cuts, iterations):
+    """One fold by exhaustive search over the same cuts; probabilities of the training rows."""
+    margin = np.zeros(len(x))
+    for _ in range(iterations):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = weight * (p - label), weight * p * (1 - p)
+
+        def value(rows):
+            return g[rows].sum() ** 2 / (h[rows].sum() + 1)
+
+        def split(rows, depth):
+            if depth == 3:
+                margin[rows] += -0.1 * g[rows].sum() / (h[rows].sum() + 1)
+                return
+            best = (1e-6, None)
+            for j, points in enumerate(cuts):
+                for c in points:
+                    left = rows & (x[:, j] <= c)
+                    right = rows & ~left
+                    if h[left].sum() >= 1 and h[right].sum() >= 1:
+                        gain = value(left) + value(right) - value(rows)
+                        if gain > best[0] + 1e-9:
+                            best = gain, (left, right)
+            if best[1] is None:
+                margin[rows] += -0.1 * g[rows].sum() / (h[rows].sum() + 1)
+            else:
+                for part in best[1]:
+                    split(part, depth + 1)
+
+        split(np.ones(len(x), bool), 0)
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_folds_train_together_as_they_would_alone(spark):
+    from undertone.operators import boosted
+
+    rng = np.random.default_rng(2)
+    x, label, sessions = two_classes(rng, 400)
+    matrix = sessions_of(spark, x, sessions, label).cache()
+    cuts = boosted.quantile_cuts(matrix)
+    weights = {"a": 2.0, boosted.EVERYTHING: 1.0, "c": 3.0}
+    models = boosted.train_boosted(matrix, weights, 400, iterations=4)
+    for fold, weight in weights.items():
+        used = np.array(sessions) != fold
+        want = plain_boosting(x[used], label[used], np.where(label[used] == 1, weight, 1.0), cuts, 4)
+        assert np.allclose(models[fold].probabilities(x[used]), want, atol=1e-5)
+    together = boosted.train_boosted(matrix, weights, 400, iterations=1, members=2)
+    alone = boosted.train_boosted(matrix, weights, 400, iterations=1)
+    for fold in weights:
+        assert np.allclose(together[fold].margins(x), alone[fold].margins(x), atol=1e-9)
+
+
+def test_jobs_do_not_depend_on_the_number_of_folds(spark, monkeypatch):
+    from undertone.operators import boosted
+
+    calls = []
+    monkeypatch.setattr(boosted, "run_gang", lambda *a, run=boosted.run_gang: calls.append(1) or run(*a))
+    rng = np.random.default_rng(3)
+    names = tuple(f"s{k}" for k in range(20))
+    x, label, sessions = two_classes(rng, 400, names)
+    matrix = sessions_of(spark, x, sessions, label).cache()
+    for folds in (names[:2], names):
+        calls.clear()
+        models = boosted.train_boosted(matrix, {f: 1.0 for f in folds}, 400, iterations=2)
+        assert len(models) == len(folds) and len(calls) == 1
+        scored = boosted.score_held_out(models, matrix)
+        assert scored.count() == sum(s in folds for s in sessions) and scored.filter("score < 0 or score > 1").count() == 0
+    # Where margins of few folds fit beside the rows, folds take turns.
+    monkeypatch.setattr(boosted, "HELD_BYTES", 400 * (4 + 5 + 5 * 8))
+    calls.clear()
+    assert len(boosted.train_boosted(matrix, {f: 1.0 for f in names}, 400, iterations=1)) == 20 and len(calls) == 3
+
+
+def test_a_table_without_splits(spark):
+    from undertone.operators import boosted
+
+    matrix = sessions_of(spark, np.ones((40, 2)), ["a"] * 40, np.arange(40) % 2).cache()
+    model = boosted.train_supervised(matrix, 3)
+    assert np.allclose(model.probabilities(np.ones((3, 2))), 0.5)

@@ -1,6 +1,5 @@
 """Leave-one-session-out evaluation of all detectors."""
 
-from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 import numpy as np
@@ -18,6 +17,7 @@ from undertone.operators.splits import fold_census, fold_scalers, list_folds, lo
 from undertone.schema import RESULT_SCHEMA
 from undertone.session import durable
 
+# Names that results of earlier runs carry, whichever library trains the model.
 FOREST, AUTOENCODER, SUPERVISED = (
     "Isolation Forest", "Autoencoder", "XGBoost (supervised reference)",
 )
@@ -100,24 +100,18 @@ def shift_forest(scored: DataFrame, contamination: float) -> DataFrame:
     )
 
 
-def supervised_scores(matrix: DataFrame, census: dict, seed=42, iterations=100, workers=4):
-    """Test scores of boosted trees for folds whose training rows have both classes."""
-    folds = [f for f in sorted(census) if census[f]["train_legit"] and census[f]["train_covert"]]
+def supervised_scores(matrix: DataFrame, census: dict, iterations=100):
+    """Test scores of boosted trees for folds whose training rows have both classes.
 
-    def one(fold):
-        here = F.col("source_file") == fold
-        model = boosted.train_supervised(matrix.filter(~here), seed, iterations)
-        test = boosted.score_supervised(model, matrix.filter(here))
-        return test.select(
-            F.lit(fold).alias("fold"), F.lit(SUPERVISED).alias("model_name"), "label", "score"
-        )
-
-    with ThreadPoolExecutor(workers) as pool:
-        parts = list(pool.map(one, folds))
-    scored = None
-    for part in parts:
-        scored = part if scored is None else scored.unionByName(part)
-    return None if scored is None else durable(scored, "supervised")
+    All folds train together, and one pass scores every row by the model that has not seen its session.
+    """
+    weights = {f: c["train_legit"] / c["train_covert"] for f, c in sorted(census.items()) if c["train_legit"] and c["train_covert"]}
+    if not weights:
+        return None
+    rows = sum(c["test_legit"] + c["test_covert"] for c in census.values())
+    models = boosted.train_boosted(matrix, weights, rows, iterations)
+    return durable(boosted.score_held_out(models, matrix).select(
+        F.col("source_file").alias("fold"), F.lit(SUPERVISED).alias("model_name"), "label", "score"), "supervised")
 
 
 def result_rows(metrics: DataFrame, census: DataFrame, protocol, run_timestamp) -> DataFrame:
@@ -155,7 +149,7 @@ def run_loso(
     train, test = scored.filter("part = 'train'"), scored.filter("part = 'test'")
     metrics = evaluate_scores(test, by, train, contamination)
     if supervised:
-        labelled = supervised_scores(matrix, by_fold, seed, iterations)
+        labelled = supervised_scores(matrix, by_fold, iterations)
         if labelled is not None:
             metrics = metrics.unionByName(
                 evaluate_scores(labelled, by, threshold=boosted.PROBABILITY_THRESHOLD)
