@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from undertone.session import durable
 
-CUTS = 128
+# A bucket of more rows than this is split by the next digit of its values, unless it is one value.
+BUCKET_ROWS = 1 << 16
+DIGIT = 16
+# The bits of IEEE 754 doubles.
+MANTISSA, LEAST_EXPONENT, INFINITE, NOT_A_NUMBER = 52, -1022, 0x7FF << 52, 0x7FF8 << 48
 
 
 def bucket_offsets(totals: DataFrame, by, bucket: str, columns) -> DataFrame:
@@ -40,22 +44,59 @@ def positions(df: DataFrame, by, bucket: str, order, name="position") -> DataFra
     )
 
 
-def with_value_bucket(df: DataFrame, column: str, cuts: int = CUTS) -> DataFrame:
-    """Add ``_bucket``, which never falls as ``column`` rises and is about equally full.
+def ordered_key(value):
+    """A whole number of 64 bits per double that orders as the doubles do: the bits, negated below zero.
 
-    The cut points come from one mergeable quantile sketch over the whole table and reach the
-    scan as a scalar subquery of ``cuts`` doubles, whatever the number of groups.
+    Both zeros are 0, NaN comes after infinity, and null stays null.
     """
-    shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    points = df.agg(
-        F.coalesce(F.percentile_approx(column, shares, F.lit(10 * cuts)),
-                   F.array().cast("array<double>"))
-    ).scalar()
-    return (
-        df.withColumn("_points", points)
-        .withColumn("_bucket", F.size(F.filter("_points", lambda point: point < F.col(column))))
-        .drop("_points")
-    )
+    size = F.abs(value)
+    power = F.floor(F.log2(size))
+    # The logarithm is rounded: put the exponent right by comparing with exact powers of two.
+    near = F.pow(F.lit(2.0), power)
+    power = power + F.when(size >= 2 * near, 1).when(size < near, -1).otherwise(0)
+    power = F.greatest(power, F.lit(LEAST_EXPONENT)).cast("bigint")
+    bits = (power - LEAST_EXPONENT) * F.lit(1 << MANTISSA) + F.floor(
+        size / F.pow(F.lit(2.0), power) * F.lit(float(1 << MANTISSA))).cast("bigint")
+    bits = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(INFINITE)).otherwise(bits)
+    return F.when(F.isnan(value), F.lit(NOT_A_NUMBER)).when(value < 0, -bits).otherwise(bits)
+
+
+def radix_buckets(df: DataFrame, by, column: str, sums: dict) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_bucket``, which never falls as ``column`` rises, and the totals of the buckets.
+
+    ``sums`` maps a name to a column to add up; totals also hold ``rows``. Rows are counted per group by
+    the leading digit of their key; groups of rows above BUCKET_ROWS are counted by the next digit, until
+    every bucket is small or a single value. Buckets are named by the least key they may hold, so
+    those of different depths order together.
+    """
+    df = df.withColumn("_key", ordered_key(F.col(column).cast("double")))
+
+    def start(shift):
+        return F.shiftleft(F.shiftright("_key", shift), shift)
+
+    def counted(rows):
+        return durable(rows.groupBy(*by, "_bucket").agg(
+            F.count(F.lit(1)).alias("rows"), *[F.sum(value).alias(name) for name, value in sums.items()]), "digits")
+
+    shift = 64 - DIGIT
+    df = df.withColumn("_bucket", start(shift))
+    found = counted(df)
+    totals = found
+    while shift:
+        full = found.filter(F.col("rows") > BUCKET_ROWS)
+        if full.isEmpty():
+            break
+        shift -= DIGIT
+        # Few rows, whose known small size lets Spark broadcast them.
+        named = durable(full.select(*[F.col(c).alias(f"_of_{c}") for c in (*by, "_bucket")]), "full-buckets")
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, "_bucket")]
+        df = df.join(named, same, "left").withColumn(
+            "_bucket", F.when(F.col("_of__bucket").isNull(), F.col("_bucket")).otherwise(start(shift))).withColumn(
+            "_split", F.col("_of__bucket").isNotNull())
+        found = counted(df.filter("_split"))
+        totals = totals.join(named, same, "left_anti").unionByName(found)
+        df = df.drop("_split", *[f"_of_{c}" for c in (*by, "_bucket")])
+    return df.drop("_key"), totals
 
 
 def running_counts(df: DataFrame, by, column: str, sums: dict) -> DataFrame:
@@ -63,13 +104,10 @@ def running_counts(df: DataFrame, by, column: str, sums: dict) -> DataFrame:
 
     ``sums`` maps a name to a column to add up. Equal values collapse before any sort.
     """
-    bucketed = with_value_bucket(df, column)
+    bucketed, totals = radix_buckets(df, by, column, sums)
     cells = bucketed.groupBy(*by, "_bucket", column).agg(
         *[F.sum(value).alias(name) for name, value in sums.items()]
     )
-    totals = bucketed.groupBy(*by, "_bucket").agg(
-        *[F.sum(value).alias(name) for name, value in sums.items()]
-    )
     offsets = bucket_offsets(totals, by, "_bucket", list(sums))
     before = (
         Window.partitionBy(*by, "_bucket").orderBy(column)
@@ -93,8 +131,7 @@ def exact_percentiles(df: DataFrame, by, column: str, shares: dict) -> DataFrame
     that hold the wanted ranks; only rows of those buckets are shuffled and sorted.
     """
     df = df.select(*by, F.col(column).cast("double").alias("_v")).filter("_v is not null")
-    bucketed = with_value_bucket(df, "_v")
-    totals = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("rows"))
+    bucketed, totals = radix_buckets(df, by, "_v", {})
     placed = (
         bucket_offsets(totals, by, "_bucket", ["rows"])
         .join(totals, [*by, "_bucket"])
