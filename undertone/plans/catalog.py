@@ -4,6 +4,7 @@ Queries read whole tables. Rounding and column names match ``plans.expected``.
 """
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,8 +25,9 @@ from undertone.plans.comparison import run_random_split_comparison
 from undertone.plans.final_models import matrix_scores, train_detector, train_forest, train_weights
 from undertone.plans.loso import loso_with_column_scorer, run_loso, supervised_scores
 from undertone.session import durable, shared_dir
-from undertone.sources import dissector
-from undertone.sources.event_exports import event_exports, event_frames
+from undertone.sources import dissector, history
+from undertone.sources.capture_format import capture_pieces, checked_captures, load_captures, write_files
+from undertone.sources.event_exports import event_capture_frames, event_exports, event_frames
 from undertone.sources.event_packets import SPARSE, event_packets
 from undertone.sources.frames import decode_frames
 from undertone.sources.manifest import named_captures, summarize_manifest
@@ -184,6 +186,36 @@ def raw_frame_packets(spark, sf_dir):
     )
 
 
+def stored_captures(spark, sf_dir):
+    """A folder of capture files with the event packets, some of them spoilt."""
+    path = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    frames = event_capture_frames(spark, sf_dir)
+    damage = frames.groupBy(F.col("source_file").alias("_file")).agg(F.first("damage").alias("damage"), F.max("packet_seq").alias("last"))
+    pieces = capture_pieces(frames).join(damage, F.col("source_file") == F.col("_file"))
+    # No header in some, and the last five bytes missing in others.
+    spoilt = F.when((F.col("damage") == 0) & (F.col("place") < 0), F.lit("nope").cast("binary")).when(
+        (F.col("damage") == 1) & (F.col("place") == F.col("last")), F.expr("substring(bytes, 1, length(bytes) - 5)"))
+    write_files(pieces.withColumn("bytes", F.coalesce(spoilt, F.col("bytes"))).select("source_file", "place", "bytes"), path)
+    return path
+
+
+def capture_files(spark, sf_dir):
+    """Every file of the folder: what a pass over its headers finds, and what strict reading takes from it."""
+    path = stored_captures(spark, sf_dir)
+    files = durable(checked_captures(spark, path), "checked")
+    packets, _ = load_captures(spark, path)
+    read = packets.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("read"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    return files.join(read, "source_file", "left").select(
+        "source_file", "protocol", "condition", "packets", "error", F.coalesce("read", F.lit(0)).alias("read"), "first_us", "last_us")
+
+
+def refused_captures(spark, sf_dir):
+    """Files of the covert sessions that lenient reading reports; other files are not opened."""
+    _, problems = load_captures(spark, stored_captures(spark, sf_dir), strict=False, where="condition = 'covert'")
+    return problems.select("source_file", "packet_seq", "error")
+
+
 # --- flows and scalars -------------------------------------------------------------------------
 
 
@@ -375,6 +407,22 @@ def latest_run(spark, sf_dir):
     return results.latest_run(older.unionByName(run), "dns").select("run_timestamp", "fold", "tp", "fp", "tn", "fn")
 
 
+def run_history(spark, sf_dir):
+    """Three runs, two of them appended at once; the newest is reported, and all are counted."""
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    run = durable(single_feature_run(spark, sf_dir), "run")
+    older = [run.withColumns({"run_timestamp": F.lit(f"2026-01-{day}T23:59:59Z"), "tp": F.col("tp") + 1}) for day in (30, 31)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda rows: history.append_run(rows, path), [older[1], run]))
+    history.append_run(older[0], path)
+    report = history.history_report(spark, path, "dns")
+    return report["per_fold_results"].select(
+        "run_timestamp", "fold", "tp", "fp", "tn", "fn",
+        F.lit(len(history.commits(spark, path))).cast("bigint").alias("runs"),
+        F.lit(history.read_history(spark, path).count()).cast("bigint").alias("rows"),
+        rounded(report["fpr_summary"].agg(F.max("mean")).scalar(), alias="mean_fpr"))
+
+
 def summary_pivot(spark, sf_dir):
     run = single_feature_run(spark, sf_dir).withColumn("model_name", F.lit("Isolation Forest"))
     return results.summary_pivot(run).select(
@@ -548,6 +596,8 @@ QUERIES = {
     "icmp_export_packets": icmp_export_packets,
     "malformed_exports": malformed_exports,
     "raw_frame_packets": raw_frame_packets,
+    "capture_files": capture_files,
+    "refused_captures": refused_captures,
     "conversation_keys": conversation_keys,
     "flow_assignment": flow_assignment,
     "flow_windows": flow_windows,
@@ -584,6 +634,7 @@ QUERIES = {
     "fpr_summary": summary_query("legit-holdout"),
     "recall_summary": summary_query("covert-holdout"),
     "latest_run": latest_run,
+    "run_history": run_history,
     "summary_pivot": summary_pivot,
     "flagged_by_either": flagged_by_either,
     "score_summary": score_summary,

@@ -40,6 +40,21 @@ sized AS (
   FROM packets
 )"""
 
+CAPTURE_FILES = """, dealt AS (
+  SELECT *, (slot * 3 + packet_seq % 3 + packet_seq // 6000) % 7 AS damage,
+    split_part(source_file, '_', 1) || '_' || split_part(source_file, '_', 2) || '-' ||
+      (CASE packet_seq % 3 WHEN 0 THEN '1' WHEN 1 THEN '113' ELSE '101' END) || '_' || condition || '_202401' || (10 + slot) ||
+      'T' || lpad((packet_seq // 6000)::VARCHAR, 6, '0') AS stem
+  FROM packets),
+files AS (
+  SELECT stem || (CASE WHEN damage = 2 THEN 'Z.pcapx' ELSE 'Z.pcap' END) AS source_file, any_value(condition) = 'covert' AS covert,
+    CASE WHEN damage <> 2 THEN any_value(protocol) END AS protocol, CASE WHEN damage <> 2 THEN any_value(condition) END AS condition,
+    (CASE damage WHEN 0 THEN 0 WHEN 1 THEN count(*) - 1 WHEN 2 THEN 0 ELSE count(*) END)::BIGINT AS packets,
+    CASE damage WHEN 0 THEN 'no valid capture header' WHEN 1 THEN 'truncated capture'
+      WHEN 2 THEN 'not a .pcap or .pcapng file' END AS error, min(ts_us) AS first_us, max(ts_us) AS last_us
+  FROM dealt GROUP BY stem, damage)
+"""
+
 FLOWS = PACKETS + """,
 keyed AS (
   SELECT *, (dst_ip, coalesce(dst_port, -1)) < (src_ip, coalesce(src_port, -1)) AS swapped FROM sized
@@ -403,6 +418,11 @@ SQL = {
       CASE WHEN protocol = 'dns' AND packet_seq % 2 = 1 THEN 2 END::INTEGER AS answer_count,
       CASE WHEN protocol = 'icmp' THEN CASE WHEN packet_seq % 2 = 1 THEN 0 ELSE 8 END END::INTEGER AS icmp_type,
       CASE WHEN protocol = 'icmp' THEN payload_length END AS payload_length, packet_size, 64::INTEGER AS ttl FROM sized"""),
+    "capture_files": on(PACKETS, CAPTURE_FILES + """
+      SELECT source_file, protocol, condition, packets, error, CASE WHEN error IS NULL THEN packets ELSE 0 END AS read,
+        CASE WHEN error IS NULL THEN first_us END AS first_us, CASE WHEN error IS NULL THEN last_us END AS last_us FROM files"""),
+    "refused_captures": on(PACKETS, CAPTURE_FILES + """
+      SELECT source_file, packets AS packet_seq, error FROM files WHERE covert AND error IS NOT NULL AND protocol IS NOT NULL"""),
     "conversation_keys": on(FLOWS, """SELECT packet_seq, source_file, protocol, ip_a, port_a, ip_b, port_b FROM conversations"""),
     "flow_assignment": on(FLOWS, "SELECT source_file, packet_seq, flow_number::BIGINT AS flow_id FROM flows"),
     "flow_windows": on(FEATURES, "SELECT source_file, flow_id, packet_count, start_us, end_us FROM features"),
@@ -463,6 +483,9 @@ SQL = {
     "recall_summary": on(LOSO, "SELECT 'size_mean' AS model_name, " + rounded("mean", 6, source="avg(recall)") + ", "
         + rounded("std", 6, source="stddev_samp(recall)") + ', count(recall) AS "count" FROM loso WHERE fold_type = \'covert-holdout\''),
     "latest_run": on(LOSO, "SELECT '2026-02-01T00:00:00+00:00' AS run_timestamp, fold, tp, fp, tn, fn FROM loso"),
+    "run_history": on(LOSO, "SELECT '2026-02-01T00:00:00+00:00' AS run_timestamp, fold, tp, fp, tn, fn, 3::BIGINT AS runs, "
+        "3 * (SELECT count(*) FROM loso)::BIGINT AS rows, "
+        + rounded("mean_fpr", 6, source="(SELECT avg(fpr) FROM loso WHERE fold_type = 'legit-holdout')") + " FROM loso"),
     "summary_pivot": on(LOSO, "SELECT 'Isolation Forest' AS model_name, "
         + rounded("mean_fpr", 6, source="avg(fpr)") + ", " + rounded("mean_recall", 6, source="avg(recall)")
         + ", count(fpr) AS count_fpr, count(recall) AS count_recall FROM loso"),

@@ -120,3 +120,22 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_file", "packet_seq", "ts_us", F.col("packet_size").alias("orig_len"),
         link.cast("int").alias("link_type"), F.unhex(F.concat(head, ip)).alias("frame"),
     )
+
+
+def event_capture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_frames`` dealt into capture files of one link type and up to 6,000 events each.
+
+    Every seventh file or so has a name no capture has (``.pcapx``) or, by ``damage``, is spoilt by the
+    caller: 0 has no header, 1 lacks its end, 2 has the wrong name.
+    """
+    frames = event_frames(spark, sf_dir)
+    slot = F.regexp_extract("source_file", "_202401([0-9]{2})T", 1).cast("int") - 10
+    chunk = F.floor(F.col("packet_seq") / 6000)
+    damage = (slot * 3 + F.col("packet_seq") % 3 + chunk) % 7
+    name = F.concat(
+        F.replace("source_file", F.concat(F.lit("T000000Z.pcap")), F.lit("")), F.lit("T"),
+        F.lpad(chunk.cast("string"), 6, "0"), F.when(damage == 2, "Z.pcapx").otherwise("Z.pcap"))
+    tool = F.concat(F.split("source_file", "_")[1], F.lit("-"), F.col("link_type").cast("string"))
+    parts = F.split(name, "_")
+    name = F.concat_ws("_", parts[0], tool, parts[2], parts[3])
+    return frames.withColumns({"damage": damage.cast("int"), "source_file": name})
