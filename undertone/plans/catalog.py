@@ -6,7 +6,8 @@ Queries read whole tables. Rounding and column names match ``plans.expected``.
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, Window, functions as F
 
 from undertone.functions.fields import (
     dns_payload, hex_bytes, record_type_name, to_epoch_us, to_integer,
@@ -16,8 +17,10 @@ from undertone.functions.scalars import (
     compression_ratio, is_txt_or_null, shannon_entropy, shannon_entropy_builtin,
 )
 from undertone.operators import diagnose, metrics, prepare, results, scoring, splits
+from undertone.operators.autoencoder import initial_weights
 from undertone.operators.features import build_flow_features, placed_packets
 from undertone.operators.flows import NO_PORT, assign_flows, with_conversation
+from undertone.operators.iforest import Forest
 from undertone.operators.ordering import exact_percentiles
 from undertone.plans import dataset as datasets
 from undertone.plans import expected as sql
@@ -31,9 +34,10 @@ from undertone.sources.event_exports import event_capture_frames, event_exports,
 from undertone.sources.event_packets import SPARSE, event_packets
 from undertone.sources.frames import decode_frames
 from undertone.sources.manifest import named_captures, summarize_manifest
-from undertone.sources.model_store import load_detector, save_detector
+from undertone.sources.model_store import Detector, load_detector, save_detector
 from undertone.sources.tables import to_json_records
-from undertone.streaming.live import read_packet_stream, stream_features, write_packet_files
+from undertone.streaming.live import read_packet_stream, stream_features, stream_score, write_packet_files
+from undertone.streaming.sink import read_scored, write_scored
 
 KEY = ["source_file", "flow_id"]
 LATE_BY = "1 hour"
@@ -583,6 +587,29 @@ def streamed_windows(spark, packets, files=None, files_per_trigger=64):
     ))
 
 
+def plain_detector():
+    """A detector that plain SQL can follow: its autoencoder returns 0, its forest one leaf."""
+    names = ["packet_count", "size_mean", "entropy_mean"]
+    forest = Forest(np.zeros((1, 1), np.int32), np.full((1, 1), np.inf), np.ones((1, 2)), 2)
+    return Detector(
+        "dns", names, np.zeros(3), np.array([1.0, 100.0, 1.0]), forest, 0.5, 1.0, np.zeros(len(initial_weights(3, 0))),
+        sql.STREAM_THRESHOLD, 0)
+
+
+def stream_scores(spark, sf_dir, files=None, files_per_trigger=64):
+    """DNS packets scored as a stream into a table that takes every batch once."""
+    base = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    write_packet_files(event_packets(spark, sf_dir), f"{base}/packets", files)
+    scored = stream_score(
+        read_packet_stream(spark, f"{base}/packets", files_per_trigger), plain_detector(), late_by=LATE_BY, **SPARSE)
+    write_scored(scored, f"{base}/table", f"{base}/progress").awaitTermination()
+    rows = read_scored(spark, f"{base}/table", scored.schema)
+    return rows.select(
+        "source_file", "flow_id", "packet_count", rounded("isolation_forest_score"),
+        rounded("autoencoder_reconstruction_error"), "flagged_by_either",
+        (F.count(F.lit(1)).over(Window.partitionBy("conversation", "flow_id")) == 1).alias("is_unique"))
+
+
 QUERIES = {
     "packet_sessions": packet_sessions,
     "capture_names": capture_names,
@@ -658,4 +685,5 @@ QUERIES = {
     "random_split_comparison": random_split_comparison,
     "score_captures": score_captures,
     "stream_flow_windows": stream_flow_windows,
+    "stream_scores": stream_scores,
 }

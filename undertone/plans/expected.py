@@ -549,7 +549,7 @@ SQL = {
 
 # Windows the watermark, one hour behind the last packet, makes final: all of closed flows, and
 # of open long flows those that later packets cannot change.
-SQL["stream_flow_windows"] = on(FEATURES + """,
+STREAMED = FEATURES + """,
 mark AS (SELECT max(ts_us) // 1000 * 1000 - 3600000000 AS us FROM sized),
 starts AS (
   SELECT DISTINCT source_file, flow_id, flow_number, flow_start, flow_end, is_long, win FROM placed
@@ -562,9 +562,22 @@ settled AS (
 open_flows AS (
   SELECT source_file, flow_number, max(win0) - CASE WHEN max_by(c, win0) > 1 THEN 1 ELSE 2 END AS final_win
   FROM settled GROUP BY source_file, flow_number HAVING max(last_us) - any_value(flow_start) >= 54000000000
-)""",
+)"""
+SQL["stream_flow_windows"] = on(STREAMED,
     "SELECT f.source_file, s.flow_start || CASE WHEN is_long THEN '_w' || win ELSE '' END AS flow_id, packet_count, "
     + rounded_list(["duration_seconds", "size_mean", "size_std", "interarrival_mean", "entropy_mean"])
     + """ FROM features f JOIN starts s ON f.source_file = s.source_file AND f.flow_id = s.flow_id
       LEFT JOIN open_flows o ON o.source_file = s.source_file AND o.flow_number = s.flow_number, mark
       WHERE s.flow_end + 27000000000 < mark.us OR s.win <= o.final_win""")
+
+# Only DNS packets reach the stream that scores them, so they alone move its watermark.
+STREAM_THRESHOLD = 20.0
+SQL["stream_scores"] = on(STREAMED.replace("FROM sized)", "FROM sized WHERE protocol = 'dns')"),
+    f"""SELECT f.source_file, s.flow_start || CASE WHEN is_long THEN '_w' || win ELSE '' END AS flow_id, packet_count,
+      0.0::DOUBLE AS isolation_forest_score, """ + rounded(
+        "autoencoder_reconstruction_error", 6, source="(packet_count ** 2 + (size_mean / 100) ** 2 + entropy_mean ** 2) / 3") + f""",
+      (packet_count ** 2 + (size_mean / 100) ** 2 + entropy_mean ** 2) / 3 >= {STREAM_THRESHOLD} AS flagged_by_either,
+      true AS is_unique
+      FROM features f JOIN starts s ON f.source_file = s.source_file AND f.flow_id = s.flow_id
+      LEFT JOIN open_flows o ON o.source_file = s.source_file AND o.flow_number = s.flow_number, mark
+      WHERE f.protocol = 'dns' AND (s.flow_end + 27000000000 < mark.us OR s.win <= o.final_win)""")

@@ -60,6 +60,11 @@ class Folder:
         stream.close()
         return True
 
+    def replace(self, name: str, text: str):
+        stream = self.system.create(self.make(name), True)
+        stream.write(text.encode())
+        stream.close()
+
 
 def commits(spark: SparkSession, path: str) -> dict:
     """{version: commit}; a commit whose writer was lost before it wrote the content counts for nothing."""

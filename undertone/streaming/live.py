@@ -6,6 +6,7 @@ the packets of a flow, so an endless tunnel costs no more state than a short exc
 trigger's packets of one conversation meet in one task; size triggers with maxFilesPerTrigger.
 """
 
+import hashlib
 import json
 import math
 from dataclasses import asdict, dataclass, field
@@ -34,6 +35,7 @@ FEATURE_ROW = T.StructType([
       for n in FLOW_FEATURE_COLUMNS[3:]],
     T.StructField("start_timestamp", T.DoubleType()),
     T.StructField("end_timestamp", T.DoubleType()),
+    T.StructField("conversation", T.StringType()),
 ])
 STATE = T.StructType([T.StructField("conversation", T.StringType())])
 
@@ -146,10 +148,15 @@ def feature_row(key, flow, stats, suffix):
         (kind.mean if kind.n else 0.0) if dns else None,
         (query.top if query.n else 0.0) if dns else None,
         None if dns else m["payload_length"].cv(),
-        stats.first / 1e6, stats.last / 1e6,
+        stats.first / 1e6, stats.last / 1e6, conversation_name(key),
     )
 
 
+def conversation_name(key) -> str:
+    """A hash of the conversation: with it a flow_id is unique, also where two flows start together."""
+    return hashlib.blake2b(repr(tuple(key)).encode(), digest_size=8).hexdigest()
+
+
 def emit_final(key, flow, min_duration_us):
     """Rows of windows that later packets can no longer change; they leave the state.
 
@@ -293,6 +300,6 @@ def stream_score(packets: DataFrame, model, **parameters) -> DataFrame:
     mine = packets.filter(F.lower("protocol") == model.protocol)
     scored = with_scores(stream_features(mine, **parameters), model, check=False)
     return flag(scored, model.forest_threshold, model.autoencoder_threshold).select(
-        "source_file", "flow_id", "start_timestamp", "end_timestamp", "packet_count",
+        "source_file", "conversation", "flow_id", "start_timestamp", "end_timestamp", "packet_count",
         "isolation_forest_score", "autoencoder_reconstruction_error", "flagged_by_either",
     )
