@@ -29,7 +29,7 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
 def test_a_writer_lost_on_the_way_leaves_no_rows(spark, tmp_path):
     path, one = str(tmp_path), batch(spark, ("a", 0.1, 2.0))
     # Rows without a commit, and a commit without content.
-    sink.with_reason(one).selectExpr("*", "false quarantined").write.partitionBy("quarantined").parquet(f"{path}/batches/orphan")
+    sink.with_reason(one).selectExpr("*", "false quarantined").write.partitionBy("quarantined").parquet(f"{path}/batches/run=orphan")
     (tmp_path / "_commits").mkdir()
     (tmp_path / "_commits" / "000000000000.json").write_text("")
     assert sink.read_scored(spark, path, one.schema).count() == 0

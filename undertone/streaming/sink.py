@@ -37,7 +37,7 @@ def commit_batch(scored: DataFrame, batch: int, path: str) -> bool:
     run = uuid.uuid4().hex
     # One write for both kinds of rows, so the batch is computed once.
     rows = with_reason(scored)
-    rows.withColumn("quarantined", F.col("reason").isNotNull()).write.partitionBy("quarantined").parquet(f"{path}/{BATCHES}/{run}")
+    rows.withColumn("quarantined", F.col("reason").isNotNull()).write.partitionBy("quarantined").parquet(f"{path}/{BATCHES}/run={run}")
     text = json.dumps({"run": run})
     if folder.create(name, text):
         return True
@@ -58,9 +58,13 @@ def write_scored(scored: DataFrame, path: str, progress: str, **trigger) -> Stre
 
 
 def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    whole = StructType([*schema, StructField("reason", StringType()), StructField("quarantined", BooleanType())])
-    runs = [f"{path}/{BATCHES}/{c['run']}" for _, c in sorted(commits(spark, path).items())]
-    return spark.read.schema(whole).parquet(*runs) if runs else spark.createDataFrame([], whole)
+    """Rows of every committed batch: one folder a batch, named on the driver."""
+    whole = StructType([*schema, StructField("reason", StringType()), StructField("run", StringType()),
+                        StructField("quarantined", BooleanType())])
+    runs = [f"{path}/{BATCHES}/run={c['run']}" for _, c in sorted(commits(spark, path).items())]
+    if not runs:
+        return spark.createDataFrame([], whole).drop("run")
+    return spark.read.schema(whole).option("basePath", f"{path}/{BATCHES}").parquet(*runs).drop("run")
 
 
 def read_scored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
