@@ -79,14 +79,14 @@ def with_rates(cells: DataFrame) -> DataFrame:
 
 def evaluate_scores(
     test: DataFrame, by, training: DataFrame | None = None, contamination: float = 0.1,
-    threshold: float | None = None,
+    threshold: float | None = None, thresholds: DataFrame | None = None,
 ) -> DataFrame:
     """All metrics of a scored test table.
 
-    The threshold comes from training scores only, or is a fixed value declared in advance;
-    never both.
+    The threshold comes from training scores only, or from their percentiles found already
+    (``thresholds``, by group), or is a fixed value declared in advance; never two of these.
     """
-    if (threshold is None) == (training is None):
+    if sum(x is not None for x in (threshold, training, thresholds)) != 1:
         raise ValueError("give either training scores or a fixed threshold without training_scores")
     if threshold is not None:
         if threshold != threshold or abs(threshold) == float("inf"):
@@ -94,7 +94,8 @@ def evaluate_scores(
         placed = test.withColumn("threshold", F.lit(float(threshold)))
         source, prior = "fixed", F.lit(None).cast("double")
     else:
-        placed = test.join(durable(score_threshold(training, by, contamination), "thresholds"), by)
+        known = score_threshold(training, by, contamination) if thresholds is None else thresholds
+        placed = test.join(durable(known, "thresholds"), by)
         source, prior = "training_percentile", F.lit(float(contamination))
     cells = with_rates(confusion(placed, by))
     return cells.join(ranking_metrics(test, by), by).withColumns({

@@ -43,8 +43,8 @@ def fold_scalers(matrix: DataFrame) -> DataFrame:
     """(fold, feature, mean, scale) fitted on the rows outside each fold, in one data pass.
 
     Sessions are reduced to moments first. The rest of the data is then everything before plus
-    everything after a session, taken by two window frames over the session rows, with means
-    measured from the overall mean to keep digits. Minimum and maximum tell constant columns
+    everything after a session: two running sums, one from either end, so the work is linear in
+    the sessions. Means are measured from the overall mean to keep digits. Minimum and maximum tell constant columns
     exactly, where subtraction would leave rounding noise.
     """
     names = feature_names(matrix.columns)
@@ -58,9 +58,9 @@ def fold_scalers(matrix: DataFrame) -> DataFrame:
         F.col("source_file").alias("fold"), "feature", "value.*"
     )
     whole = Window.partitionBy("feature")
-    order = whole.orderBy("fold")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    before = whole.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    # A frame that runs to the end is summed anew for every row; one that starts there is not.
+    after = whole.orderBy(F.desc("fold")).rowsBetween(Window.unboundedPreceding, -1)
     center = F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
     rows = rows.withColumn("center", center).withColumn("shift", F.col("mean") - F.col("center"))
 

@@ -3,17 +3,17 @@
 from datetime import UTC, datetime
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from undertone.operators import boosted
 from undertone.operators.autoencoder import reconstruction_error, train_autoencoders
+from undertone.operators.fold_scores import score_folds
 from undertone.operators.iforest import collect_forests, train_isolation_forest
 from undertone.operators.metrics import (
-    check_contamination, check_scores, evaluate_scores, mask_rates, score_threshold,
+    check_contamination, check_scores, evaluate_scores, mask_rates,
 )
 from undertone.operators.prepare import check_matrix, feature_names, model_matrix
-from undertone.operators.splits import fold_census, fold_scalers, list_folds, loso_rows
+from undertone.operators.splits import fold_census, fold_scalers, list_folds
 from undertone.schema import RESULT_SCHEMA
 from undertone.session import durable
 
@@ -23,34 +23,28 @@ FOREST, AUTOENCODER, SUPERVISED = (
 )
 # A broadcast of fold models stays below about 70 MB: 1 MB per forest.
 FOLDS_AT_ONCE = 64
+# One feature's scalers are two numbers a fold.
+COLUMN_FOLDS_AT_ONCE = 512
 
-SCORE_SCHEMA = T.StructType([
-    T.StructField("fold", T.StringType()),
-    T.StructField("part", T.StringType()),
-    T.StructField("model_name", T.StringType()),
-    T.StructField("label", T.IntegerType()),
-    T.StructField("score", T.DoubleType()),
-])
-
-
-def fold_scorer(models, names):
-    """Score each batch of rows under every fold's models."""
-
-    def score(frames):
-        for frame in frames:
-            x = frame[names].to_numpy(dtype=float)
-            session, label = frame["source_file"].to_numpy(), frame["label"].to_numpy()
-            for fold, (forest, flat, mean, scale) in models.value.items():
-                part = np.where(session == fold, "test", "train")
-                scores = {
-                    FOREST: forest.raw_scores(x),
-                    AUTOENCODER: reconstruction_error(flat, (x - mean) / scale),
-                }
-                for name, values in scores.items():
-                    yield pd.DataFrame({
-                        "fold": fold, "part": part, "model_name": name, "label": label,
-                        "score": values,
-                    })
+
+def detector_scorer(models):
+    """Scores of both label-free models under every fold; ``models`` is a broadcast, in order of folds."""
+
+    def score(x):
+        return {
+            FOREST: np.stack([forest.raw_scores(x) for forest, *_ in models.value]),
+            AUTOENCODER: np.stack([
+                reconstruction_error(flat, (x - mean) / scale) for _, flat, mean, scale in models.value]),
+        }
+
+    return score
+
+
+def column_scorer(model, mean, scale):
+    """One feature, standardized by each fold's scaler, as the score."""
+
+    def score(x):
+        return {model: (x[:, 0][None] - mean) / scale}
 
     return score
 
@@ -62,42 +56,33 @@ def scaler_arrays(scalers: DataFrame, folds, names):
     return grid[:, :, 0], grid[:, :, 1]
 
 
-def unsupervised_scores(matrix: DataFrame, census: dict, seed: int = 42, **training) -> DataFrame:
-    """Scores of both label-free models on all rows of every fold, written once.
+def unsupervised_scores(matrix: DataFrame, census: dict, contamination: float = 0.1, seed: int = 42, **training):
+    """(test scores, thresholds) of both label-free models of every fold.
 
-    Folds are a column, not a loop: one pass trains and one pass scores up to FOLDS_AT_ONCE.
-    A forest needs no scaling, since its cuts move with the columns.
+    Folds are a column, not a loop: one pass trains and two passes score up to FOLDS_AT_ONCE. A forest
+    needs no scaling, since its cuts move with the columns. Forest scores are moved so that the
+    contamination percentile of each training fold is 0.
     """
     spark, names = matrix.sparkSession, feature_names(matrix.columns)
-    folds, scored = sorted(census), None
+    folds, tests, limits = sorted(census), None, None
     scalers = durable(fold_scalers(matrix), "scalers")
     trees = training.pop("n_estimators", 200)
+    rows = sum(c["test_legit"] + c["test_covert"] for c in census.values())
     for start in range(0, len(folds), FOLDS_AT_ONCE):
         group = folds[start:start + FOLDS_AT_ONCE]
         sizes = {f: census[f]["train_legit"] + census[f]["train_covert"] for f in group}
         forests = collect_forests(train_isolation_forest(matrix, sizes, trees, seed), trees)
         mean, scale = scaler_arrays(scalers.filter(F.col("fold").isin(group)), group, names)
-        rows = sum(c["test_legit"] + c["test_covert"] for c in census.values())
         weights = train_autoencoders(matrix, rows, group, mean, scale, seed=seed, **training)
-        models = spark.sparkContext.broadcast({
-            f: (forests[f], weights[i], mean[i], scale[i]) for i, f in enumerate(group)
-        })
-        part = durable(matrix.mapInPandas(fold_scorer(models, names), SCORE_SCHEMA), "scores")
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
-
-
-def shift_forest(scored: DataFrame, contamination: float) -> DataFrame:
-    """Move forest scores so that the contamination percentile of each training fold is 0."""
+        models = spark.sparkContext.broadcast([(forests[f], weights[i], mean[i], scale[i]) for i, f in enumerate(group)])
+        scored, found = score_folds(matrix, group, detector_scorer(models), 1 - contamination)
+        tests, limits = (scored, found) if tests is None else (tests.unionByName(scored), limits.unionByName(found))
     by = ["fold", "model_name"]
-    training = scored.filter((F.col("part") == "train") & (F.col("model_name") == FOREST))
-    offsets = durable(
-        score_threshold(training, by, contamination).withColumnRenamed("threshold", "_offset"), "offsets"
-    )
-    return scored.join(offsets, by, "left").select(
-        *by, "part", "label",
-        (F.col("score") - F.coalesce("_offset", F.lit(0.0))).alias("score"),
-    )
+    limits = durable(limits, "limits")
+    forest = F.col("model_name") == FOREST
+    shifted = tests.join(limits, by).select(
+        *by, "label", F.when(forest, F.col("score") - F.col("threshold")).otherwise(F.col("score")).alias("score"))
+    return shifted, limits.withColumn("threshold", F.when(forest, 0.0).otherwise(F.col("threshold")))
 
 
 def supervised_scores(matrix: DataFrame, census: dict, iterations=100):
@@ -142,12 +127,11 @@ def run_loso(
     list_folds(matrix)
     census = fold_census(matrix)
     by_fold = {r["fold"]: r.asDict() for r in census.collect()}
-    scored = shift_forest(unsupervised_scores(matrix, by_fold, seed, **training), contamination)
+    tests, limits = unsupervised_scores(matrix, by_fold, contamination, seed, **training)
     by = ["fold", "model_name"]
-    scored = durable(scored, "shifted")
-    check_scores(scored)
-    train, test = scored.filter("part = 'train'"), scored.filter("part = 'test'")
-    metrics = evaluate_scores(test, by, train, contamination)
+    tests = durable(tests, "shifted")
+    check_scores(tests)
+    metrics = evaluate_scores(tests, by, thresholds=limits, contamination=contamination)
     if supervised:
         labelled = supervised_scores(matrix, by_fold, iterations)
         if labelled is not None:
@@ -164,13 +148,14 @@ def loso_with_column_scorer(
     """The same evaluation with one standardized feature as the score: nothing is trained."""
     check_contamination(contamination)
     matrix = durable(model_matrix(features, protocol).select("source_file", "flow_id", "label", column), "matrix")
-    scalers = fold_scalers(matrix).filter(F.col("feature") == column).select("fold", "mean", "scale")
-    scored = loso_rows(matrix, list_folds(matrix)).join(durable(scalers, "scalers"), "fold").select(
-        "fold", F.lit(column).alias("model_name"), "part", "label",
-        ((F.col(column) - F.col("mean")) / F.col("scale")).alias("score"),
-    )
+    folds = list_folds(matrix)
+    scalers = durable(fold_scalers(matrix), "scalers")
+    tests, limits = None, None
+    for start in range(0, len(folds), COLUMN_FOLDS_AT_ONCE):
+        group = folds[start:start + COLUMN_FOLDS_AT_ONCE]
+        mean, scale = scaler_arrays(scalers.filter(F.col("fold").isin(group)), group, [column])
+        scored, found = score_folds(matrix, group, column_scorer(column, mean, scale), 1 - contamination)
+        tests, limits = (scored, found) if tests is None else (tests.unionByName(scored), limits.unionByName(found))
     metrics = evaluate_scores(
-        scored.filter("part = 'test'"), ["fold", "model_name"], scored.filter("part = 'train'"),
-        contamination,
-    )
+        durable(tests, "column-scores"), ["fold", "model_name"], thresholds=limits, contamination=contamination)
     return result_rows(metrics, fold_census(matrix), protocol, run_timestamp or utc_now())
