@@ -74,14 +74,15 @@ class Model:
         return cls(languages, np.log(smooth / smooth.sum(0)).astype(np.float32), share >= LEAST_SCRIPT_SHARE)
 
     def score(self, words):
-        """Log probability of each word under each language, and the bytes of each word."""
-        buckets, starts, sizes = trigrams(words)
+        """Log probability of each word under each language, and the letters of each word."""
+        buckets, starts, _ = trigrams(words)
         scores = np.add.reduceat(self.table[buckets], starts, axis=0)
         allowed = self.writes[scripts_of(words)]
         # Words of a script no language uses say nothing.
         known = allowed.any(1)
         scores = np.where(allowed, scores, scores.min(1, keepdims=True) - 50)
-        return np.where(known[:, None], scores, 0).astype(np.float32), sizes
+        letters = np.fromiter(map(len, words), np.int64, len(words))
+        return np.where(known[:, None], scores, 0).astype(np.float32), letters
 
 
 class Words(dict):
