@@ -24,9 +24,11 @@ from undertone.operators.iforest import Forest
 from undertone.operators.ordering import exact_percentiles
 from undertone.plans import dataset as datasets
 from undertone.plans import expected as sql
+from undertone.plans import incremental
 from undertone.plans.comparison import run_random_split_comparison
-from undertone.plans.final_models import matrix_scores, train_detector, train_forest, train_weights
+from undertone.plans.final_models import matrix_scores, train_detector, train_final, train_forest, train_weights
 from undertone.plans.loso import loso_with_column_scorer, run_loso, supervised_scores
+from undertone.schema import PROTOCOLS
 from undertone.session import durable, shared_dir
 from undertone.sources import dissector, history
 from undertone.sources.capture_format import capture_pieces, checked_captures, load_captures, write_files
@@ -220,6 +222,24 @@ def refused_captures(spark, sf_dir):
     return problems.select("source_file", "packet_seq", "error")
 
 
+def incremental_dataset(spark, sf_dir):
+    """Packets per capture, and the refresh that read it: half of the captures first, then the others and new
+    versions of some."""
+    base = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    frames = event_capture_frames(spark, sf_dir).filter("damage > 2")
+    slot = F.regexp_extract("source_file", "_202401([0-9]{2})T", 1).cast("int") - 10
+    early = slot % 2 == 0
+    write_files(capture_pieces(frames.filter(early)), f"{base}/captures")
+    incremental.refresh(spark, f"{base}/captures", f"{base}/dataset", **SPARSE)
+    # Captures of slot 0 lose the packets of odd chunks of ten.
+    fewer = frames.filter((slot == 0) & (F.floor(F.col("packet_seq") / 10) % 2 == 0))
+    write_files(capture_pieces(frames.filter(~early).unionByName(fewer)), f"{base}/captures")
+    second = durable(incremental.refresh(spark, f"{base}/captures", f"{base}/dataset", **SPARSE), "second")
+    rows = incremental.read_dataset(spark, f"{base}/dataset").groupBy(F.col("source_file").alias("filename")).agg(
+        F.sum("packet_count").cast("bigint").alias("packets"))
+    return second.join(rows, "filename", "left").select("filename", "change", "packets")
+
+
 # --- flows and scalars -------------------------------------------------------------------------
 
 
@@ -562,6 +582,35 @@ def score_captures(spark, sf_dir):
     return scoring.with_status(scoring.score_captures(event_packets(spark, sf_dir), model, **SPARSE))
 
 
+def final_models(spark, sf_dir):
+    """Full-data models of both protocols, saved and loaded, over the packets they learnt from.
+
+    A threshold lies between two neighbouring scores: ceil((rows - 1) / 10) rows at most are above it, and at
+    least one row fewer than a tenth is not below it.
+    """
+    folder = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    train_final(stored_dataset(spark, sf_dir), folder)
+    packets, found = event_packets(spark, sf_dir), None
+    for protocol in PROTOCOLS:
+        model = load_detector(spark, protocol, folder)
+        scored = durable(scoring.score_captures(packets, model, **SPARSE), "scored")
+        tenth = F.count(F.lit(1)) * 0.1
+
+        def at_tenth(column, limit):
+            value = rounded(column, 9)
+            return (F.count_if(value > round(limit, 9)) <= tenth + 1) & (F.count_if(value >= round(limit, 9)) >= tenth - 1)
+
+        one = scored.agg(
+            F.lit(protocol).alias("protocol"), F.lit(len(model.forest.cut)).cast("int").alias("trees"),
+            F.lit(len(model.names)).cast("int").alias("inputs"), F.lit(model.training_flow_count).cast("bigint").alias("trained_on"),
+            F.count(F.lit(1)).alias("rows"), F.sum("packet_count").cast("bigint").alias("packets"),
+            at_tenth("isolation_forest_score", model.forest_threshold).alias("forest_at_tenth"),
+            at_tenth("autoencoder_reconstruction_error", model.autoencoder_threshold).alias("autoencoder_at_tenth"),
+            (F.count_if(F.col("flagged_by_either")) > 0).alias("flags"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def score_records(spark, sf_dir):
     return to_json_records(flagged(spark, sf_dir).select(*KEY, "packet_count", "isolation_forest_score",
                                                          "icmp_size_cv", "flagged_by_either"))
@@ -625,6 +674,7 @@ QUERIES = {
     "raw_frame_packets": raw_frame_packets,
     "capture_files": capture_files,
     "refused_captures": refused_captures,
+    "incremental_dataset": incremental_dataset,
     "conversation_keys": conversation_keys,
     "flow_assignment": flow_assignment,
     "flow_windows": flow_windows,
@@ -684,6 +734,7 @@ QUERIES = {
     "loso_evaluation": loso_evaluation,
     "random_split_comparison": random_split_comparison,
     "score_captures": score_captures,
+    "final_models": final_models,
     "stream_flow_windows": stream_flow_windows,
     "stream_scores": stream_scores,
 }

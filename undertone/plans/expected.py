@@ -423,6 +423,12 @@ SQL = {
         CASE WHEN error IS NULL THEN first_us END AS first_us, CASE WHEN error IS NULL THEN last_us END AS last_us FROM files"""),
     "refused_captures": on(PACKETS, CAPTURE_FILES + """
       SELECT source_file, packets AS packet_seq, error FROM files WHERE covert AND error IS NOT NULL AND protocol IS NOT NULL"""),
+    "incremental_dataset": on(PACKETS, CAPTURE_FILES + """
+      SELECT stem || 'Z.pcap' AS filename, CASE WHEN slot % 2 = 1 THEN 'new' WHEN slot = 0
+          AND count(*) FILTER ((packet_seq // 10) % 2 = 0) > 0 THEN 'changed' ELSE 'kept' END AS change,
+        CASE WHEN slot = 0 AND count(*) FILTER ((packet_seq // 10) % 2 = 0) > 0
+          THEN count(*) FILTER ((packet_seq // 10) % 2 = 0) ELSE count(*) END AS packets
+      FROM dealt WHERE damage > 2 GROUP BY stem, slot"""),
     "conversation_keys": on(FLOWS, """SELECT packet_seq, source_file, protocol, ip_a, port_a, ip_b, port_b FROM conversations"""),
     "flow_assignment": on(FLOWS, "SELECT source_file, packet_seq, flow_number::BIGINT AS flow_id FROM flows"),
     "flow_windows": on(FEATURES, "SELECT source_file, flow_id, packet_count, start_us, end_us FROM features"),
@@ -570,6 +576,10 @@ SQL["stream_flow_windows"] = on(STREAMED,
       LEFT JOIN open_flows o ON o.source_file = s.source_file AND o.flow_number = s.flow_number, mark
       WHERE s.flow_end + 27000000000 < mark.us OR s.win <= o.final_win""")
 
+SQL["final_models"] = on(FEATURES, """SELECT protocol, 200::INTEGER AS trees, CASE protocol WHEN 'dns' THEN 15 ELSE 14 END::INTEGER AS inputs,
+  count(*) AS trained_on, count(*) AS rows, sum(packet_count)::BIGINT AS packets, true AS forest_at_tenth,
+  true AS autoencoder_at_tenth, true AS flags FROM features GROUP BY protocol""")
+
 # Only DNS packets reach the stream that scores them, so they alone move its watermark.
 STREAM_THRESHOLD = 20.0
 SQL["stream_scores"] = on(STREAMED.replace("FROM sized)", "FROM sized WHERE protocol = 'dns')"),
