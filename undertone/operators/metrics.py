@@ -11,7 +11,7 @@ from undertone.session import durable
 
 def check_contamination(contamination: float):
     if not 0 < contamination <= 0.5:
-        raise ValueError("contamination must be in (0, 0.5]")
+        raise ValueError(f"a contamination of {contamination} is not above 0 and at most one half")
 
 
 def check_scores(scored: DataFrame, labelled: bool = True):
