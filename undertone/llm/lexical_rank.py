@@ -11,6 +11,8 @@ Documents are read once per vocabulary block. Their counts of that block's terms
 so that document frequencies, which the weights need, come before the scores.
 """
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -39,10 +41,10 @@ def item_terms(items: DataFrame) -> DataFrame:
     def count(batch):
         ids, found, times = [], [], []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            names, numbers = np.unique(terms(text), return_counts=True) if text else ((), ())
-            ids += [item] * len(names)
-            found += [bytes(name) for name in names]
-            times += [int(n) for n in numbers]
+            bag = Counter(terms(text))
+            ids += [item] * len(bag)
+            found += bag.keys()
+            times += bag.values()
         yield {"item_id": ids, "term": found, "times": times}
 
     rows = items.select(F.col("item_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
