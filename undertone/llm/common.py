@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 LOWER_ASCII = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -23,12 +24,34 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` for a function of one record batch that yields column dicts or batches."""
+PIECE_BYTES = 8 << 20
+
+
+def pieces(batch, most_bytes):
+    """Slices of a batch whose texts have about ``most_bytes`` at most; a longer row is one by itself."""
+    wide = [c for c in batch.columns if pa.types.is_binary(c.type) or pa.types.is_string(c.type)]
+    if batch.num_rows < 2 or sum(c.nbytes for c in wide) <= most_bytes:
+        yield batch
+        return
+    widths = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in wide)
+    ends = np.cumsum(widths)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def map_batches(df: DataFrame, function, schema, piece_bytes=PIECE_BYTES) -> DataFrame:
+    """``mapInArrow`` for a function of one record batch that yields column dicts or batches.
+
+    Batches are cut to pieces by the bytes of their texts, since Spark cuts them by rows alone.
+    """
     arrow = to_arrow(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, piece_bytes)):
             for out in function(batch):
                 if isinstance(out, dict):
                     out = pa.RecordBatch.from_arrays(

@@ -1,7 +1,9 @@
 """Benchmark decontamination by templates.
 
-Both sides become templates: numbers, names (capitalised words inside a sentence) and units after
-a number turn into typed placeholders, other words are lower-cased without punctuation. Windows of
+Both sides become templates: numbers (digits or number words), names (capitalised words inside a
+sentence) and units after a number turn into typed placeholders, other words are lower-cased without
+punctuation. A number glued to its unit ("120km") is two words of the template; units of one or two
+letters that are words or names of variables themselves count only there. Windows of
 template words are hash-joined, so a question with new numbers or names still meets its original.
 On every diagonal of matching windows, and on neighbouring diagonals together (a word more or less
 moves the rest of a text), the slots must be consistent: one value of the benchmark item stands for
@@ -14,11 +16,16 @@ Items without a usable template window, and those in scripts without spaces, mat
 whole: their windows are the first and the last ``size`` tokens, where a token is a word, a symbol or
 a character of such a script.
 
+All texts of a piece of a batch are hashed together: one polynomial prefix hash a version gives the
+hash of any window of any size by a subtraction and a product.
+
 A fixed-size bitmap of the benchmark's window hashes goes to the tasks, so that only windows that
 may match leave them; the join decides.
 """
 
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -31,18 +38,33 @@ WINDOW = 8
 LEAST_LITERALS = 4
 RUN = 6
 BITMAP_BITS = 23
-CACHE = 500_000
+CACHE_BYTES = 96 << 20
+# Bytes of one cached word besides its letters, about.
+WORD_BYTES = 180
+PIECE_BYTES = 2 << 20
 # Words more or less between two parts of an item that still count together.
 SLACK = 8
 STRICT, LOOSE, EXACT = range(3)
 LITERAL, NUMBER, NAME, UNIT = range(4)
-# Units of measure that become a placeholder after a number.
+IS_NUMBER, IS_CAPITAL, IS_UNIT, IS_NOTHING, ENDS_SENTENCE, HAS_UNIT = (1 << bit for bit in range(6))
+# Units of measure that become a placeholder after a number, those that do so only
+# where they are glued to it, and number words.
 UNITS = frozenset(
     "mm cm dm m km in ft yd mi inch inches foot feet mile miles meter meters metre metres kilometer kilometers "
     "mg g kg t lb lbs oz gram grams kilogram kilograms ounce ounces pound pounds ml cl l liter liters litre litres "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "w kw v a hz khz mhz ghz pa bar j kj cal kcal k c f percent dollar dollars euro euros cent cents usd eur gbp".split())
-NUMERIC = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(?:%|[$€£]|st|nd|rd|th)?")
+GLUED_ONLY = frozenset("in a m s h k t g l w v j c f".split())
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
+# End of fixed values.
+DIGITS = r"[+\-]?[$€£]?\d[\d.,:/]*"
+ONE_NUMBER_WORD = f"(?:{'|'.join(sorted(NUMBER_WORDS))})"
+NUMERIC = re.compile(rf"{DIGITS}(?:%|[$€£]|st|nd|rd|th)?|{ONE_NUMBER_WORD}(?:-{ONE_NUMBER_WORD})*")
+GLUED = re.compile(rf"({DIGITS})[-°]?({'|'.join(sorted(UNITS, key=lambda unit: (-len(unit), unit)))})")
+SPACED_UNITS = UNITS - GLUED_ONLY
+BASE = 0x9E3779B97F4A7C15
 EDGES = re.compile(r"^\W+|\W+$")
 ENDS = re.compile(r"[.!?:]\W*$")
 # Thai, Lao, Myanmar, Khmer, kana, Han with its extensions, and half-width kana.
@@ -54,63 +76,117 @@ WINDOWS_SCHEMA = "_owner bigint, _text_key bigint, _template int, _size int, _at
 
 
 class Kinds(dict):
-    """Word as written -> row of a table of facts; new words wait until ``settle``.
+    """Word as written -> row of a table of facts; new words wait until ``rows`` has met them all.
 
-    Facts: hash of the core in lower case, and whether the word is a number, capitalised, a unit,
-    nothing but punctuation, or ends a sentence.
+    Facts: hash of the core in lower case, and bits that tell what the word is.
     """
 
     def __init__(self):
         super().__init__()
-        self.hashes, self.flags = np.zeros(0, np.uint64), np.zeros((0, 5), bool)
-        self.new_hashes, self.new_flags = [], []
+        self.reset()
+
+    def reset(self):
+        self.clear()
+        self.words, self.bytes = [], 0
+        self.hashes, self.flags = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        self.new_hashes, self.new_flags = array("Q"), array("B")
+
+    def add(self, word, low, flags):
+        self.words.append(word)
+        self.new_hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "replace")))
+        self.new_flags.append(flags)
 
     def __missing__(self, word):
-        core = EDGES.sub("", word)
+        row = self[word] = len(self.words)
+        self.bytes += WORD_BYTES + 2 * len(word)
+        if word.isalpha():
+            core, ends = word, 0
+        else:
+            core, ends = EDGES.sub("", word), ENDS_SENTENCE if ENDS.search(word) else 0
         low = core.lower()
-        self.new_hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "replace")))
-        self.new_flags.append((bool(core) and bool(NUMERIC.fullmatch(core)), core[:1].isupper(), low in UNITS,
-                               not core, bool(ENDS.search(word))))
-        row = self[word] = len(self)
+        glued = GLUED.fullmatch(low) if core[:1].isdecimal() else None
+        if glued:
+            self.add(glued[1], glued[1], IS_NUMBER | HAS_UNIT)
+            self.add(glued[2], glued[2], IS_UNIT | ends)
+        else:
+            number = low in NUMBER_WORDS or not core.isalpha() and NUMERIC.fullmatch(low)
+            self.add(word, low, ends | (IS_NUMBER if number else 0) | (IS_CAPITAL if core[:1].isupper() else 0)
+                     | (IS_UNIT if low in SPACED_UNITS else 0) | (0 if core else IS_NOTHING))
         return row
 
+    def core(self, row):
+        return EDGES.sub("", self.words[row]).lower()
+
     def rows(self, texts):
-        """Rows of the words of every text (bytes or None)."""
-        if len(self) > CACHE:
-            self.__init__()
-            self.clear()
-        found = [np.fromiter(map(self.__getitem__, (t or b"").decode("utf-8", "replace").split()), np.int64) for t in texts]
+        """Rows of the template words of all texts (bytes or None), and the text of each. Punctuation vanishes."""
+        if self.bytes > CACHE_BYTES:
+            self.reset()
+        split = [(t or b"").decode("utf-8", "replace").split() for t in texts]
+        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64)
+        owner = np.repeat(np.arange(len(texts)), np.array([len(words) for words in split], np.int64))
         if self.new_hashes:
             self.hashes = np.concatenate([self.hashes, np.array(self.new_hashes, np.uint64)])
-            self.flags = np.concatenate([self.flags, np.array(self.new_flags, bool)])
-            self.new_hashes, self.new_flags = [], []
-        return found
-
-    def template(self, rows):
-        """Hash and kind of every template word, its kind in the loose template, whether it begins a
-        sentence, and its place among the words. Punctuation vanishes."""
+            self.flags = np.concatenate([self.flags, np.array(self.new_flags, np.uint8)])
+            self.new_hashes, self.new_flags = array("Q"), array("B")
+        glued = self.flags[rows] & HAS_UNIT > 0
+        if glued.any():
+            times = 1 + glued
+            second = np.cumsum(times)[glued] - 1
+            rows, owner = np.repeat(rows, times), np.repeat(owner, times)
+            rows[second] += 1
+        words = self.flags[rows] & IS_NOTHING == 0
+        return rows[words], owner[words]
+
+    def template(self, rows, owner):
+        """Hash and kind of every template word, its kind in the loose template, and whether it begins a sentence."""
         flags = self.flags[rows]
-        places = np.flatnonzero(~flags[:, 3])
-        flags, hashes = flags[places], self.hashes[rows[places]]
-        after_end, after_number = np.ones(len(places), bool), np.zeros(len(places), bool)
-        after_end[1:], after_number[1:] = flags[:-1, 4], flags[:-1, 0]
-        loose = np.where(flags[:, 1], NAME, LITERAL)
-        loose[flags[:, 2] & after_number] = UNIT
-        loose[flags[:, 0]] = NUMBER
-        return hashes, np.where((loose == NAME) & after_end, LITERAL, loose), loose, after_end, places
+        after_end, after_number = np.ones(len(rows), bool), np.zeros(len(rows), bool)
+        inside = owner[1:] == owner[:-1]
+        number = flags & IS_NUMBER > 0
+        after_end[1:], after_number[1:] = (flags[:-1] & ENDS_SENTENCE > 0) | ~inside, number[:-1] & inside
+        loose = np.where(flags & IS_CAPITAL, NAME, LITERAL)
+        loose[(flags & IS_UNIT > 0) & after_number] = UNIT
+        loose[number] = NUMBER
+        return self.hashes[rows], np.where((loose == NAME) & after_end, LITERAL, loose), loose, after_end
 
 
 class TokenHashes(dict):
+    bytes = 0
+
     def __missing__(self, token):
         found = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "replace"))
+        self.bytes += WORD_BYTES + 2 * len(token)
         return found
 
     def of(self, tokens):
-        if len(self) > CACHE:
+        if self.bytes > CACHE_BYTES:
             self.clear()
+            self.bytes = 0
         return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
 
+class Powers:
+    """BASE ** i and its inverse modulo 2^64, for as many i as were asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n):
+        if n > len(self.up):
+            n = max(n, 2 * len(self.up))
+            powers = lambda base: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, base, np.uint64))])
+            self.up, self.down = powers(BASE), powers(pow(BASE, -1, 1 << 64))
+        return self.up, self.down
+
+
+POWERS, WORDS = Powers(), Kinds()
+
+
+def word_facts():
+    """The facts of this worker process; they depend on nothing but the words, so tasks share them."""
+    return WORDS
+
+
 def tokens_of(text):
     return TOKEN.findall((text or b"").decode("utf-8", "replace").lower())
 
@@ -123,53 +199,51 @@ def item_tokens(text):
     return tokens if len(tokens) >= LEAST_LITERALS else []
 
 
-def windows(hashes, kinds, size, template):
-    """(first word, hash) of the windows of ``size`` words with enough literal words."""
-    n = len(hashes) - size + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    spread = mixed(hashes + np.uint64(size + (template << 32)))
-    with np.errstate(over="ignore"):
-        for i in range(size):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + spread[i:i + n]
-    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    at = np.flatnonzero(literal[size:] - literal[:-size] >= min(LEAST_LITERALS, size))
-    return at, mixed(total[at])
+class Version:
+    """Template words of one or more texts, whose windows are hashed by differences of one prefix hash."""
 
+    def __init__(self, hashes, kinds, owner, template):
+        self.kinds, self.owner, self.template = kinds, owner, template
+        up, _ = POWERS.of(len(hashes) + 1)
+        values = mixed(np.where(kinds == LITERAL, hashes, kinds.astype(np.uint64)) + np.uint64(template << 32))
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:len(values)])])
+        self.literals = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
+        self.names = np.concatenate([[0], np.cumsum(kinds == NAME)])
 
-def slots_of(words, kinds, at, size):
-    """Slot values of one window, in order, each with its kind."""
-    return [f"{kinds[j]}{words[j]}" for j in range(at, at + size) if kinds[j] != LITERAL]
+    def windows(self, size, named=False):
+        """(first word, hash) of the windows of ``size`` words of one text with enough literal words.
 
+        ``named`` leaves only those with a name.
+        """
+        n = len(self.owner) - size + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        wanted = (self.owner[:n] == self.owner[size - 1:]) & (self.literals[size:] - self.literals[:-size] >= min(LEAST_LITERALS, size))
+        if named:
+            wanted &= self.names[size:] > self.names[:-size]
+        at = np.flatnonzero(wanted)
+        return at, mixed((self.prefix[at + size] - self.prefix[at]) * POWERS.of(n)[1][at] + np.uint64(size))
 
-def versions(hashes, kinds, loose, begins, sizes_of):
-    """(template, size, kinds, first word of every template word, first of window, hash) of all windows.
+
+def versions(rows, owner, texts, known):
+    """(version, whether only windows with a name count, texts it counts for, places in ``rows``) of all versions.
 
     Capitals get lost or appear when texts are copied, so in the strict template a plain version
     goes along; windows without a name are the same in both and come once. The loose template is
-    left out where it has no name and no number, so that it says nothing new.
-    ``sizes_of`` gives the sizes of a template by its number and length.
+    left out of texts where it has no name and no number, so that it says nothing new.
     """
-    plain = np.where(kinds == NAME, LITERAL, kinds)
-    named = np.concatenate([[0], np.cumsum(kinds == NAME)])
-    every = np.arange(len(hashes))
-    for size in sizes_of(STRICT, len(hashes)):
-        for kind in (plain, kinds) if named[-1] else (plain,):
-            at, found = windows(np.where(kind == LITERAL, hashes, kind.astype(np.uint64)), kind, size, STRICT)
-            if kind is not plain:
-                some = named[at + size] > named[at]
-                at, found = at[some], found[some]
-            yield STRICT, size, kind, every, at, found
+    hashes, kinds, loose, begins = known.template(rows, owner)
+    every, all_texts = np.arange(len(rows) + 1), np.ones(texts, bool)
+    yield Version(hashes, np.where(kinds == NAME, LITERAL, kinds), owner, STRICT), False, all_texts, every
+    if (kinds == NAME).any():
+        yield Version(hashes, kinds, owner, STRICT), True, all_texts, every
     runs = (loose == NAME) | (loose == NUMBER)
     if runs.any():
         more = np.zeros(len(loose), bool)
         more[1:] = runs[1:] & (loose[1:] == loose[:-1]) & ~begins[1:]
         firsts = np.flatnonzero(~more)
-        kind = loose[firsts]
-        values = np.where(kind == LITERAL, hashes[firsts], kind.astype(np.uint64))
-        for size in sizes_of(LOOSE, len(firsts)):
-            yield LOOSE, size, kind, firsts, *windows(values, kind, size, LOOSE)
+        some = np.bincount(owner, runs, texts) > 0
+        yield Version(hashes[firsts], loose[firsts], owner[firsts], LOOSE), False, some, np.append(firsts, len(rows))
 
 
 def template_windows(rows: DataFrame, window: int, sizes=None, bitmap=None) -> DataFrame:
@@ -180,13 +254,15 @@ def template_windows(rows: DataFrame, window: int, sizes=None, bitmap=None) -> D
     template has none, exact ones: two of the largest power of two that fits, first and last, so
     that there are few sizes however long the items are.
     """
-    known_words, known_tokens = Kinds(), TokenHashes()
-
-    def own_size(template, length):
-        return [min(window, length)] if length >= LEAST_LITERALS else []
+    known_tokens = TokenHashes()
 
-    def known_sizes(template, length):
-        return [s for s in sizes.get(template, ()) if s <= length]
+    def wanted_sizes(version, texts):
+        """(size, texts whose windows have that size)."""
+        lengths = np.bincount(version.owner, minlength=len(texts))
+        if bitmap is not None:
+            return [(size, texts) for size in sizes.get(version.template, ())]
+        own = np.where(texts & (lengths >= LEAST_LITERALS), np.minimum(window, lengths), 0)
+        return [(size, own == size) for size in np.unique(own[own > 0]).tolist()]
 
     def looked_up(bits, at, found):
         place = found >> np.uint64(64 - BITMAP_BITS)
@@ -195,10 +271,11 @@ def template_windows(rows: DataFrame, window: int, sizes=None, bitmap=None) -> D
 
     def exact_windows(text, bits):
         tokens = item_tokens(text) if bits is None else tokens_of(text)
-        wanted = [1 << (len(tokens).bit_length() - 1)] if bits is None and tokens else known_sizes(EXACT, len(tokens)) if bits is not None else []
+        wanted = [1 << (len(tokens).bit_length() - 1)] if bits is None and tokens else sizes.get(EXACT, ()) if bits is not None else []
         hashes = known_tokens.of(tokens)
+        version = Version(hashes, np.full(len(tokens), LITERAL), np.zeros(len(tokens), np.int64), EXACT)
         for size in wanted:
-            at, found = windows(hashes, np.full(len(tokens), LITERAL), size, EXACT)
+            at, found = version.windows(size)
             if bits is None:
                 ends = sorted({0, len(at) - 1})
                 yield size, at[ends], found[ends]
@@ -209,37 +286,34 @@ def template_windows(rows: DataFrame, window: int, sizes=None, bitmap=None) -> D
         out = {"_owner": [], "_text_key": [], "_template": [], "_size": [], "_at": [], "_hash": [], "_slots": []}
         bits = bitmap.value if bitmap is not None else None
         owners, keys, texts = (batch.column(i).to_pylist() for i in range(3))
-        for i, row in enumerate(known_words.rows(texts)):
-            *template_of, places = known_words.template(row)
-            cores, usable = None, False
-            for template, size, kind, firsts, at, found in versions(*template_of, own_size if bits is None else known_sizes):
-                if bits is not None and len(at):
+        known_words = word_facts()
+        words, owner = known_words.rows(texts)
+        usable = np.zeros(len(texts), bool)
+        for version, named, counted, places in versions(words, owner, len(texts), known_words):
+            first_of = np.searchsorted(version.owner, np.arange(len(texts)))
+            for size, own in wanted_sizes(version, counted):
+                at, found = version.windows(size, named)
+                if bits is not None:
                     at, found = looked_up(bits, at, found)
-                if not len(at):
-                    continue
-                usable = True
-                if cores is None:
-                    written = texts[i].decode("utf-8", "replace").split()
-                    cores = [EDGES.sub("", written[p]).lower() for p in places]
-                words = cores
-                if len(firsts) < len(cores):
-                    words = [" ".join(cores[a:b]) for a, b in zip(firsts, [*firsts[1:], len(cores)])]
-                for a, h in zip(at.tolist(), found.view(np.int64).tolist()):
-                    out["_owner"].append(owners[i])
-                    out["_text_key"].append(keys[i])
-                    out["_template"].append(template)
-                    out["_size"].append(size)
-                    out["_at"].append(a)
-                    out["_hash"].append(h)
-                    out["_slots"].append(slots_of(words, kind, a, size))
-            if EXACT in sizes if bits is not None else not usable or HAS_UNSPACED.search(texts[i].decode("utf-8", "replace")):
-                for size, at, found in exact_windows(texts[i], bits):
+                kept = own[version.owner[at]]
+                at, found = at[kept], found[kept]
+                text = version.owner[at]
+                usable[text] = True
+                for i, a, h in zip(text.tolist(), at.tolist(), found.view(np.int64).tolist()):
+                    # Slot values in order, each with its kind; a run of names or numbers is one.
+                    slots = [f"{version.kinds[j]}{' '.join(known_words.core(r) for r in words[places[j]:places[j + 1]].tolist())}"
+                             for j in range(a, a + size) if version.kinds[j] != LITERAL]
+                    for name, value in zip(out, (owners[i], keys[i], version.template, size, a - int(first_of[i]), h, slots)):
+                        out[name].append(value)
+        for i, text in enumerate(texts):
+            if EXACT in sizes if bits is not None else not usable[i] or HAS_UNSPACED.search((text or b"").decode("utf-8", "replace")):
+                for size, at, found in exact_windows(text, bits):
                     for a, h in zip(at.tolist(), found.view(np.int64).tolist()):
                         for name, value in zip(out, (owners[i], keys[i], EXACT, size, a, h, [])):
                             out[name].append(value)
         yield out
 
-    return map_batches(rows, cut, WINDOWS_SCHEMA)
+    return map_batches(rows, cut, WINDOWS_SCHEMA, PIECE_BYTES)
 
 
 def window_bitmap(benchmark_windows: DataFrame):
