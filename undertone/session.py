@@ -2,9 +2,13 @@
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The folder of every stored table, as long as its DataFrame is in use.
+_FOLDERS = weakref.WeakKeyDictionary()
+
 # Settings a session for this package should have. Shuffle partitions stay with the cluster;
 # adaptive execution coalesces small ones and splits skewed joins.
 RECOMMENDED = {
@@ -52,7 +56,23 @@ def durable(df: DataFrame, name="table") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[stored] = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``durable`` once everything that reads them has been written itself.
+
+    What is written needs no recomputation, so a lost executor needs none of them again. Other
+    DataFrames, also those derived from a stored table, are left alone.
+    """
+    for table in tables:
+        path = _FOLDERS.pop(table, None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
