@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from undertone.session import durable
+from undertone.session import durable, release
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = durable(both.filter("a <> b").distinct(), "links")
-    seen = None
+    stored, seen = edges, None
     while True:
         # Large star: neighbours above a node go to its smallest neighbour or itself.
         lowest = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -25,6 +25,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(
             low.select("a", F.col("m").alias("b"))).distinct()
         small = durable(small, "small-star")
+        release(stored, large)
+        stored = small
         # Both steps keep what is connected; a pass that leaves the stars as they were is the last.
         now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:

@@ -398,7 +398,12 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item."""
+    """Rows of ``docs`` that hold no benchmark item.
+
+    Null and empty texts hold none and stay; rows that repeat an id and text go or stay together.
+    Columns may have any names. Empty tables are allowed on both sides.
+    """
     caught = durable(leaks(docs, benchmark, **options).select(
         F.col("doc_id").alias("_leak_id"), F.col("_text_key").alias("_leak_text")).distinct(), "leaks")
-    return docs.join(caught, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_leak_id")) & (F.xxhash64("text") == F.col("_leak_text")), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_own_id"), F.xxhash64("text").alias("_own_text"))
+    return rows.join(caught, F.col("_own_id").eqNullSafe(F.col("_leak_id")) & (F.col("_own_text") == F.col("_leak_text")), "left_anti").select("_row.*")

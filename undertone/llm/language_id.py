@@ -273,6 +273,13 @@ def language_report(docs: DataFrame, per_language: int = 1500, penalty: float =
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5, **options) -> DataFrame:
-    """Rows whose language is known: not ``und``, and at least ``least_score`` of the letters in one language."""
-    labelled = with_language(docs, train(learnable(docs), **options))
-    return labelled.filter((F.col("_language") != UNKNOWN) & (F.col("_language_score") >= least_score)).select(*docs.columns)
+    """Rows whose language is known: not ``und``, and at least ``least_score`` of the letters in one language.
+
+    Null texts and those without letters go; repeated rows stay or go together. Columns may have any
+    names. Without labelled rows nothing is known, so nothing stays; an empty table stays empty.
+    """
+    # Columns of docs may have any name but ``text``, so they go under numbers meanwhile.
+    rows = docs.toDF(*["text" if c == "text" else f"column_{k}" for k, c in enumerate(docs.columns)])
+    labelled = with_language(rows, train(learnable(docs), **options))
+    known = labelled.filter((F.col("_language") != UNKNOWN) & (F.col("_language_score") >= least_score))
+    return known.select(*rows.columns).toDF(*docs.columns)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from undertone.llm.common import folded_words, map_batches, mixed, to_arrow
 from undertone.llm.components import connected_components
-from undertone.session import durable
+from undertone.session import durable, release
 
 CACHE = 500_000
 BLOCK = 1024
@@ -204,7 +204,9 @@ def live_postings(table: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("_node").cast("decimal(20,0)")).alias("s"),
         F.bit_xor(F.xxhash64(F.lit(1), "_node")).alias("t"))
     buckets = durable(holds.groupBy("n", "s", "t").agg(F.min("_token").alias("_token")).select("_token", F.col("n").alias("_all")), "buckets")
-    return live.join(buckets, "_token")
+    found = durable(live.join(buckets, "_token"), "live-buckets")
+    release(live, buckets)
+    return found
 
 
 def star_heads(classed: DataFrame, number: int) -> DataFrame:
@@ -285,8 +287,10 @@ def plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
 
 def checked(pairs: DataFrame, docs: DataFrame, homes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs of nodes, the set keys (a, b) of those that are similar, by their whole sets."""
-    pairs = durable(pairs, "pairs")
+    """Of the stored pairs of nodes, the set keys (a, b) of those that are similar, by their whole sets.
+
+    The pairs are released.
+    """
     ends = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
     sets = durable(sets_of(docs, homes, ends, size), "sets")
     left = sets.select(F.col("_node").alias("a"), F.col("_set_key").alias("x"), F.col("_set").alias("_x"))
@@ -302,7 +306,9 @@ def checked(pairs: DataFrame, docs: DataFrame, homes: DataFrame, size: int, perc
         keep = pa.array(keep, pa.bool_())
         yield {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
-    return durable(map_batches(both, compare, "a binary, b binary"), "similar")
+    found = durable(map_batches(both, compare, "a binary, b binary"), "similar")
+    release(pairs, sets)
+    return found
 
 
 # --- signature trees -----------------------------------------------------------------------------
@@ -430,13 +436,16 @@ def pack_blocks(members: DataFrame, postings: int) -> DataFrame:
 def open_postings(live: DataFrame, components: DataFrame) -> DataFrame:
     """Postings of the buckets that hold several components, with those of ``components`` (_node, component).
 
-    Nodes not in it are their own.
+    Nodes not in it are their own. Stored components are released.
     """
     known = durable(live.join(components, "_node", "left").select(
         "_token", "_node", "_n", "_all", F.coalesce("component", "_node").alias("_component")), "live-components")
     open_tokens = known.groupBy("_token").agg(
         F.min("_component").alias("x"), F.max("_component").alias("y")).filter("x <> y").select("_token")
-    return durable(known.join(durable(open_tokens, "open-tokens"), "_token", "left_semi"), "open-postings")
+    open_tokens = durable(open_tokens, "open-tokens")
+    found = durable(known.join(open_tokens, "_token", "left_semi"), "open-postings")
+    release(known, open_tokens, components)
+    return found
 
 
 def tree_pairs(still: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -503,7 +512,9 @@ def tree_pairs(still: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
             yield {"a": pairs[:, 0], "b": pairs[:, 1]}
 
     met = alone.unionByName(met.select(*alone.columns))
-    return map_batches(met, traverse, "a bigint, b bigint").distinct()
+    found = durable(map_batches(met, traverse, "a bigint, b bigint").distinct(), "tree-pairs")
+    release(still, blocks, near)
+    return found
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -514,22 +525,25 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     texts and texts without words have no key and no component. Repeated rows are rows.
     """
     table = durable(profile(docs, size, percent), "profile")
-    rows = table.filter(F.col("_kind") == DOC_ROW).select("_id", "_text_key", "_set_key", "_node", "_n")
+    rows = durable(table.filter(F.col("_kind") == DOC_ROW).select("_id", "_text_key", "_set_key", "_node", "_n"), "document-rows")
     homes = durable(rows.filter("_set_key is not null").groupBy("_set_key", "_node").agg(
         F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text_key")).alias("h")).select("_set_key", "_node", "h._id", "h._text_key"), "homes")
-    live = durable(live_postings(table), "live-buckets")
+    live = live_postings(table)
     met = durable(live.select("_node").distinct(), "met-nodes")
     signed = durable(table.filter((F.col("_kind") == DOC_ROW) & F.col("_node").isNotNull()).select("_set_key", "_node", "_n", "_bits").join(
         met, "_node", "left_semi").dropDuplicates(["_set_key"]), "signatures")
+    release(table, met)
     still, links, components = live.withColumn("_component", F.col("_node")), None, None
     for number in range(STAR_ROUNDS):
-        found = checked(plausible(star_pairs(still, percent, number), signed, percent), docs, homes, size, percent)
+        pairs = durable(plausible(star_pairs(still, percent, number), signed, percent), "pairs")
+        found = checked(pairs, docs, homes, size, percent)
         # What earlier rounds linked goes on as its components alone.
         links = found if components is None else found.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b")))
         components = durable(connected_components(links), "components")
         merged = components.join(homes, F.col("node") == F.col("_set_key")).groupBy("_node").agg(
             F.min(F.xxhash64("component")).alias("component"))
-        still = open_postings(without_heads(still, number).drop("_component"), durable(merged, "merged"))
+        before, still = still, open_postings(without_heads(still, number).drop("_component"), durable(merged, "merged"))
+        release(before if number else live)
     links = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
         checked(tree_pairs(still, signed, percent), docs, homes, size, percent))
     components = durable(connected_components(links), "components")
@@ -551,7 +565,11 @@ def component_report(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs``: of each component the one with the smallest id; documents without words all stay."""
+    """Rows of ``docs``: of each component the one with the smallest id; documents without words all stay.
+
+    A null id comes after all others; equal ids go by a hash of the text. Of rows that repeat an id
+    and text one stays, also without words. Columns may have any names. An empty table stays empty.
+    """
     rows = durable(similar_components(docs, size, percent), "classes")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text_key")).alias("h")
     kept = rows.filter("_component is not null").groupBy("_component").agg(first).select("h._id", "h._text_key")
@@ -560,8 +578,10 @@ def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
         count, F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_kt") == F.col("_text_key"))).select("_k", "_kt", "_times")
     bare = rows.filter("_component is null").select(F.col("_id").alias("_k"), F.col("_text_key").alias("_kt"), F.lit(1).cast("bigint").alias("_times")).distinct()
     kept = durable(kept.unionByName(bare), "kept")
-    here = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_k")) & (F.xxhash64("text") == F.col("_kt"))
+    here = F.col("_own_id").eqNullSafe(F.col("_k")) & (F.col("_own_text") == F.col("_kt"))
+    # Columns of docs may have any name, so a row goes along as one struct.
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_own_id"), F.xxhash64("text").alias("_own_text"))
     # Only rows that repeat an id and text have to be told apart, and of those one stays.
-    once = docs.join(kept.filter("_times = 1"), here, "left_semi")
-    again = docs.join(kept.filter("_times > 1"), here, "left_semi").withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return once.unionByName(again)
+    once = rows.join(kept.filter("_times = 1"), here, "left_semi")
+    again = rows.join(kept.filter("_times > 1"), here, "left_semi").dropDuplicates(["_own_id", "_own_text"])
+    return once.unionByName(again).select("_row.*")
