@@ -1,5 +1,7 @@
 """Training at any size: the gang, exact samples, and boosting of all folds at once."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +233,42 @@ def test_a_table_without_splits(spark):
     matrix = sessions_of(spark, np.ones((40, 2)), ["a"] * 40, np.arange(40) % 2).cache()
     model = boosted.train_supervised(matrix, 3)
     assert np.allclose(model.probabilities(np.ones((3, 2))), 0.5)
+
+
+def test_members_exchange_files_where_the_folder_is_shared(spark, monkeypatch):
+    from undertone.operators import boosted
+
+    assert gang.exchange_seconds(spark) < gang.SLOW_FILES
+    # A minute's work of one member, a hundred milliseconds a step: too little for the driver, enough for files.
+    assert gang.plan_gang(spark, 100_000, 1000, 100, 1_000_000)[0] > 1
+    assert gang.gang_size(spark, 100_000, 1000, 100, 1_000_000) == 1
+    sizes = []
+    for module in (autoencoder, boosted):
+        monkeypatch.setattr(module, "run_gang", lambda *a, run=module.run_gang: sizes.append((a[1], a[6])) or run(*a))
+    rng = np.random.default_rng(4)
+    x, label, sessions = two_classes(rng, 300)
+    matrix = sessions_of(spark, x, sessions, label).cache()
+    mean, scale = np.zeros((2, x.shape[1])), np.ones((2, x.shape[1]))
+
+    def train():
+        sizes.clear()
+        weights = autoencoder.train_autoencoders(matrix, 300, ["a", ""], mean, scale, epochs=3, batch_size=50)
+        return weights, boosted.train_boosted(matrix, {"a": 1.0, "": 2.0}, 300, 3)
+
+    weights, models = train()
+    assert sizes == [(1, None)] * 2
+    monkeypatch.setattr(gang, "WORTH_A_TRIAL", 0)
+    monkeypatch.setattr(autoencoder, "ROWS_PER_SHARD", 100)
+    monkeypatch.setattr(boosted, "ROWS_PER_MEMBER", 100)
+    again, others = train()
+    assert all(size == 4 and folder for size, folder in sizes)
+    assert np.allclose(weights, again, atol=1e-12)
+    assert all(np.allclose(models[f].margins(x), others[f].margins(x), atol=1e-9) for f in models)
+    # The files are gone with the gang.
+    assert not any(os.path.exists(folder) for _, folder in sizes)
+
+
+def test_a_store_without_files_leaves_the_exchange_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(gang, "shared_dir", lambda spark: "hdfs://cluster/shared")
+    assert gang.exchange_seconds(spark) == np.inf
+    assert gang.plan_gang(spark, 10**9, 10, 10, 1000) == (4, None)
