@@ -176,3 +176,13 @@ def test_a_packet_without_a_time_fails_the_job(spark, packets):
     rows = packets([dns(0), dns(1)]).withColumn("ts_us", F.when(F.col("packet_seq") == 0, F.col("ts_us")))
     with pytest.raises(Exception, match="packet without a time"):
         assign_flows(rows).collect()
+
+
+def test_slices_are_computed_once_and_sorted_by_a_hash(spark, packets):
+    rows = build_flow_features(packets([icmp(t) for t in (0, 1, 100)]))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # Packets are read for their places only; all else comes from the stored slices.
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    assert windows and all("conversation_hash" in line or "_lead" in line or "second" in line for line in windows)
+    assert sorted(r["packet_count"] for r in rows.collect()) == [1, 2]
