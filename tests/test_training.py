@@ -1,8 +1,10 @@
 """Training at any size: the gang, exact samples, and boosting of all folds at once."""
 
 import os
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,23 @@ def test_samples_are_the_lowest_rows_of_every_fold(spark, monkeypatch):
         assert len(sample.x) <= 4 * 16
 
 
+def test_sketches_that_know_their_limit_take_whole_batches(monkeypatch):
+    """Once no fold needs more rows, few rows of a batch are low enough: cutting it up costs a sort per tree and cut."""
+    x, keys = np.random.default_rng(9).normal(size=(20000, 2)), np.arange(20000) * 7919
+    keys[-1] = keys[0]
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(keys), pa.array(np.full(20000, -1, np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 2)],
+        names=["key", "session", "x"])
+    monkeypatch.setattr(iforest, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    calls, add = [], iforest.Sample.add
+    monkeypatch.setattr(iforest.Sample, "add", lambda sample, *rows: calls.append(len(rows[0])) or add(sample, *rows))
+    sketch, = iforest.sketch_rows(1, 2, 3, 1)([batch])
+    assert calls == [4096] * 3 + [20000 - 4096] * 3
+    for tree in range(3):
+        order = np.lexsort((x[:, 1], x[:, 0], iforest.priorities(keys.view(np.uint64), tree, 1)))[:256]
+        assert np.frombuffer(sketch.column("x")[tree].as_py()).reshape(-1, 2).tolist() == x[order].tolist()
+
+
 def test_every_row_enters_trees_equally_often(spark, monkeypatch):
     """Inclusion counts of 600 rows over 300 trees lie as a binomial's would."""
     monkeypatch.setattr(iforest, "SUBSAMPLE", 60)
