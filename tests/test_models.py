@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +248,32 @@ def test_stream_equals_batch_on_closed_flows(spark, packets, saved, tmp_path):
     closed = [r for r in streamed if r[0] < 8000]
     assert len(batch) > 50 and [r[:4] for r in closed] == [r[:4] for r in batch]
     assert np.allclose([r[4:] for r in closed], [r[4:] for r in batch], atol=1e-6)
+
+
+@pytest.mark.parametrize("at_once", [1 << 16, 7])
+def test_stream_measures_windows_together(monkeypatch, at_once):
+    """One pass over the packets of a conversation, however many windows they fill; blocks change no figure."""
+    from undertone.streaming import live
+
+    rng = np.random.default_rng(3)
+    ts = np.cumsum(rng.choice([200_000, 3_000_000, 50_000_000], 900, p=[0.6, 0.35, 0.05]))
+    columns = [np.where(rng.random(900) < 0.3, np.nan, rng.random(900)) for _ in live.MEASURES]
+    passes, measure = [], live.Moments.of_stretches
+    monkeypatch.setattr(live, "PACKETS_AT_ONCE", at_once)
+    monkeypatch.setattr(live.Moments, "of_stretches", lambda *a: passes.append(1) or measure(*a))
+    state = live.Conversation()
+    rows = live.absorb(("a.pcap", "dns"), state, ts, columns, 30_000_000, 5_000_000, 10_000_000)
+    rows += live.close(("a.pcap", "dns"), state.flow, 10_000_000)
+    assert len(passes) == math.ceil(900 / at_once) and len(rows) > 100
+    got = pd.DataFrame(rows, columns=[f.name for f in live.FEATURE_ROW])
+    assert got["packet_count"].sum() == 900
+    for row in got.to_dict("records"):
+        inside = (ts >= round(row["start_timestamp"] * 1e6)) & (ts <= round(row["end_timestamp"] * 1e6))
+        gaps, values = np.diff(ts[inside]) / 1e6, [c[inside][~np.isnan(c[inside])] for c in columns]
+        assert inside.sum() == row["packet_count"]
+        assert np.isclose(row["interarrival_mean"], gaps.mean() if len(gaps) else 0.0, rtol=1e-12)
+        assert np.isclose(row["interarrival_std"], gaps.std() if len(gaps) else 0.0, rtol=1e-9, atol=1e-12)
+        assert np.isclose(row["size_std"], values[0].std() if len(values[0]) else 0.0, rtol=1e-9, atol=1e-12)
+        assert (row["entropy_max"] == values[1].max()) if len(values[1]) else pd.isna(row["entropy_max"])
+    stored = live.Conversation(state.flow, {"ts_us": [1, 2], "entropy": [0.5, math.nan]})
+    assert live.Conversation.from_json(stored.to_json()).to_json() == stored.to_json()

@@ -9,7 +9,7 @@ trigger's packets of one conversation meet in one task; size triggers with maxFi
 import hashlib
 import json
 import math
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ from undertone.operators.flows import (
 from undertone.operators.scoring import flag, with_scores
 from undertone.schema import FLOW_FEATURE_COLUMNS, PACKET_SCHEMA
 
+# Packets of a conversation whose windows are measured together.
+PACKETS_AT_ONCE = 1 << 16
 MEASURES = ["packet_size", "entropy", "compression_ratio", "query_length", "payload_length", "is_txt_or_null"]
 FEATURE_ROW = T.StructType([
     T.StructField("source_file", T.StringType()),
@@ -50,12 +52,16 @@ class Moments:
     top: float = -math.inf
 
     @classmethod
-    def of(cls, values):
-        values = values[~np.isnan(values)]
-        if not len(values):
-            return cls()
-        mean = values.mean()
-        return cls(len(values), mean, float(((values - mean) ** 2).sum()), float(values.max()))
+    def of_stretches(cls, values, starts):
+        """Per row of ``values``, the moments of its stretches, which begin at ``starts``; NaN counts for nothing."""
+        known = ~np.isnan(values)
+        n = np.add.reduceat(known, starts, axis=1, dtype=np.int64)
+        mean = np.add.reduceat(np.where(known, values, 0.0), starts, axis=1) / np.maximum(n, 1)
+        sizes = np.diff(starts, append=values.shape[1])
+        off = np.where(known, values - np.repeat(mean, sizes, axis=1), 0.0)
+        m2 = np.add.reduceat(off * off, starts, axis=1)
+        top = np.maximum.reduceat(np.where(known, values, -math.inf), starts, axis=1)
+        return [list(map(cls, *row)) for row in zip(n.tolist(), mean.tolist(), m2.tolist(), top.tolist())]
 
     def plus(self, other):
         n = self.n + other.n
@@ -82,13 +88,19 @@ class WindowStats:
     measures: dict
 
     @classmethod
-    def of(cls, index, ts, columns):
-        return cls(index, int(ts[0]), int(ts[-1]), len(ts), Moments.of(np.diff(ts) / 1e6),
-                   {name: Moments.of(values) for name, values in columns.items()})
+    def of_stretches(cls, bins, ts, columns, starts):
+        """One a stretch of packets; ``starts`` are the places of their first packets."""
+        gaps = np.diff(ts, prepend=ts[0]) / 1e6
+        gaps[starts] = np.nan
+        gaps, *measures = Moments.of_stretches(np.stack([gaps, *columns]), starts)
+        ends = np.append(starts[1:], len(ts))
+        whole = zip(bins[starts].tolist(), ts[starts].tolist(), ts[ends - 1].tolist(), (ends - starts).tolist())
+        return [cls(*numbers, gap, dict(zip(MEASURES, values))) for numbers, gap, *values in zip(whole, gaps, *measures)]
 
     def plus(self, later):
         """Join a later stretch of the same window; the gap between them belongs to it."""
-        between = Moments.of(np.array([(later.first - self.last) / 1e6]))
+        gap = (later.first - self.last) / 1e6
+        between = Moments(1, gap, 0.0, gap)
         return WindowStats(
             self.bin, self.first, later.last, self.count + later.count,
             self.gaps.plus(between).plus(later.gaps),
@@ -109,13 +121,13 @@ class OpenFlow:
 
 @dataclass
 class Conversation:
-    """The open flow, and packets (as column lists) that the watermark has not passed."""
+    """The open flow, and packets (as column lists, in time order) that the watermark has not passed."""
 
     flow: OpenFlow | None = None
     waiting: dict = field(default_factory=dict)
 
     def to_json(self):
-        return json.dumps(asdict(self))
+        return json.dumps(self, default=vars)
 
     @classmethod
     def from_json(cls, text):
@@ -183,48 +195,72 @@ def close(key, flow, min_duration_us):
     return [feature_row(key, flow, w, f"_w{flow.named + i}") for i, w in enumerate(windows)]
 
 
-def absorb(key, state, packets, timeout_us, window_us, min_duration_us):
+def absorb(key, state, ts, columns, timeout_us, window_us, min_duration_us):
     """Feed packets in time order; work is per stretch of packets in one window, not per packet."""
     rows = []
-    ts = packets["ts_us"].to_numpy(dtype=np.int64)
-    columns = {name: packets[name].to_numpy(dtype=float) for name in MEASURES}
-    borders = np.flatnonzero(np.diff(ts) > timeout_us) + 1
-    for part in np.split(np.arange(len(ts)), borders):
-        flow = state.flow
-        if flow is not None and ts[part[0]] - flow.last > timeout_us:
+    for start in range(0, len(ts), PACKETS_AT_ONCE):
+        some = slice(start, start + PACKETS_AT_ONCE)
+        rows += absorb_some(key, state, ts[some], [c[some] for c in columns], timeout_us, window_us, min_duration_us)
+    return rows
+
+
+def absorb_some(key, state, ts, columns, timeout_us, window_us, min_duration_us):
+    rows, flow = [], state.flow
+    if flow is not None and ts[0] - flow.last > timeout_us:
+        rows += close(key, flow, min_duration_us)
+        flow = None
+    # Every packet counts its bin from the start of its flow; the first may belong to the flow that is open.
+    heads = np.concatenate([[0], np.flatnonzero(np.diff(ts) > timeout_us) + 1])
+    since = ts[heads]
+    if flow is not None:
+        since[0] = flow.start
+    bins = (ts - np.repeat(since, np.diff(heads, append=len(ts)))) // window_us
+    borders = np.diff(bins) != 0
+    borders[heads[1:] - 1] = True
+    starts = np.concatenate([[0], np.flatnonzero(borders) + 1])
+    stretches = WindowStats.of_stretches(bins, ts, columns, starts)
+    edges = [*np.searchsorted(starts, heads).tolist(), len(stretches)]
+    for left, right in zip(edges[:-1], edges[1:]):
+        if left:
             rows += close(key, flow, min_duration_us)
             flow = None
         if flow is None:
-            flow = state.flow = OpenFlow(int(ts[part[0]]), [])
-        bins = (ts[part] - flow.start) // window_us
-        for stretch in np.split(part, np.flatnonzero(np.diff(bins)) + 1):
-            index = int((ts[stretch[0]] - flow.start) // window_us)
-            stats = WindowStats.of(index, ts[stretch], {n: c[stretch] for n, c in columns.items()})
-            if flow.windows and flow.windows[-1].bin == index:
+            flow = OpenFlow(stretches[left].first, [])
+        for stats in stretches[left:right]:
+            if flow.windows and flow.windows[-1].bin == stats.bin:
                 flow.windows[-1] = flow.windows[-1].plus(stats)
             else:
                 flow.windows.append(stats)
         rows += emit_final(key, flow, min_duration_us)
+    state.flow = flow
     return rows
 
 
+def in_time_order(waiting, frames):
+    """(times, capture positions, measures) of packets that waited and of new ones, by time and capture position."""
+    names = ["ts_us", "packet_seq", *MEASURES]
+    known = [[np.array(waiting[n]) for n in names]] if waiting else []
+    known += [[f[n].to_numpy() for n in names] for f in frames]
+    if not known:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0)] * len(MEASURES)
+    ts, seq, *columns = [np.concatenate(parts) for parts in zip(*known)]
+    order = np.lexsort((seq, ts))
+    return ts[order].astype(np.int64), seq[order], [c[order].astype(float) for c in columns]
+
+
 def conversation_updater(timeout_us, window_us, min_duration_us):
     names = [f.name for f in FEATURE_ROW]
 
     def update(key, frames, group):
         state = Conversation.from_json(group.get[0]) if group.exists else Conversation()
         watermark_us = group.getCurrentWatermarkMs() * 1000
-        known = [pd.DataFrame(state.waiting)] if state.waiting else []
-        if not group.hasTimedOut:
-            known += [f[["ts_us", "packet_seq", *MEASURES]] for f in frames]
-        rows, state.waiting = [], {}
-        if known:
-            packets = pd.concat(known, ignore_index=True).sort_values(["ts_us", "packet_seq"], kind="stable")
-            settled = packets["ts_us"] < watermark_us
-            if settled.any():
-                rows += absorb(key, state, packets[settled], timeout_us, window_us, min_duration_us)
-            if not settled.all():
-                state.waiting = packets[~settled].to_dict("list")
+        ts, seq, columns = in_time_order(state.waiting, [] if group.hasTimedOut else frames)
+        settled = int(np.searchsorted(ts, watermark_us))
+        rows = absorb(key, state, ts[:settled], [c[:settled] for c in columns], timeout_us, window_us, min_duration_us)
+        state.waiting = {}
+        if settled < len(ts):
+            left = dict(zip(["ts_us", "packet_seq", *MEASURES], [ts, seq, *columns]))
+            state.waiting = {n: c[settled:].tolist() for n, c in left.items()}
         flow = state.flow
         if flow is not None and watermark_us > flow.last + timeout_us:
             if not state.waiting or state.waiting["ts_us"][0] - flow.last > timeout_us:
