@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import dns, icmp
+from undertone.operators import flows
 from undertone.operators.features import build_flow_features, placed_packets
 from undertone.operators.flows import assign_flows
 
@@ -186,3 +187,33 @@ def test_slices_are_computed_once_and_sorted_by_a_hash(spark, packets):
     windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
     assert windows and all("conversation_hash" in line or "_lead" in line or "second" in line for line in windows)
     assert sorted(r["packet_count"] for r in rows.collect()) == [1, 2]
+
+
+def test_conversations_that_share_a_hash_are_told_apart(packets, monkeypatch):
+    seeds, plain = [], flows.conversation_hash
+
+    def clashing(seed):
+        seeds.append(seed)
+        return F.lit(5) if seed < 2 else plain(seed)
+
+    rows = packets([icmp(t, src) for t in (0, 10, 20) for src in ("10.0.0.2", "10.0.0.3")])
+    want = sorted(map(tuple, build_flow_features(rows).collect()))
+    monkeypatch.setattr(flows, "conversation_hash", clashing)
+    assert sorted(map(tuple, build_flow_features(rows).collect())) == want and max(seeds) == 2
+
+
+def test_names_of_conversations_stay_out_of_shuffles_of_packets(packets):
+    plan = build_flow_features(packets([dns(0), dns(1), icmp(3)]))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    packet_sized = [x for x in lines if ("lag(ts_us" in x and "Window" in x) or "partial_count" in x]
+    assert packet_sized and not any("ip_a" in x or "source_file" in x for x in packet_sized)
+
+
+@pytest.mark.parametrize("late", [2**38, 2**62])
+def test_capture_positions_of_any_size_order_flows(packets, late):
+    """Flows that start together are numbered by the position of their first packet, however large or negative."""
+    places = {"10.0.0.2": [late + 1, late], "10.0.0.3": [late - 5, 9], "10.0.0.4": [late, -7], "10.0.0.5": [8, 3]}
+    rows = [icmp(t, src, packet_seq=seq) for src, seqs in places.items() for t, seq in ((0, seqs[0]), (0, seqs[1]), (-40, 20 + seqs[1]))]
+    found = {(r["src_ip"], r["packet_seq"]): r["flow_id"] for r in assign_flows(packets(rows)).collect()}
+    assert [found[src, 20 + places[src][1]] for src in ("10.0.0.4", "10.0.0.5", "10.0.0.3", "10.0.0.2")] == [0, 1, 2, 3]
+    assert [found[src, places[src][0]] for src in ("10.0.0.4", "10.0.0.5", "10.0.0.3", "10.0.0.2")] == [4, 5, 6, 7]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from undertone.operators import metrics, splits
+from undertone.operators import autoencoder, metrics, splits
 from undertone.operators.iforest import Forest, depth_limit, grow_tree
 
 
@@ -79,3 +79,19 @@ def test_a_walk_tests_all_nodes_near_the_root(sample):
     tests = rng.random((7, 50)) < 0.5
     want = [3 + 4 * t[0] + 2 * t[1 + t[0]] + t[3 + 2 * t[0] + t[1 + t[0]]] + 4 for t in tests.T.astype(int)]
     assert (top_nodes(tests, 3) == want).all()
+
+
+def test_gradients_reuse_their_arrays_and_match_differences():
+    rng = np.random.default_rng(4)
+    flat = autoencoder.initial_weights(5, 1)
+    for rows in (40, 7, 40):
+        x, used = rng.normal(size=(rows, 5)), (rng.random(rows) < 0.7).astype(float)
+        loss = lambda w: (used * ((autoencoder.activations(autoencoder.layers(w[None], 5)[0], x)[-1] - x) ** 2).mean(axis=1)).sum()
+        got = autoencoder.gradient_sum(flat[None], x[None], used[None])[0]
+        for at in range(0, len(flat), 17):
+            step = np.zeros_like(flat)
+            step[at] = 1e-6
+            assert got[at] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-6, rel=1e-4, abs=1e-5)
+        memory = {k: id(v) for k, v in autoencoder._MEMORY.items()}
+        assert (autoencoder.gradient_sum(flat[None], x[None], used[None])[0] == got).all()
+        assert memory == {k: id(v) for k, v in autoencoder._MEMORY.items()}
