@@ -114,6 +114,35 @@ def test_split_blocks_find_what_one_block_finds(spark, monkeypatch):
     assert dict(gathered(signature_tree.component_report(frame, 4, 70), "doc_id", "component_id")) == want
 
 
+def test_texts_that_share_one_ngram_by_chance_meet_in_no_bucket(spark):
+    rng = random.Random(4)
+    own = [" ".join(f"w{k}x{rng.randrange(10**9)}" for _ in range(20)) for k in range(240)]
+    rows = [(k, f"{text} chance{k // 2} of five words here") for k, text in enumerate(own)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert signature_tree.live_postings(signature_tree.profile(frame, 5, 50), 50).count() == 0
+
+
+def test_what_a_pair_shares_in_its_own_and_in_larger_buckets_counts_together(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(60):
+        size = rng.randrange(6, 40)
+        base = [f"b{rng.randrange(10**9)}" for _ in range(size)]
+        near = list(base)
+        near[rng.randrange(size)] = "other"
+        rows += [base, near]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(size)
+            run = base[at:at + rng.randrange(4, 14)]
+            rows.append([f"c{rng.randrange(10**9)}" for _ in range(rng.randrange(1, 30))] + run)
+    rows = [(k, " ".join(words)) for k, words in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    _, roots = jaccard_components([t for _, t in rows], 3, 60)
+    want = {i: rows[r][0] for (i, _), r in zip(rows, roots)}
+    assert len(set(want.values())) < len(rows)
+    assert dict(gathered(signature_tree.component_report(frame, 3, 60), "doc_id", "component_id")) == want
+
+
 def test_bounds_never_rule_out_a_similar_pair():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -58,6 +58,8 @@ def map_batches(df: DataFrame, function, schema, piece_bytes=PIECE_BYTES) -> Dat
                         [as_array(out[f.name], f.type) for f in arrow], schema=arrow)
                 if out.num_rows:
                     yield out
+        # The worker goes on to other tasks, or waits beside those of the JVM.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -1,13 +1,16 @@
 """Exact Jaccard components of word n-gram sets, with signature trees.
 
 1. A document becomes the set of its n-grams, 64-bit hashes; equal sets are one node (a 128-bit
-   key). In any one order of all n-grams, the first |x| - ceil(t |x|) + 1 members of two sets with
-   similarity t or more have a member in common. The order is by rarity, then by hash, so that a
-   passage of many documents comes last: a sketch of 2^20 counts over all documents gives every
-   n-gram a level, the logarithm of its count. Counts that collide change the order, never the
-   result. These prefix tokens are the buckets; tokens that one node alone holds fall away. Tasks
-   combine what they meet in one batch before the shuffle, so a token of very many documents sends
-   one row a batch.
+   key). In any one order of all n-grams, the first |x| - ceil(t |x|) + k members of two sets with
+   similarity t or more have k members in common, or their whole overlap. The order is by rarity,
+   then by hash, so that a passage of many documents comes last: a sketch of 2^20 counts over all
+   documents gives every n-gram a level, the logarithm of its count. Counts that collide change the
+   order, never the result. These prefix tokens are the buckets; tokens that one node alone holds
+   fall away. Tasks combine what they meet in one batch before the shuffle, so a token of very many
+   documents sends one row a batch.
+   Pairs of texts that share a token or two by chance grow with the square of their number. So a
+   node stays in a bucket only if it can share k tokens with another node: those of its buckets of
+   three and more nodes, and those of the one bucket that a pair has for itself.
 2. In every bucket one node is compared with the others: a star, not all pairs. Its links merge
    most copies, and the node, now compared with all, leaves the bucket. Further rounds do the same
    for components still apart, so small buckets are done with. Buckets of over a block have a star
@@ -31,19 +34,21 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from undertone.llm.common import folded_words, map_batches, mixed, to_arrow
+from undertone.llm.common import PIECE_BYTES, folded_words, map_batches, mixed, pieces, to_arrow
 from undertone.llm.components import connected_components
 from undertone.session import durable, release
 
-CACHE = 500_000
+CACHE = 50_000
 BLOCK = 1024
 FANOUT = 8
 PACK_ROWS = 4096
 PAIR_ROWS = 1 << 20
 LEAST_BITS = 2048
 STAR_ROUNDS = 3
+COMMON = 8
+COMMON_ROUNDS = 2
 CELL_BITS = 20
 CHUNK_BITS = 10
 WHOLE = -1
@@ -76,8 +81,13 @@ def shingles(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def common_tokens(n, percent: int):
+    """Prefix tokens a set of n members shares with each similar one at least."""
+    return min(COMMON, -(-percent * n // 100))
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + common_tokens(n, percent)
 
 
 def least_overlap(n, m, percent: int):
@@ -122,7 +132,7 @@ def rarity_levels(docs: DataFrame, size: int) -> np.ndarray:
     def count(batches):
         # Two bytes a count: what a task counts beyond them is common in any case.
         counts = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, PIECE_BYTES)):
             for text in batch.column(2).to_pylist():
                 np.add.at(counts, cells_of(shingles(text or b"", size, hashes)), 1)
         yield send(np.minimum(counts, 65535).astype(np.uint16))
@@ -188,27 +198,57 @@ def profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_batches(keyed(docs), run, PROFILE)
 
 
-def live_postings(table: DataFrame) -> DataFrame:
-    """(_token, _node, _n, _all) of tokens that several (``_all``) nodes hold; at most one row a batch and token is shuffled.
+def live_postings(table: DataFrame, percent: int) -> DataFrame:
+    """(_token, _node, _n, _tokens, _all) of tokens that several (``_all``) nodes hold; at most one row a batch and token is shuffled.
 
-    Buckets that hold the same nodes are one bucket, that of the smallest token: copies share many.
+    Left out are nodes that share too few tokens with any other of the bucket.
     """
-    from pyspark.sql import Window
-
     of_token = Window.partitionBy("_token")
     forward = table.filter(F.col("_kind") == FORWARD).select("_token", "_node", "_n")
     met = forward.withColumns({"_low": F.min("_node").over(of_token), "_high": F.max("_node").over(of_token)})
     live = durable(met.filter("_low <> _high").select("_token", "_node", "_n").unionByName(
         table.filter(F.col("_kind") == LIVE).select("_token", "_node", "_n")).distinct(), "live")
-    holds = live.groupBy("_token").agg(
+    found = buckets_of(live.withColumn("_tokens", F.lit(1).cast("bigint")))
+    release(live)
+    for _ in range(COMMON_ROUNDS):
+        # Fewer nodes leave fewer tokens to share.
+        left = durable(sharing(found, percent), "sharing")
+        release(found)
+        found = buckets_of(left)
+        release(left)
+    return found
+
+
+def buckets_of(postings: DataFrame) -> DataFrame:
+    """(_token, _node, _n, _tokens, _all) of buckets of several (``_all``) nodes.
+
+    Buckets that hold the same nodes are one bucket, that of the smallest token, with the number of
+    ``_tokens`` of them all: copies share many.
+    """
+    holds = postings.groupBy("_token").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("_node").cast("decimal(20,0)")).alias("s"),
-        F.bit_xor(F.xxhash64(F.lit(1), "_node")).alias("t"))
-    buckets = durable(holds.groupBy("n", "s", "t").agg(F.min("_token").alias("_token")).select("_token", F.col("n").alias("_all")), "buckets")
-    found = durable(live.join(buckets, "_token"), "live-buckets")
-    release(live, buckets)
+        F.bit_xor(F.xxhash64(F.lit(1), "_node")).alias("t"), F.min("_tokens").alias("_tokens")).filter("n > 1")
+    buckets = durable(holds.groupBy("n", "s", "t").agg(F.min("_token").alias("_token"), F.sum("_tokens").alias("_tokens")).select(
+        "_token", "_tokens", F.col("n").alias("_all")), "buckets")
+    found = durable(postings.drop("_tokens").join(buckets, "_token"), "live-buckets")
+    release(buckets)
     return found
 
 
+def sharing(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings of nodes that may share as many tokens with another of the bucket as a similar one does.
+
+    Two nodes have at most one bucket of their own; whatever else they share lies in larger ones.
+    All that a pair shares stays if it is enough, so what is left can be looked through again.
+    """
+    of_node = Window.partitionBy("_node")
+    pair = F.when(F.col("_all") == 2, F.col("_tokens"))
+    larger = F.coalesce(F.sum(F.when(F.col("_all") > 2, F.col("_tokens"))).over(of_node), F.lit(0))
+    own = F.coalesce(pair, F.max(pair).over(of_node), F.lit(0))
+    needed = F.least(F.lit(COMMON), F.ceil(F.col("_n") * percent / 100))
+    return postings.withColumn("_may_share", larger + own).filter(F.col("_may_share") >= needed).select("_token", "_node", "_n", "_tokens")
+
+
 def star_heads(classed: DataFrame, number: int) -> DataFrame:
     """The node of each bucket and class that comes first by a hash, another one every round."""
     return classed.groupBy("_token", "_class").agg(
@@ -528,7 +568,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     rows = durable(table.filter(F.col("_kind") == DOC_ROW).select("_id", "_text_key", "_set_key", "_node", "_n"), "document-rows")
     homes = durable(rows.filter("_set_key is not null").groupBy("_set_key", "_node").agg(
         F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text_key")).alias("h")).select("_set_key", "_node", "h._id", "h._text_key"), "homes")
-    live = live_postings(table)
+    live = live_postings(table, percent)
     met = durable(live.select("_node").distinct(), "met-nodes")
     signed = durable(table.filter((F.col("_kind") == DOC_ROW) & F.col("_node").isNotNull()).select("_set_key", "_node", "_n", "_bits").join(
         met, "_node", "left_semi").dropDuplicates(["_set_key"]), "signatures")
