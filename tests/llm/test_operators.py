@@ -116,10 +116,16 @@ def test_split_blocks_find_what_one_block_finds(spark, monkeypatch):
 
 def test_texts_that_share_one_ngram_by_chance_meet_in_no_bucket(spark):
     rng = random.Random(4)
-    own = [" ".join(f"w{k}x{rng.randrange(10**9)}" for _ in range(20)) for k in range(240)]
-    rows = [(k, f"{text} chance{k // 2} of five words here") for k, text in enumerate(own)]
+    words = lambda n: " ".join(f"w{rng.randrange(10**12)}" for _ in range(n))
+    texts = [[] for _ in range(60)]
+    for k in range(60):
+        for step in range(1, 7):
+            passage = words(5)
+            for at in (k, (k + step) % 60):
+                texts[at] += [passage, words(3)]
+    rows = [(k, " ".join(text)) for k, text in enumerate(texts)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert signature_tree.live_postings(signature_tree.profile(frame, 5, 50), 50).count() == 0
+    assert signature_tree.live_postings(signature_tree.profile(frame, 5, 10), 10).count() == 0
 
 
 def test_what_a_pair_shares_in_its_own_and_in_larger_buckets_counts_together(spark):
